@@ -163,3 +163,80 @@ def apply_session_rules(classified: DataFrame, lane: Lane = LANE, failures: bool
     """Gate, coalescing, disposition, session and sequence in one go."""
     placed = lane.bucketed(classified)
     return sequence(disposition(coalesce_recovery(gate(placed, lane), lane, failures)), lane).drop(BUCKET)
+
+
+def emit_resets(rows: DataFrame, *keep: str) -> DataFrame:
+    """One zero-entry reset message per applied recovery: sequences 0, no exchange time."""
+    zero = F.lit(0).cast("bigint")
+    return rows.where("attempt").select(
+        *keep,
+        "session_id",
+        F.lit(1).alias("event_type"),
+        zero.alias("gateway_seq"),
+        zero.alias("seq1"),
+        zero.alias("seq2"),
+        F.lit(-1).cast("bigint").alias("exchange_ns"),
+        F.lit(0).alias("entry_count"),
+    )
+
+
+def emit_messages(rows: DataFrame, *keep: str) -> DataFrame:
+    """Publishable rows as messages; ``seq1``/``seq2`` are the gateway sequence unless the feed has its own."""
+    own = F.col("exchange_seq") if "exchange_seq" in rows.columns else F.col("gateway_seq")
+    event = (
+        F.when(F.col("disposition") == "accepted_snapshot", 2).when(F.col("kind") == "trade", 4).otherwise(3)
+    )
+    return rows.where("publishable").select(
+        *keep,
+        "session_id",
+        event.alias("event_type"),
+        "gateway_seq",
+        own.alias("seq1"),
+        own.alias("seq2"),
+        "exchange_ns",
+        "entry_count",
+    )
+
+
+def message_stream(rows: DataFrame, *keep: str) -> DataFrame:
+    """Resets, snapshots, updates and trades as one message table."""
+    return emit_resets(rows, *keep).unionByName(emit_messages(rows, *keep))
+
+
+def message_transitions(messages: DataFrame, lane: Lane = LANE) -> DataFrame:
+    """Add ``prev_event``, the event type before each message of the same session (0 = none)."""
+    traced = running(messages, lane, _last=max_before(F.struct(F.col(lane.pos), "session_id", "event_type")))
+    same = F.col("_last.session_id") == F.col("session_id")
+    return traced.withColumn("prev_event", F.coalesce(F.when(same, F.col("_last.event_type")), F.lit(0))).drop("_last")
+
+
+def order_violations(messages: DataFrame, lane: Lane = LANE) -> DataFrame:
+    """Messages that break reset, snapshot, update order within a session."""
+    prev, event = F.col("prev_event"), F.col("event_type")
+    fine = (
+        (prev.isin(0) & event.isin(1, 2))
+        | ((prev == 1) & (event == 2))
+        | (prev.isin(2, 3, 4) & event.isin(3, 4))
+    )
+    return message_transitions(messages, lane).where(~fine)
+
+
+def boundary_counts(rows: DataFrame, *keys: str) -> DataFrame:
+    """Accepted snapshots per session; more than one breaks the one-shot boundary rule."""
+    accepted = F.col("disposition") == "accepted_snapshot"
+    return rows.groupBy(*keys, "session_id").agg(F.count_if(accepted).alias("boundaries"))
+
+
+def trigger_log(rows: DataFrame, *keep: str) -> DataFrame:
+    """Every trigger with its reason code, its text and whether it was applied."""
+    kind = F.col("kind")
+    invalid = kind.isin("snapshot", "bad_snapshot")
+    return rows.where("is_trigger").select(
+        *keep,
+        F.lit("RESET").alias("request_type"),
+        F.when(invalid, F.lit("OUT_OF_ORDER_OR_INVALID_TRANSITION"))
+        .otherwise(F.lit("STREAM_INTEGRITY_FAILURE"))
+        .alias("reason_code"),
+        F.when(invalid, F.lit("duplicate snapshot")).otherwise(F.lit("subscription or stream failure")).alias("text"),
+        F.when(F.col("attempt"), F.lit("applied")).otherwise(F.lit("ignored")).alias("outcome"),
+    )
