@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions.wirecodes import encoded_size
-from feedlake.operators.ordering import Lane, max_upto, running
+from feedlake.operators.ordering import Lane, max_before, max_upto, running
 
 
 def count_if(condition: Column) -> Column:
@@ -92,11 +92,7 @@ def latency_stats(samples: DataFrame, lane: Lane, value: str = "latency") -> Dat
 
 
 def connection_accounting(events: DataFrame, *keys: str) -> DataFrame:
-    """Connection counters over rows with ``event`` in attempt/success/failure/reconnect/close.
-
-    The gauge only moves when the connection really changes state; ``is_open`` rows that repeat the
-    state they are already in do not count, see :func:`connection_edges`.
-    """
+    """Connection counters over rows with ``event`` in attempt/success/failure/reconnect."""
     event = F.col("event")
     return events.groupBy(*keys).agg(
         count_if(event == "attempt").alias("connection_attempts"),
@@ -106,6 +102,27 @@ def connection_accounting(events: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def active_connections(edges: DataFrame, lane: Lane, opened: Column, closed: Column) -> DataFrame:
+    """Connections open now and at most, per key; an edge that repeats the current state does not count.
+
+    The state before a row is the newest earlier edge, so one running maximum tells real changes
+    apart; the gauge of all keys together is the sum of the results.
+    """
+    state = F.when(opened, 1).when(closed, 0)
+    traced = running(
+        edges.withColumn("_state", state).where(F.col("_state").isNotNull()),
+        lane,
+        _last=max_before(F.struct(F.col(lane.pos), F.col("_state").alias("state"))),
+    )
+    changed = F.col("_state") != F.coalesce("_last.state", F.lit(0))
+    delta = F.when(changed, F.col("_state") * 2 - 1).otherwise(0)
+    return traced.groupBy(*lane.keys).agg(
+        count_if(changed & (F.col("_state") == 1)).alias("opens"),
+        count_if(changed & (F.col("_state") == 0)).alias("closes"),
+        F.sum(delta).cast("bigint").alias("active_connections"),
+    )
+
+
 def error_groups(errors: DataFrame, *keys: str, at: str = "ts") -> DataFrame:
     """Identical errors once: how often, first seen, last seen."""
     return errors.groupBy(*keys).agg(

@@ -23,6 +23,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlake.functions.binding import let
 from feedlake.functions.fixed import fixed_token, token_to_fixed
 from feedlake.functions.jsontext import (
     first_object_named,
@@ -60,65 +61,53 @@ def _upserts(side: int):
     return build
 
 
-def with_levels(frames: DataFrame, is_snapshot: Column, is_update: Column) -> DataFrame:
-    """Add ``levels``: the parsed price levels of a frame, NULL when the frame must be rejected.
+def _whole(text: Column, per_level: int, build, usable) -> Column:
+    """Levels of an array text, NULL unless every level is usable and no string is left over."""
 
-    Snapshots need both sides (each may be empty): bids then asks, always UPSERT. Updates are
-    ``[side, price, size]`` changes in order: zero size deletes, negative size rejects. One bad level
-    rejects the whole frame. Each step is a column of its own, so that no regex runs twice.
-    """
-    payload = F.col("payload")
-    arrays = frames.select(
-        "*",
-        F.when(is_snapshot, json_array(payload, "bids")).alias("_bids"),
-        F.when(is_snapshot, json_array(payload, "asks")).alias("_asks"),
-        F.when(is_update, json_array(payload, "changes")).alias("_changes"),
-    )
-    cut = arrays.select(
-        "*",
-        *[
-            _tokens(quoted_strings(F.col(f"_{side}"), 2, i)).alias(f"_{side}{i}")
-            for side in ("bids", "asks")
-            for i in (1, 2)
-        ],
-        F.transform(
-            quoted_strings(F.col("_changes"), 3, 1),
-            lambda s: F.when(s == "buy", F.lit(1)).when(s == "sell", F.lit(2)),
-        ).alias("_sides"),
-        _tokens(quoted_strings(F.col("_changes"), 3, 2)).alias("_prices"),
-        _tokens(quoted_strings(F.col("_changes"), 3, 3)).alias("_sizes"),
-    )
-    paired = cut.select(
-        "*",
-        F.when(
-            F.col("_bids").isNotNull(),
-            F.concat(
-                F.zip_with("_bids1", "_bids2", _upserts(1)), F.zip_with("_asks1", "_asks2", _upserts(2))
+    def checked(t: Column) -> Column:
+        levels = let(build(t), lambda found: F.when(F.forall(found, usable), found))
+        return F.when(quote_count(t) % (2 * per_level) == 0, levels)
+
+    return let(text, checked)
+
+
+def _priced(level: Column) -> Column:
+    return level["price_m"].isNotNull() & level["qty_m"].isNotNull()
+
+
+def snapshot_levels(payload: Column) -> Column:
+    """Bids then asks, always UPSERT. Both sides are required, each may be empty."""
+
+    def one(key: str, side: int) -> Column:
+        return _whole(
+            json_array(payload, key),
+            2,
+            lambda t: F.zip_with(_tokens(quoted_strings(t, 2, 1)), _tokens(quoted_strings(t, 2, 2)), _upserts(side)),
+            _priced,
+        )
+
+    return F.concat(one("bids", 1), one("asks", 2))
+
+
+def update_levels(payload: Column) -> Column:
+    """``[side, price, size]`` changes in order: zero size deletes, negative size rejects."""
+
+    def build(t: Column) -> Column:
+        return F.zip_with(
+            quoted_strings(t, 3, 1),
+            F.zip_with(_tokens(quoted_strings(t, 3, 2)), _tokens(quoted_strings(t, 3, 3)), _upserts(0)),
+            lambda s, x: F.struct(
+                F.when(s == "buy", F.lit(1)).when(s == "sell", F.lit(2)).alias("side"),
+                F.when(x["qty_m"] == 0, F.lit(2)).otherwise(F.lit(1)).alias("action"),
+                *[x[c].alias(c) for c in LEVEL_COLUMNS[2:]],
             ),
         )
-        .otherwise(F.zip_with("_prices", "_sizes", _upserts(0)))
-        .alias("_levels"),
-    )
-    # Leftover strings (a price without a size) show as a quote count that does not divide.
-    whole = F.when(
-        F.col("_bids").isNotNull(), (quote_count(F.col("_bids")) % 4 == 0) & (quote_count(F.col("_asks")) % 4 == 0)
-    ).otherwise(quote_count(F.col("_changes")) % 6 == 0)
-    parsed = F.forall("_levels", lambda x: x["price_m"].isNotNull() & x["qty_m"].isNotNull())
-    changes = F.zip_with(
-        "_sides",
-        "_levels",
-        lambda s, x: F.struct(
-            s.alias("side"),
-            F.when(x["qty_m"] == 0, F.lit(2)).otherwise(F.lit(1)).alias("action"),
-            *[x[c].alias(c) for c in LEVEL_COLUMNS[2:]],
-        ),
-    )
-    applicable = F.forall("_sides", F.isnotnull) & F.forall("_levels", lambda x: x["qty_m"] >= 0)
-    return paired.select(
-        *frames.columns,
-        F.when(is_snapshot & whole & parsed, F.col("_levels"))
-        .when(is_update & whole & parsed & applicable, changes)
-        .alias("levels"),
+
+    return _whole(
+        json_array(payload, "changes"),
+        3,
+        build,
+        lambda x: _priced(x) & x["side"].isNotNull() & (x["qty_m"] >= 0),
     )
 
 
@@ -135,40 +124,59 @@ def ack_valid(payload: Column, symbol: Column, channels=ACK_CHANNELS) -> Column:
 def classify_l2(frames: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """Add ``frame_type, product_id, levels, entry_count, over_cap, exchange_ns, kind``.
 
-    ``frames`` needs ``payload`` and the instrument's ``symbol``.
+    ``frames`` needs ``payload`` and the instrument's ``symbol``; a frame with ``payload_bin`` set is a
+    binary frame, which is of unknown type.
     """
     payload, symbol = F.col("payload"), F.col("symbol")
-    kind_of, product = F.col("frame_type"), F.col("product_id")
-    typed = frames.withColumn("frame_type", json_string(payload, "type")).withColumn(
-        "product_id", json_string(payload, "product_id")
+    binary = F.col("payload_bin").isNotNull() if "payload_bin" in frames.columns else F.lit(False)
+    typed = frames.select(
+        "*", json_string(payload, "type").alias("frame_type"), json_string(payload, "product_id").alias("product_id")
+    )
+    ours = F.coalesce(F.col("product_id") == symbol, F.lit(False))
+    parsed = typed.select(
+        "*",
+        let(
+            F.when(ours, F.col("frame_type")),
+            lambda t: F.when(t == "snapshot", snapshot_levels(payload)).when(t == "l2update", update_levels(payload)),
+        ).alias("_levels"),
     )
-    ours = F.coalesce(product == symbol, F.lit(False))
-    parsed = with_levels(typed, (kind_of == "snapshot") & ours, (kind_of == "l2update") & ours)
-    over = F.coalesce(F.size("levels") > max_entries, F.lit(False))
-    good = F.col("levels").isNotNull() & ~over
-    kind = (
-        F.when(kind_of.isNull(), "malformed")
-        .when(
-            kind_of == "subscriptions",
-            F.when(ack_valid(payload, symbol), F.lit("ack")).otherwise(F.lit("trigger")),
+    counted = parsed.select("*", F.coalesce(F.size("_levels"), F.lit(-1)).alias("_n"))
+
+    def kind_of(head: Column) -> Column:
+        kind, good = head["t"], head["n"].between(0, max_entries)
+        return (
+            F.when(head["binary"], "unknown")
+            .when(kind.isNull(), "malformed")
+            .when(
+                kind == "subscriptions",
+                F.when(ack_valid(payload, symbol), F.lit("ack")).otherwise(F.lit("trigger")),
+            )
+            .when(~kind.isin("snapshot", "l2update", "heartbeat"), "unknown")
+            .when(~head["ours"], "mismatch")
+            .when(kind == "heartbeat", "heartbeat")
+            .when(kind == "snapshot", F.when(good, F.lit("snapshot")).otherwise(F.lit("bad_snapshot")))
+            .otherwise(F.when(good, F.lit("update")).otherwise(F.lit("bad_update")))
         )
-        .when(~kind_of.isin("snapshot", "l2update", "heartbeat"), "unknown")
-        .when(~ours, "mismatch")
-        .when(kind_of == "heartbeat", "heartbeat")
-        .when(kind_of == "snapshot", F.when(good, F.lit("snapshot")).otherwise(F.lit("bad_snapshot")))
-        .otherwise(F.when(good, F.lit("update")).otherwise(F.lit("bad_update")))
+
+    head = F.struct(
+        F.col("frame_type").alias("t"), ours.alias("ours"), F.col("_n").alias("n"), binary.alias("binary")
     )
-    time = json_string(payload, "time")
-    return (
-        parsed.withColumn("over_cap", over)
-        .withColumn("entry_count", F.when(good, F.size("levels")).otherwise(0))
-        .withColumn("exchange_ns", F.when(good, F.coalesce(rfc3339_nanos(time), F.lit(-1).cast("bigint"))))
-        .withColumn("kind", kind)
+    good = F.col("_n").between(0, max_entries)
+    time = F.coalesce(rfc3339_nanos(json_string(payload, "time")), F.lit(-1))
+    return counted.select(
+        *typed.columns,
+        F.when(good, F.col("_levels")).alias("levels"),
+        (F.col("_n") > max_entries).alias("over_cap"),
+        F.when(good, F.col("_n")).otherwise(F.lit(0)).alias("entry_count"),
+        F.when(good, time.cast("bigint")).alias("exchange_ns"),
+        let(head, kind_of).alias("kind"),
     )
 
 
 def flatten_levels(messages: DataFrame, *keep: str) -> DataFrame:
     """One row per price level, ``entry_pos`` from 0 in message order."""
-    return messages.select(
-        *keep, F.posexplode("levels").alias("entry_pos", "level")
-    ).select(*keep, "entry_pos", *[F.col(f"level.{c}").alias(c) for c in LEVEL_COLUMNS])
+    # The outer form keeps the optimizer from repeating the whole parse in an inferred filter.
+    rows = messages.select(*keep, F.posexplode_outer("levels").alias("entry_pos", "level"))
+    return rows.where("entry_pos is not null").select(
+        *keep, "entry_pos", *[F.col(f"level.{c}").alias(c) for c in LEVEL_COLUMNS]
+    )

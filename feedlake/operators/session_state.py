@@ -1,7 +1,7 @@
 """Per-instrument session rules as bucketed folds: gate, recovery coalescing, session, sequence.
 
 Gate: ``snapshot`` opens a closed gate; on an open gate any snapshot is a duplicate, which closes it
-and asks for recovery. ``trigger`` closes it. ``bad_snapshot`` acts on the gate like a trigger.
+and asks for recovery. Every kind in ``TRIGGERS`` closes it. ``bad_snapshot`` acts on the gate like a trigger.
 After a closing row the state is known without looking back, and between closing rows the gate is
 the parity of the snapshots seen. A bucket therefore needs only one bit from the buckets before it.
 """
@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 from feedlake.operators.ordering import BUCKET, Lane, max_before, running
 
 LANE = Lane()
+# Kinds that close the gate and ask for recovery, with their reason code.
+TRIGGERS = {
+    "trigger": "STREAM_INTEGRITY_FAILURE",
+    "error": "STREAM_INTEGRITY_FAILURE",
+    "gap": "STREAM_INTEGRITY_FAILURE",
+    "overflow": "STREAM_INTEGRITY_FAILURE",
+    "disconnect": "STREAM_INTEGRITY_FAILURE",
+    "timeout": "HEARTBEAT_TIMEOUT",
+    "request": "MANUAL_RESET",
+}
 
 
 def _flag(condition: Column) -> Column:
@@ -23,14 +33,14 @@ def _flag(condition: Column) -> Column:
 def gate(classified: DataFrame, lane: Lane = LANE) -> DataFrame:
     """Add ``open_before``, ``open_after`` and ``seen_before`` (any snapshot or trigger earlier)."""
     kind = F.col("kind")
-    opens, closes = _flag(kind == "snapshot"), _flag(kind.isin("trigger", "bad_snapshot"))
+    opens, closes = _flag(kind == "snapshot"), _flag(kind.isin(*TRIGGERS, "bad_snapshot"))
     rows = (
         lane.bucketed(classified)
         .withColumn("_opens", F.sum(opens).over(lane.upto()))
         .withColumn("_mark", F.max(F.when(closes == 1, F.col("_opens"))).over(lane.upto()))
         .withColumn("_known", F.col("_mark").isNotNull())
         .withColumn("_parity", (F.col("_opens") - F.coalesce("_mark", F.lit(0))) % 2)
-        .withColumn("_seen", F.max(_flag(kind.isin("snapshot", "trigger"))).over(lane.upto()))
+        .withColumn("_seen", F.max(_flag(kind.isin("snapshot", *TRIGGERS))).over(lane.upto()))
     )
     ends = rows.groupBy(*lane.part).agg(
         F.max_by(F.struct("_parity", "_known"), lane.pos).alias("end"), F.max("_seen").alias("any_seen")
@@ -82,7 +92,7 @@ def coalesce_recovery(gated: DataFrame, lane: Lane = LANE, failures: bool = Fals
     """
     kind, was_open = F.col("kind"), F.col("open_before")
     flagged = gated.withColumn(
-        "is_trigger", (kind == "trigger") | (kind.isin("snapshot", "bad_snapshot") & was_open)
+        "is_trigger", kind.isin(*TRIGGERS) | (kind.isin("snapshot", "bad_snapshot") & was_open)
     )
     if failures:
         pos = F.col(lane.pos)
@@ -231,12 +241,13 @@ def trigger_log(rows: DataFrame, *keep: str) -> DataFrame:
     """Every trigger with its reason code, its text and whether it was applied."""
     kind = F.col("kind")
     invalid = kind.isin("snapshot", "bad_snapshot")
+    reason = F.when(invalid, "OUT_OF_ORDER_OR_INVALID_TRANSITION")
+    for name, code in TRIGGERS.items():
+        reason = reason.when(kind == name, code)
     return rows.where("is_trigger").select(
         *keep,
         F.lit("RESET").alias("request_type"),
-        F.when(invalid, F.lit("OUT_OF_ORDER_OR_INVALID_TRANSITION"))
-        .otherwise(F.lit("STREAM_INTEGRITY_FAILURE"))
-        .alias("reason_code"),
-        F.when(invalid, F.lit("duplicate snapshot")).otherwise(F.lit("subscription or stream failure")).alias("text"),
+        reason.alias("reason_code"),
+        F.when(invalid, F.lit("duplicate snapshot")).otherwise(kind).alias("text"),
         F.when(F.col("attempt"), F.lit("applied")).otherwise(F.lit("ignored")).alias("outcome"),
     )

@@ -17,24 +17,15 @@ from feedlake.operators.session_state import (
     message_transitions,
     trigger_log,
 )
-from feedlake.plans.oracle import L2_KINDS, L2_RULES, PRIOR
+from feedlake.plans.oracle import L2_KINDS, L2_RULES
+from feedlake.plans.registration import Family
 from feedlake.plans.views import l2_frames, table
 from feedlake.sources.capture import last_n
 from feedlake.sources.frames import check_instruments, match_product
 from feedlake.sources.metrics import counter_labels, to_prometheus
 
-QUERIES = {}
-SQL = {}
-
-
-def register(name: str, sql: str | None = None):
-    def keep(query):
-        QUERIES[name] = query
-        if sql is not None:
-            SQL[name] = sql
-        return query
-
-    return keep
+FAMILY = Family()
+register = FAMILY.register
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +276,7 @@ def session_sequence(spark, sf_dir):
     "w3_w4_trigger_log",
     f"""with {L2_RULES} select instrument_id, arrival, 'RESET' as request_type,
   case when kind = 'trigger' then 'STREAM_INTEGRITY_FAILURE' else 'OUT_OF_ORDER_OR_INVALID_TRANSITION' end as reason_code,
-  case when kind = 'trigger' then 'subscription or stream failure' else 'duplicate snapshot' end as text,
+  case when kind = 'trigger' then 'trigger' else 'duplicate snapshot' end as text,
   case when attempt = 1 then 'applied' else 'ignored' end as outcome from r where trg_pos is not null""",
 )
 def triggers(spark, sf_dir):

@@ -42,6 +42,30 @@ def fixed_s(text: str) -> str:
     return f"cast(case when {token} like '%.%' then length({token}) - instr({token}, '.') else 0 end as integer)"
 
 
+def uuid_digits(text: str) -> str:
+    """32 lower-case hex digits of an order id, NULL when malformed."""
+    cut = f"""replace(regexp_extract({text}, '^(-*[0-9a-fA-F]{{2}}){{16}}', 0), '-', '')"""
+    return f"case when {cut} <> '' then lower({cut}) end"
+
+
+def signed_half(hex_text: str, start: int) -> str:
+    """Signed int64 of 16 hex digits from ``start``."""
+    value = f"cast(cast(concat('0x', substr({hex_text}, {start}, 16)) as ubigint) as hugeint)"
+    return f"cast(case when {value} >= 9223372036854775808 then {value} - 18446744073709551616 else {value} end as bigint)"
+
+
+def times_ns(text: str) -> str:
+    """Epoch nanos of an RFC 3339 text, -1 when absent, invalid or zero."""
+    pattern = r"[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]{1,9})?Z"
+    day = f"date_diff('day', date '1970-01-01', try_cast(substr({text}, 1, 10) as date))"
+    clock = f"try_cast(substr({text}, 12, 2) as bigint) * 3600 + try_cast(substr({text}, 15, 2) as bigint) * 60 + try_cast(substr({text}, 18, 2) as bigint)"
+    frac = f"try_cast(rpad(regexp_extract({text}, '\\.([0-9]+)Z$', 1), 9, '0') as bigint)"
+    return (
+        f"coalesce(nullif(case when regexp_full_match({text}, '{pattern}') then ({day} * 86400 + {clock}) * 1000000000 "
+        f"+ {frac} end, 0), -1)"
+    )
+
+
 # Frames of V1 with their kind. The acknowledgement rule is simplified to what V1 contains.
 L2_KINDS = f"""v as ({duck_text(L2_FRAMES_SQL)}),
 f as (select instrument_id, arrival, event_id, ts, payload,

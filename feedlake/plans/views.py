@@ -53,3 +53,49 @@ def l2_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("symbol"),
         F.expr(spark_text(L2_PAYLOAD)).alias("payload"),
     )
+
+
+# V3 rendered to order-by-order JSON frames: every frame type, with missing and invalid fields.
+_L3_TIME = """concat('"time":"', case when o_orderkey % 41 = 0 then '2023-02-30' else cast(cast(o_orderdate as date) as TXT) end, 'T0', cast(o_custkey % 10 as TXT), ':30:15', case when o_orderkey % 4 = 0 then '' else concat('.', cast(o_orderkey % 1000 as TXT)) end, 'Z"')"""
+_L3_PRODUCT = """case when o_orderkey % 37 = 0 then '' else concat(',"product_id":"Q', cast(o_custkey % 50 + case when o_orderkey % 31 = 0 then 1 else 0 end as TXT), '"') end"""
+_L3_SEQUENCE = """concat(',"sequence":', case when o_orderkey % 43 = 0 then '-5' else cast(arrival as TXT) end)"""
+_L3_ORDER = """case when o_orderkey % 47 = 0 then 'not-an-id' when o_orderkey % 53 = 0 then '00000000-0000-0000-0000-000000000000' else md5(cast(o_orderkey as TXT)) end"""
+_L3_SIDE = """concat(',"side":"', case when o_orderkey % 59 = 0 then 'hold' when o_orderkey % 2 = 0 then 'buy' else 'sell' end, '"')"""
+_L3_PRICE = """case when o_orderkey % 29 = 0 then '"1e5"' when o_orderkey % 3 = 0 then cast(cast(o_totalprice as decimal(18,2)) as TXT) else concat('"', cast(cast(o_totalprice as decimal(18,2)) as TXT), '"') end"""
+_L3_SIZE = """concat('"', cast(o_custkey as TXT), '.50"')"""
+
+L3_PAYLOAD = f"""concat('{{', {_L3_TIME}, {_L3_PRODUCT}, {_L3_SEQUENCE}, case o_orderkey % 24
+    when 10 then ',"type":"heartbeat","last_trade_id":7'
+    when 22 then concat(',"type":"subscriptions","channels":[{{"name":"full","product_ids":["X","Q', cast(o_custkey % 50 as TXT), '"]}}', case when o_orderkey % 48 = 22 then concat(' , {{"name":"heartbeat","product_ids":["Q', cast(o_custkey % 50 as TXT), '"]}}') else '' end, ']')
+    when 11 then ',"type" : "error","message":"Failed to subscribe","reason":"bad token"'
+    when 23 then case when o_orderkey % 48 = 23 then ',"type":"status"' else ',"kind":"open"' end
+    else concat({_L3_SIDE}, case o_orderkey % 12
+      when 0 then concat(',"type":"received","order_id":"', {_L3_ORDER}, '","size":', {_L3_SIZE}, ',"price":', {_L3_PRICE}, ',"order_type":"', case o_orderkey % 5 when 0 then 'stop' when 1 then 'iceberg' else 'limit' end, '"')
+      when 1 then concat(',"type":"received","order_id":"', {_L3_ORDER}, '","funds":"3000.5","order_type":"market"')
+      when 4 then concat(',"type":"done","order_id":"', {_L3_ORDER}, '","reason":"filled","remaining_size":"0","price":', {_L3_PRICE})
+      when 5 then concat(',"type":"done","order_id":"', {_L3_ORDER}, '","reason":"', case when o_orderkey % 7 = 0 then 'lost' else 'canceled' end, '","remaining_size":', {_L3_SIZE}, case when o_orderkey % 5 = 0 then ',"cancel_reason":"101"' else '' end)
+      when 6 then concat(',"type":"activate","order_id":"', {_L3_ORDER}, '","stop_type":"entry","stop_price":', {_L3_PRICE})
+      when 7 then concat(',"type":"change","order_id":"', {_L3_ORDER}, '","new_size":', {_L3_SIZE}, ',"old_size":"9.125","price":', {_L3_PRICE})
+      when 8 then concat(',"type":"match","trade_id":5,"maker_order_id":"', {_L3_ORDER}, '","taker_order_id":"', md5(cast(o_custkey as TXT)), '","size":', {_L3_SIZE}, ',"price":', {_L3_PRICE})
+      when 9 then concat(',"type":"match","trade_id":6,"maker_order_id":"', {_L3_ORDER}, '","taker_order_id":"', md5(cast(o_custkey as TXT)), '","size":', {_L3_SIZE}, ',"price":', {_L3_PRICE})
+      else concat(',"type":"open","order_id":"', {_L3_ORDER}, '","remaining_size":', {_L3_SIZE}, ',"price":', {_L3_PRICE}) end) end, '}}')"""
+
+L3_FRAMES_SQL = f"""select cast(o_custkey % 50 as bigint) as instrument_id, arrival, o_orderkey, concat('Q', cast(o_custkey % 50 as TXT)) as symbol,
+  {L3_PAYLOAD} as payload
+from (select *, cast(row_number() over (partition by o_custkey % 50 order by o_orderdate, o_orderkey) as bigint) as arrival from orders) o"""
+
+
+def order_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("instrument_id", (F.col("o_custkey") % 50).cast("bigint"))
+    return dense_arrival(orders, ["instrument_id"], ["o_orderdate", "o_orderkey"])
+
+
+def l3_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3 as order-by-order JSON frames from ``orders``."""
+    return order_arrivals(spark, sf_dir).select(
+        "instrument_id",
+        "arrival",
+        "o_orderkey",
+        F.concat(F.lit("Q"), F.col("instrument_id").cast("string")).alias("symbol"),
+        F.expr(spark_text(L3_PAYLOAD)).alias("payload"),
+    )
