@@ -35,7 +35,8 @@ def liveness_timeouts(
     Monitoring starts at a valid acknowledgement (ignored while it runs). Checks happen ``timeout``
     after the start and then every half timeout; the first that finds the last signal at least a
     timeout old fires and stops monitoring until the next acknowledgement. With ``restart`` (order
-    feed) the recovery subscribes again at once and monitoring goes on from there.
+    feed) monitoring starts at the first signal, and after a timeout the recovery subscribes again at
+    once, so it goes on from there.
 
     Only silences of at least a timeout and the first acknowledgement after each can matter. There
     are at most span / timeout of those per instrument, whatever the number of frames, so the
@@ -48,13 +49,15 @@ def liveness_timeouts(
         lane,
         _ack=max_before(F.when(F.col("kind") == "ack", pos)),
         _quiet=max_before(F.when(F.col("silent"), pos)),
+        _any=max_before(pos),
     )
     # An acknowledgement that itself opened the last silence was taken before that silence.
     is_ack = F.col("kind") == "ack"
     first_ack = is_ack & (
         F.col("_ack").isNull() | F.coalesce(F.col("_ack") <= F.col("_quiet"), F.lit(False))
     )
-    relevant = marked.where(F.col("silent") | first_ack).select(
+    starts = F.col("_any").isNull() if restart else first_ack
+    relevant = marked.where(F.col("silent") | starts).select(
         *lane.keys, lane.pos, F.col(at).alias("at_ns"), "until_ns", "silent", is_ack.alias("is_ack")
     )
     keys = list(lane.keys)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.operators.ordering import dense_arrival
+from feedlake.operators.ordering import Lane, dense_arrival, running, sum_upto
 
 L2_PAYLOAD = """case event_type
     when 'signup' then concat('{"type":"snapshot","product_id":"P', cast(user_id as TXT), '","bids":[["', cast(cast(value as decimal(18,2)) as TXT), '","', case when event_id % 19 = 0 then 'bad' else '1.50' end, '"]],"asks":[["', cast(cast(value + 1 as decimal(18,2)) as TXT), '","2.00"]]}')
@@ -99,3 +99,107 @@ def l3_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Q"), F.col("instrument_id").cast("string")).alias("symbol"),
         F.expr(spark_text(L3_PAYLOAD)).alias("payload"),
     )
+
+
+_V2_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+LEVEL_UPDATES_SQL = f"""select cast(l_suppkey as bigint) as instrument_id,
+  cast(row_number() over (partition by l_suppkey order by {", ".join(_V2_ORDER)}) as bigint) as arrival,
+  case when l_linestatus = 'O' then 1 else 2 end as side,
+  cast(l_partkey % 20 as bigint) as level,
+  cast(cast(l_extendedprice as decimal(18,2)) as TXT) as price_txt,
+  cast(cast(case when l_returnflag = 'N' then 0 else l_quantity end as decimal(18,2)) as TXT) as qty_txt,
+  cast(l_quantity as bigint) as latency
+from lineitem"""
+
+
+def level_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: price-level updates from ``lineitem``."""
+    lines = dense_arrival(table(spark, sf_dir, "lineitem"), ["l_suppkey"], _V2_ORDER)
+    money = "decimal(18,2)"
+    qty = F.when(F.col("l_returnflag") == "N", F.lit(0.0)).otherwise(F.col("l_quantity"))
+    return lines.select(
+        F.col("l_suppkey").cast("bigint").alias("instrument_id"),
+        "arrival",
+        F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("side"),
+        (F.col("l_partkey") % 20).cast("bigint").alias("level"),
+        F.col("l_extendedprice").cast(money).cast("string").alias("price_txt"),
+        qty.cast(money).cast("string").alias("qty_txt"),
+        F.col("l_quantity").cast("bigint").alias("latency"),
+    )
+
+
+REQUESTS_SQL = """select cast(event_id as bigint) as request_id, case when event_id % 10 = 0 then 2 else 1 end as venue,
+  cast(user_id + case when event_id % 13 = 0 then 100000 else 0 end as bigint) as instrument_id,
+  cast(1 + event_id % 3 as integer) as request_type, cast(1 + event_id % 6 as integer) as reason_code
+from events where event_type = 'error'"""
+
+
+def recovery_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4: recovery requests from ``events``; foreign venues and unknown instruments included."""
+    event = F.col("event_id")
+    return table(spark, sf_dir, "events").where("event_type = 'error'").select(
+        event.cast("bigint").alias("request_id"),
+        F.when(event % 10 == 0, 2).otherwise(1).alias("venue"),
+        (F.col("user_id") + F.when(event % 13 == 0, 100000).otherwise(0)).cast("bigint").alias("instrument_id"),
+        (1 + event % 3).cast("int").alias("request_type"),
+        (1 + event % 6).cast("int").alias("reason_code"),
+    )
+
+
+def connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.lit(1).alias("venue"), F.col("user_id").cast("bigint").alias("instrument_id")
+    ).distinct()
+
+
+DELTAS_SQL = """select cast(user_id as bigint) as instrument_id,
+  cast(row_number() over (partition by user_id order by ts, event_id) as bigint) as arrival,
+  cast(row_number() over (partition by user_id order by ts, event_id)
+     + sum(case when event_id % 23 = 0 then 1 else 0 end) over (partition by user_id order by ts, event_id
+         rows between unbounded preceding and current row) as bigint) as seq
+from events"""
+
+
+def sequenced_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: deltas whose sequence has holes, from ``events``."""
+    rows = event_arrivals(spark, sf_dir).select(F.col("user_id").cast("bigint").alias("instrument_id"), "arrival", "event_id")
+    holes = running(rows, Lane(), _holes=sum_upto((F.col("event_id") % 23 == 0).cast("bigint")))
+    return holes.select("instrument_id", "arrival", (F.col("arrival") + F.col("_holes")).alias("seq"))
+
+
+LIFECYCLE_SQL = """select cast(row_number() over (partition by instrument_id order by event_at, src, k1, k2, k3, k4, k5) as bigint) as arrival,
+  cast(instrument_id as bigint) as instrument_id, cast(order_ref as bigint) as order_ref, kind, qty, old_qty
+from (
+  select o_orderkey % 50 as instrument_id, o_orderkey % 500 as order_ref, o_orderdate as event_at, 0 as src,
+    o_orderkey as k1, cast(0 as bigint) as k2, cast(0 as bigint) as k3, cast(0 as decimal(18,2)) as k4, cast(0 as decimal(18,2)) as k5,
+    case o_orderstatus when 'O' then 'open' when 'F' then 'done' else 'change' end as kind,
+    cast(o_custkey as decimal(18,2)) as qty, cast(o_custkey % 7 as decimal(18,2)) as old_qty from orders
+  union all
+  select l_orderkey % 50, l_orderkey % 500, l_shipdate, 1, l_orderkey, cast(l_linenumber as bigint), l_partkey,
+    cast(l_extendedprice as decimal(18,2)), cast(l_quantity as decimal(18,2)), 'match', cast(l_quantity as decimal(18,2)),
+    cast(null as decimal(18,2)) from lineitem
+) x"""
+
+
+def order_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6: order lifecycle and trades as one stream per instrument, from ``orders`` and ``lineitem``."""
+    money = "decimal(18,2)"
+    zero, none = F.lit(0).cast("bigint"), F.lit(0).cast(money)
+    orders = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") % 50).alias("instrument_id"), (F.col("o_orderkey") % 500).alias("order_ref"),
+        F.col("o_orderdate").alias("event_at"), F.lit(0).alias("src"), F.col("o_orderkey").alias("k1"),
+        zero.alias("k2"), zero.alias("k3"), none.alias("k4"), none.alias("k5"),
+        F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "done").otherwise("change").alias("kind"),
+        F.col("o_custkey").cast(money).alias("qty"), (F.col("o_custkey") % 7).cast(money).alias("old_qty"),
+    )
+    matches = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 50).alias("instrument_id"), (F.col("l_orderkey") % 500).alias("order_ref"),
+        F.col("l_shipdate").alias("event_at"), F.lit(1).alias("src"), F.col("l_orderkey").alias("k1"),
+        F.col("l_linenumber").cast("bigint").alias("k2"), F.col("l_partkey").alias("k3"),
+        F.col("l_extendedprice").cast(money).alias("k4"), F.col("l_quantity").cast(money).alias("k5"),
+        F.lit("match").alias("kind"), F.col("l_quantity").cast(money).alias("qty"), F.lit(None).cast(money).alias("old_qty"),
+    )
+    both = orders.unionByName(matches)
+    numbered = dense_arrival(both, ["instrument_id"], ["event_at", "src", "k1", "k2", "k3", "k4", "k5"])
+    return numbered.select("arrival", "instrument_id", "order_ref", "kind", "qty", "old_qty")
