@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedlake.plans import books, level_feed, order_feed
+from feedlake.plans import books, level_feed, messages, order_feed
 
-_FAMILIES = (level_feed.FAMILY, order_feed.FAMILY, books.FAMILY)
+_FAMILIES = (level_feed.FAMILY, order_feed.FAMILY, books.FAMILY, messages.FAMILY)
 
 QUERIES = {name: query for family in _FAMILIES for name, query in family.queries.items()}
 SQL = {name: sql for family in _FAMILIES for name, sql in family.sql.items()}
