@@ -1,0 +1,7 @@
+"""Structured Streaming forms of the session rules."""
+
+from feedlake.streaming.folded import fold_batches, resume_session_rules
+from feedlake.streaming.keyed import keyed_sessions
+from feedlake.streaming.sink import start_keyed, write_once
+
+__all__ = ["fold_batches", "keyed_sessions", "resume_session_rules", "start_keyed", "write_once"]
