@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedlake.plans import books, level_feed, messages, order_feed, streams
+from feedlake.plans import books, level_feed, messages, order_feed, scalars, streams
 
-_FAMILIES = (level_feed.FAMILY, order_feed.FAMILY, books.FAMILY, messages.FAMILY, streams.FAMILY)
+_FAMILIES = tuple(m.FAMILY for m in (level_feed, order_feed, books, messages, scalars, streams))
 
 QUERIES = {name: query for family in _FAMILIES for name, query in family.queries.items()}
 SQL = {name: sql for family in _FAMILIES for name, sql in family.sql.items()}

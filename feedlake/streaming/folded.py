@@ -84,8 +84,12 @@ def fold_batches(
             state = spark.createDataFrame([], STATE_SCHEMA)
         else:
             state = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/epoch={batch_id - 1}")
-        rows, after = resume_session_rules(batch, state, lane)
-        after.write.mode("overwrite").parquet(f"{state_path}/epoch={batch_id}")
-        sink(rows, batch_id)
+        batch.persist()
+        try:
+            rows, after = resume_session_rules(batch, state, lane)
+            after.write.mode("overwrite").parquet(f"{state_path}/epoch={batch_id}")
+            sink(rows, batch_id)
+        finally:
+            batch.unpersist()
 
     return step
