@@ -1,7 +1,7 @@
 """Column functions: every one takes and returns Columns and stays in the JVM."""
 
-from feedlake.functions.fixed import fixed_point, fixed_token, fixed_value, token_to_fixed
-from feedlake.functions.ids import opposite_side, uuid_halves, uuid_text
+from feedlake.functions.fixed import fixed_element, fixed_point, fixed_value
+from feedlake.functions.ids import opposite_side, uuid_element, uuid_halves, uuid_text
 from feedlake.functions.jsontext import (
     first_object_named,
     json_array,
@@ -9,11 +9,11 @@ from feedlake.functions.jsontext import (
     json_long_strict,
     json_raw,
     json_string,
-    quote_count,
+    quoted_groups,
     quoted_strings,
 )
 from feedlake.functions.labels import escape_label, label_name, metric_name, parse_label
-from feedlake.functions.times import ntz_nanos, rfc3339_nanos, timestamp_value
+from feedlake.functions.times import ntz_nanos, rfc3339_element, rfc3339_nanos, timestamp_value
 from feedlake.functions.wirecodes import decode_code, encode_code, encoded_size, venue_key
 
 __all__ = [
@@ -22,8 +22,8 @@ __all__ = [
     "encoded_size",
     "escape_label",
     "first_object_named",
+    "fixed_element",
     "fixed_point",
-    "fixed_token",
     "fixed_value",
     "json_array",
     "json_long_prefix",
@@ -35,11 +35,12 @@ __all__ = [
     "ntz_nanos",
     "opposite_side",
     "parse_label",
-    "quote_count",
+    "quoted_groups",
     "quoted_strings",
+    "rfc3339_element",
     "rfc3339_nanos",
     "timestamp_value",
-    "token_to_fixed",
+    "uuid_element",
     "uuid_halves",
     "uuid_text",
     "venue_key",

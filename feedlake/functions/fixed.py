@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedlake.functions.binding import let
+
 # The largest mantissa, which at scale 0 stands for "no value", and the scale limit.
 MAX_MANTISSA = 9223372036854775807
 MAX_SCALE = 18
@@ -18,9 +20,7 @@ def fixed_token(text: Column) -> Column:
     return F.regexp_extract(text, _TOKEN, 1)
 
 
-def token_to_fixed(token: Column) -> Column:
-    """``struct<m bigint, s int>`` of a token from :func:`fixed_token`; NULL when out of range."""
-    mantissa = F.translate(token, "-.", "").try_cast("bigint")
+def _assemble(token: Column, mantissa: Column) -> Column:
     dot = F.instr(token, ".")
     scale = F.when(dot > 0, F.length(token) - dot).otherwise(F.lit(0))
     negative = token.startswith("-")
@@ -30,9 +30,22 @@ def token_to_fixed(token: Column) -> Column:
     return F.when(usable, F.struct(signed.alias("m"), scale.cast("int").alias("s")))
 
 
+def _mantissa(token: Column) -> Column:
+    return F.translate(token, "-.", "").try_cast("bigint")
+
+
 def fixed_point(text: Column) -> Column:
-    """Parse decimal text to ``struct<m bigint, s int>``, NULL when invalid."""
-    return token_to_fixed(fixed_token(text))
+    """Parse decimal text to ``struct<m bigint, s int>``, NULL when invalid.
+
+    For top-level columns, where generated code evaluates common parts once.
+    """
+    token = fixed_token(text)
+    return _assemble(token, _mantissa(token))
+
+
+def fixed_element(text: Column) -> Column:
+    """:func:`fixed_point` for use inside lambdas, where every part must be bound to be evaluated once."""
+    return let(fixed_token(text), lambda token: let(_mantissa(token), lambda m: _assemble(token, m)))
 
 
 def fixed_value(mantissa: Column, scale: Column) -> Column:

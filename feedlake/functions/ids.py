@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedlake.functions.binding import let
+
 # Hyphens may stand between byte pairs; text after the 16th byte is ignored.
 _UUID = r'^[ \n\r\t]*"?((?:-*[0-9a-fA-F]{2}){16})'
 
 
-def uuid_halves(text: Column, allow_zero: bool = True) -> Column:
-    """``struct<hi bigint, lo bigint>`` of a UUID text; NULL when malformed."""
-    digits = F.translate(F.regexp_extract(text, _UUID, 1), "-", "")
+def _digits(text: Column) -> Column:
+    return F.translate(F.regexp_extract(text, _UUID, 1), "-", "")
+
+
+def _halves(digits: Column, allow_zero: bool) -> Column:
     halves = F.struct(
         F.conv(F.substring(digits, 1, 16), 16, -10).cast("bigint").alias("hi"),
         F.conv(F.substring(digits, 17, 16), 16, -10).cast("bigint").alias("lo"),
@@ -22,6 +26,16 @@ def uuid_halves(text: Column, allow_zero: bool = True) -> Column:
     return F.when(usable, halves)
 
 
+def uuid_halves(text: Column, allow_zero: bool = True) -> Column:
+    """``struct<hi bigint, lo bigint>`` of a UUID text; NULL when malformed."""
+    return _halves(_digits(text), allow_zero)
+
+
+def uuid_element(text: Column, allow_zero: bool = True) -> Column:
+    """:func:`uuid_halves` for use inside lambdas."""
+    return let(_digits(text), lambda digits: _halves(digits, allow_zero))
+
+
 def _hex16(half: Column) -> Column:
     return F.lpad(F.lower(F.hex(half)), 16, "0")
 

@@ -7,9 +7,13 @@ over repeated groups are possessive, so a frame with 10 000 levels matches witho
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedlake.functions.binding import let
+
 WS = r"[ \n\r\t]*+"
 _STRING = r'"[^"\\]*+"'
 _NESTING = 6
@@ -68,15 +72,24 @@ def json_long_prefix(token: Column) -> Column:
     return F.when(digits == "", F.lit(0).cast("bigint")).otherwise(value)
 
 
-def quoted_strings(array_text: Column, per_item: int = 1, which: int = 1) -> Column:
-    """Every quoted string of an array text; with ``per_item`` > 1, the ``which``-th of each run."""
-    one = r'"([^"\\]*+)"'
-    return F.regexp_extract_all(array_text, F.lit(r'[^"]*+'.join([one] * per_item)), F.lit(which))
+def quoted_strings(array_text: Column) -> Column:
+    """Every quoted string of an array text."""
+    return F.regexp_extract_all(array_text, F.lit(r'"([^"\\]*+)"'), F.lit(1))
+
+
+def quoted_groups(array_text: Column, size: int, build: Callable[..., Column]) -> Column:
+    """``build(s1, .., s_size)`` over consecutive runs of ``size`` quoted strings of an array text.
+
+    One split at the quotes: odd pieces are the strings. NULL when a run is incomplete.
+    """
 
+    def over(parts: Column) -> Column:
+        count = F.floor((F.size(parts) - 1) / (2 * size)).cast("int")
+        one = lambda k: build(*[F.get(parts, k * (2 * size) + 2 * i + 1) for i in range(size)])
+        items = F.transform(F.slice(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), F.lit(1), count), one)
+        return F.when((F.size(parts) - 1) % (2 * size) == 0, items)
 
-def quote_count(text: Column) -> Column:
-    """Number of double quotes in a text."""
-    return F.length(text) - F.length(F.translate(text, '"', ""))
+    return let(F.split(array_text, '"'), over)
 
 
 def first_object_named(array_text: Column, name: str) -> Column:

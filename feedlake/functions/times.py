@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedlake.functions.binding import let
+
 NO_TIMESTAMP = -1
 _NANOS = 1_000_000_000
 # One regex validates and cuts: blanks around and a pair of quotes are allowed.
@@ -15,9 +17,7 @@ _RFC3339 = (
 )
 
 
-def rfc3339_nanos(text: Column) -> Column:
-    """Epoch nanos of ``YYYY-MM-DDTHH:MM:SS[.fraction]Z``; -1 for anything else and for epoch zero."""
-    value = F.regexp_extract(text, _RFC3339, 2)
+def _nanos(value: Column) -> Column:
     day = F.unix_date(F.substring(value, 1, 10).try_cast("date")).cast("bigint")
     seconds = (
         day * 86_400
@@ -30,6 +30,16 @@ def rfc3339_nanos(text: Column) -> Column:
     return F.coalesce(F.nullif(nanos, F.lit(0)), F.lit(NO_TIMESTAMP)).cast("bigint")
 
 
+def rfc3339_nanos(text: Column) -> Column:
+    """Epoch nanos of ``YYYY-MM-DDTHH:MM:SS[.fraction]Z``; -1 for anything else and for epoch zero."""
+    return _nanos(F.regexp_extract(text, _RFC3339, 2))
+
+
+def rfc3339_element(text: Column) -> Column:
+    """:func:`rfc3339_nanos` for use inside lambdas."""
+    return let(F.regexp_extract(text, _RFC3339, 2), _nanos)
+
+
 def timestamp_value(text: Column) -> Column:
     """Epoch nanos of a JSON value that is quoted, bare or null."""
     token = F.regexp_extract(text, r'^[ \n\r\t]*+("[^"]*+"?|[^",\]} \n\r\t]*+)', 1)

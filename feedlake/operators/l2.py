@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions.binding import let
-from feedlake.functions.fixed import fixed_token, token_to_fixed
+from feedlake.functions.fixed import fixed_element
 from feedlake.functions.jsontext import (
     first_object_named,
     json_array,
     json_string,
-    quote_count,
+    quoted_groups,
     quoted_strings,
 )
 from feedlake.functions.times import rfc3339_nanos
@@ -39,10 +39,6 @@ LEVEL_COLUMNS = ("side", "action", "price_m", "price_s", "qty_m", "qty_s")
 ACK_CHANNELS = ("level2", "heartbeat")
 
 
-def _tokens(texts: Column) -> Column:
-    return F.transform(texts, fixed_token)
-
-
 def _level(side: Column, action: Column, price: Column, qty: Column) -> Column:
     return F.struct(
         side.cast("int").alias("side"),
@@ -54,21 +50,9 @@ def _level(side: Column, action: Column, price: Column, qty: Column) -> Column:
     )
 
 
-def _upserts(side: int):
-    def build(p: Column, q: Column) -> Column:
-        return _level(F.lit(side), F.lit(1), token_to_fixed(p), token_to_fixed(q))
-
-    return build
-
-
-def _whole(text: Column, per_level: int, build, usable) -> Column:
-    """Levels of an array text, NULL unless every level is usable and no string is left over."""
-
-    def checked(t: Column) -> Column:
-        levels = let(build(t), lambda found: F.when(F.forall(found, usable), found))
-        return F.when(quote_count(t) % (2 * per_level) == 0, levels)
-
-    return let(text, checked)
+def _all_usable(levels: Column, usable) -> Column:
+    """One bad level rejects the message."""
+    return let(levels, lambda found: F.when(F.forall(found, usable), found))
 
 
 def _priced(level: Column) -> Column:
@@ -76,37 +60,29 @@ def _priced(level: Column) -> Column:
 
 
 def snapshot_levels(payload: Column) -> Column:
-    """Bids then asks, always UPSERT. Both sides are required, each may be empty."""
+    """Bids then asks, always UPSERT; NULL rejects the frame. Both sides are required, each may be empty."""
 
     def one(key: str, side: int) -> Column:
-        return _whole(
-            json_array(payload, key),
-            2,
-            lambda t: F.zip_with(_tokens(quoted_strings(t, 2, 1)), _tokens(quoted_strings(t, 2, 2)), _upserts(side)),
-            _priced,
-        )
+        def build(price: Column, size: Column) -> Column:
+            return _level(F.lit(side), F.lit(1), fixed_element(price), fixed_element(size))
+
+        return quoted_groups(json_array(payload, key), 2, build)
 
-    return F.concat(one("bids", 1), one("asks", 2))
+    return _all_usable(F.concat(one("bids", 1), one("asks", 2)), _priced)
 
 
 def update_levels(payload: Column) -> Column:
     """``[side, price, size]`` changes in order: zero size deletes, negative size rejects."""
 
-    def build(t: Column) -> Column:
-        return F.zip_with(
-            quoted_strings(t, 3, 1),
-            F.zip_with(_tokens(quoted_strings(t, 3, 2)), _tokens(quoted_strings(t, 3, 3)), _upserts(0)),
-            lambda s, x: F.struct(
-                F.when(s == "buy", F.lit(1)).when(s == "sell", F.lit(2)).alias("side"),
-                F.when(x["qty_m"] == 0, F.lit(2)).otherwise(F.lit(1)).alias("action"),
-                *[x[c].alias(c) for c in LEVEL_COLUMNS[2:]],
-            ),
+    def build(side: Column, price: Column, size: Column) -> Column:
+        code = F.when(side == "buy", 1).when(side == "sell", 2)
+        return let(
+            fixed_element(size),
+            lambda qty: _level(code, F.when(qty["m"] == 0, 2).otherwise(1), fixed_element(price), qty),
         )
 
-    return _whole(
-        json_array(payload, "changes"),
-        3,
-        build,
+    return _all_usable(
+        quoted_groups(json_array(payload, "changes"), 3, build),
         lambda x: _priced(x) & x["side"].isNotNull() & (x["qty_m"] >= 0),
     )
 

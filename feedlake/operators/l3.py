@@ -10,10 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions.binding import let
-from feedlake.functions.fixed import fixed_point
-from feedlake.functions.ids import uuid_halves
-from feedlake.functions.jsontext import json_array, json_long_prefix, json_long_strict, json_raw, json_string
-from feedlake.functions.times import rfc3339_nanos
+from feedlake.functions.fixed import fixed_element
+from feedlake.functions.ids import uuid_element
+from feedlake.functions.jsontext import (
+    json_array,
+    json_long_prefix,
+    json_long_strict,
+    json_raw,
+    json_string,
+    quoted_groups,
+)
+from feedlake.functions.times import rfc3339_element
 from feedlake.operators.l2 import ack_valid
 
 ORDER_TYPES = ("received", "open", "done", "activate", "change")
@@ -63,7 +70,7 @@ def _zero_id() -> Column:
 def _optional(text: Column) -> Column:
     """Missing or blank reads as (0, 0); present but invalid stays NULL."""
     blank = text.isNull() | (F.btrim(text, F.lit(" \n\r\t")) == "")
-    return F.when(blank, _zero_fixed()).otherwise(fixed_point(text))
+    return F.when(blank, _zero_fixed()).otherwise(fixed_element(text))
 
 
 def _by_type(kind: Column, **values: Column) -> Column:
@@ -75,7 +82,7 @@ def _by_type(kind: Column, **values: Column) -> Column:
 
 def _event(kind: Column, f: Column) -> Column:
     """The row of a frame as one struct, NULL when any needed field is missing or invalid."""
-    zero, order_id = _zero_fixed(), uuid_halves(f["order_id"], allow_zero=False)
+    zero, order_id = _zero_fixed(), uuid_element(f["order_id"], allow_zero=False)
     done = F.when(f["reason"] == "filled", 4).when(
         f["reason"] == "canceled",
         F.when(F.coalesce(json_long_strict(f["cancel_reason"]) == 101, F.lit(False)), 6).otherwise(5),
@@ -86,26 +93,26 @@ def _event(kind: Column, f: Column) -> Column:
     )
     parts = F.struct(
         json_long_strict(f["sequence"]).alias("seq"),
-        F.coalesce(rfc3339_nanos(f["time"]), F.lit(-1).cast("bigint")).alias("ns"),
-        F.when(kind == "match", uuid_halves(f["maker_order_id"], allow_zero=False)).otherwise(order_id).alias("id"),
-        F.when(kind == "match", uuid_halves(f["taker_order_id"], allow_zero=False)).otherwise(_zero_id()).alias("other"),
+        F.coalesce(rfc3339_element(f["time"]), F.lit(-1).cast("bigint")).alias("ns"),
+        F.when(kind == "match", uuid_element(f["maker_order_id"], allow_zero=False)).otherwise(order_id).alias("id"),
+        F.when(kind == "match", uuid_element(f["taker_order_id"], allow_zero=False)).otherwise(_zero_id()).alias("other"),
         F.when(f["side"] == "buy", 1).when(f["side"] == "sell", 2).alias("side"),
         _by_type(kind, received=F.lit(0), open=F.lit(1), done=done, activate=F.lit(2), change=F.lit(3), match=F.lit(0)).alias("reason"),
         _by_type(kind, received=placed, open=F.lit(1), done=F.lit(0), activate=F.lit(3), change=F.lit(0), match=F.lit(0)).alias("order_type"),
         F.when(kind.isin("received", "done"), _optional(f["price"]))
-        .when(kind == "activate", fixed_point(f["stop_price"]))
-        .otherwise(fixed_point(f["price"]))
+        .when(kind == "activate", fixed_element(f["stop_price"]))
+        .otherwise(fixed_element(f["price"]))
         .alias("price"),
         _by_type(
             kind,
             received=_optional(f["size"]),
-            open=fixed_point(f["remaining_size"]),
-            done=fixed_point(f["remaining_size"]),
+            open=fixed_element(f["remaining_size"]),
+            done=fixed_element(f["remaining_size"]),
             activate=zero,
-            change=fixed_point(f["new_size"]),
-            match=fixed_point(f["size"]),
+            change=fixed_element(f["new_size"]),
+            match=fixed_element(f["size"]),
         ).alias("qty"),
-        F.when(kind == "change", fixed_point(f["old_size"])).otherwise(zero).alias("old"),
+        F.when(kind == "change", fixed_element(f["old_size"])).otherwise(zero).alias("old"),
     )
 
     def complete(p: Column) -> Column:
@@ -176,10 +183,15 @@ def classify_l3(frames: DataFrame) -> DataFrame:
     )
 
 
+def _with_event(classified: DataFrame, *keep: str) -> DataFrame:
+    # A filter on the generator's output stays above it; one on the column would repeat the parse.
+    return classified.select(*keep, F.explode_outer(F.array("event")).alias("event")).where("event is not null")
+
+
 def order_events(classified: DataFrame, *keep: str, frame_type: str | None = None) -> DataFrame:
     """Order-lifecycle rows; the order time is the frame's time."""
     wanted = F.col("frame_type") == frame_type if frame_type else F.col("frame_type").isin(*ORDER_TYPES)
-    rows = classified.where(wanted).where(F.col("event").isNotNull())
+    rows = _with_event(classified.where(wanted), *keep)
     return rows.select(
         *keep,
         *[F.col(f"event.{c}").alias(c) for c in EVENT_COLUMNS if not c.startswith("other_")],
@@ -189,7 +201,7 @@ def order_events(classified: DataFrame, *keep: str, frame_type: str | None = Non
 
 def trades(classified: DataFrame, *keep: str) -> DataFrame:
     """Trade rows of match frames; ``taker_side`` is the side in the frame."""
-    rows = classified.where("frame_type = 'match'").where(F.col("event").isNotNull())
+    rows = _with_event(classified.where("frame_type = 'match'"), *keep)
     e = F.col("event")
     return rows.select(
         *keep,
@@ -204,9 +216,6 @@ def trades(classified: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-_ENTRY = r'\[[^"\[\]]*+"([^"]*+)"[^"]*+"([^"]*+)"[^"]*+"([^"]*+)"[^\]]*+\]'
-
-
 def rest_book_entries(documents: DataFrame) -> DataFrame:
     """Add ``sequence`` and ``entries`` to book documents with a ``payload``.
 
@@ -217,20 +226,16 @@ def rest_book_entries(documents: DataFrame) -> DataFrame:
     payload = F.col("payload")
 
     def side_entries(key: str, side: int) -> Column:
-        def build(text: Column) -> Column:
-            def cut(i: int) -> Column:
-                return F.regexp_extract_all(text, F.lit(_ENTRY), F.lit(i))
-
-            priced = F.zip_with(cut(1), cut(2), lambda p, q: F.struct(_or_reserved(p).alias("p"), _or_reserved(q).alias("q")))
-            return F.zip_with(
-                priced,
-                cut(3),
-                lambda pq, oid: F.struct(
-                    F.lit(side).alias("side"), uuid_halves(oid).alias("id"), pq["p"].alias("price"), pq["q"].alias("qty")
-                ),
+        def build(price: Column, size: Column, order_id: Column) -> Column:
+            return F.struct(
+                F.lit(side).alias("side"),
+                uuid_element(order_id).alias("id"),
+                _or_reserved(price).alias("price"),
+                _or_reserved(size).alias("qty"),
             )
 
-        return F.coalesce(let(json_array(payload, key), build), F.array())
+        array = json_array(payload, key)
+        return F.when(array.isNull(), F.array()).otherwise(quoted_groups(array, 3, build))
 
     has_sequence = payload.rlike(r'"sequence"[ \n\r\t]*+:')
     digits = F.regexp_extract(payload, r'"sequence"[ \n\r\t]*+:[ \n\r\t]*+([0-9]*)', 1)
@@ -244,7 +249,7 @@ def rest_book_entries(documents: DataFrame) -> DataFrame:
 
 def _or_reserved(text: Column) -> Column:
     reserved = F.struct(F.lit(9223372036854775807).alias("m"), F.lit(0).alias("s"))
-    return F.coalesce(fixed_point(text), reserved)
+    return F.coalesce(fixed_element(text), reserved)
 
 
 def flatten_rest_book(documents: DataFrame, *keep: str) -> DataFrame:

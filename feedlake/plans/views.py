@@ -44,21 +44,22 @@ def event_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l2_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1: price-level JSON frames from ``events``."""
-    return event_arrivals(spark, sf_dir).select(
+    """V1: price-level JSON frames from ``events``. The payload is made before the rows are numbered, so
+    that later filters meet a stored column and not its derivation."""
+    frames = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("bigint").alias("instrument_id"),
-        "arrival",
         "event_id",
         "ts",
         F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("symbol"),
         F.expr(spark_text(L2_PAYLOAD)).alias("payload"),
     )
+    return dense_arrival(frames, ["instrument_id"], ["ts", "event_id"])
 
 
 # V3 rendered to order-by-order JSON frames: every frame type, with missing and invalid fields.
 _L3_TIME = """concat('"time":"', case when o_orderkey % 41 = 0 then '2023-02-30' else cast(cast(o_orderdate as date) as TXT) end, 'T0', cast(o_custkey % 10 as TXT), ':30:15', case when o_orderkey % 4 = 0 then '' else concat('.', cast(o_orderkey % 1000 as TXT)) end, 'Z"')"""
 _L3_PRODUCT = """case when o_orderkey % 37 = 0 then '' else concat(',"product_id":"Q', cast(o_custkey % 50 + case when o_orderkey % 31 = 0 then 1 else 0 end as TXT), '"') end"""
-_L3_SEQUENCE = """concat(',"sequence":', case when o_orderkey % 43 = 0 then '-5' else cast(arrival as TXT) end)"""
+_L3_SEQUENCE = """concat(',"sequence":', case when o_orderkey % 43 = 0 then '-5' else cast(o_orderkey + 1 as TXT) end)"""
 _L3_ORDER = """case when o_orderkey % 47 = 0 then 'not-an-id' when o_orderkey % 53 = 0 then '00000000-0000-0000-0000-000000000000' else md5(cast(o_orderkey as TXT)) end"""
 _L3_SIDE = """concat(',"side":"', case when o_orderkey % 59 = 0 then 'hold' when o_orderkey % 2 = 0 then 'buy' else 'sell' end, '"')"""
 _L3_PRICE = """case when o_orderkey % 29 = 0 then '"1e5"' when o_orderkey % 3 = 0 then cast(cast(o_totalprice as decimal(18,2)) as TXT) else concat('"', cast(cast(o_totalprice as decimal(18,2)) as TXT), '"') end"""
@@ -85,20 +86,17 @@ L3_FRAMES_SQL = f"""select cast(o_custkey % 50 as bigint) as instrument_id, arri
 from (select *, cast(row_number() over (partition by o_custkey % 50 order by o_orderdate, o_orderkey) as bigint) as arrival from orders) o"""
 
 
-def order_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").withColumn("instrument_id", (F.col("o_custkey") % 50).cast("bigint"))
-    return dense_arrival(orders, ["instrument_id"], ["o_orderdate", "o_orderkey"])
-
-
 def l3_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3 as order-by-order JSON frames from ``orders``."""
-    return order_arrivals(spark, sf_dir).select(
-        "instrument_id",
-        "arrival",
+    instrument = (F.col("o_custkey") % 50).cast("bigint")
+    frames = table(spark, sf_dir, "orders").select(
+        instrument.alias("instrument_id"),
+        "o_orderdate",
         "o_orderkey",
-        F.concat(F.lit("Q"), F.col("instrument_id").cast("string")).alias("symbol"),
+        F.concat(F.lit("Q"), instrument.cast("string")).alias("symbol"),
         F.expr(spark_text(L3_PAYLOAD)).alias("payload"),
     )
+    return dense_arrival(frames, ["instrument_id"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
 _V2_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
