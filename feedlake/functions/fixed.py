@@ -37,14 +37,8 @@ def _mantissa(token: Column) -> Column:
 def fixed_point(text: Column) -> Column:
     """Parse decimal text to ``struct<m bigint, s int>``, NULL when invalid.
 
-    For top-level columns, where generated code evaluates common parts once.
+    The token and its mantissa are bound, so the regex and the cast run once per value.
     """
-    token = fixed_token(text)
-    return _assemble(token, _mantissa(token))
-
-
-def fixed_element(text: Column) -> Column:
-    """:func:`fixed_point` for use inside lambdas, where every part must be bound to be evaluated once."""
     return let(fixed_token(text), lambda token: let(_mantissa(token), lambda m: _assemble(token, m)))
 
 

@@ -7,8 +7,18 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.binding import let
 
-# Hyphens may stand between byte pairs; text after the 16th byte is ignored.
-_UUID = r'^[ \n\r\t]*"?((?:-*[0-9a-fA-F]{2}){16})'
+# Hyphens may stand between byte pairs; text after the 16th byte is ignored. The two usual spellings
+# come first because they match without a loop.
+_HEX = "[0-9a-fA-F]"
+_UUID = (
+    r'^[ \n\r\t]*+"?+('
+    rf"{_HEX}{{8}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{12}}|{_HEX}{{32}}|(?:-*+{_HEX}{{2}}){{16}})"
+)
+
+
+def is_uuid(text: Column) -> Column:
+    """Whether :func:`uuid_halves` would accept the text."""
+    return text.rlike(_UUID)
 
 
 def _digits(text: Column) -> Column:
@@ -28,11 +38,6 @@ def _halves(digits: Column, allow_zero: bool) -> Column:
 
 def uuid_halves(text: Column, allow_zero: bool = True) -> Column:
     """``struct<hi bigint, lo bigint>`` of a UUID text; NULL when malformed."""
-    return _halves(_digits(text), allow_zero)
-
-
-def uuid_element(text: Column, allow_zero: bool = True) -> Column:
-    """:func:`uuid_halves` for use inside lambdas."""
     return let(_digits(text), lambda digits: _halves(digits, allow_zero))
 
 

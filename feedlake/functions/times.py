@@ -32,11 +32,6 @@ def _nanos(value: Column) -> Column:
 
 def rfc3339_nanos(text: Column) -> Column:
     """Epoch nanos of ``YYYY-MM-DDTHH:MM:SS[.fraction]Z``; -1 for anything else and for epoch zero."""
-    return _nanos(F.regexp_extract(text, _RFC3339, 2))
-
-
-def rfc3339_element(text: Column) -> Column:
-    """:func:`rfc3339_nanos` for use inside lambdas."""
     return let(F.regexp_extract(text, _RFC3339, 2), _nanos)
 
 

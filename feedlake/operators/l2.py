@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions.binding import let
-from feedlake.functions.fixed import fixed_element
+from feedlake.functions.fixed import fixed_point
 from feedlake.functions.jsontext import (
     first_object_named,
     json_array,
@@ -64,7 +64,7 @@ def snapshot_levels(payload: Column) -> Column:
 
     def one(key: str, side: int) -> Column:
         def build(price: Column, size: Column) -> Column:
-            return _level(F.lit(side), F.lit(1), fixed_element(price), fixed_element(size))
+            return _level(F.lit(side), F.lit(1), fixed_point(price), fixed_point(size))
 
         return quoted_groups(json_array(payload, key), 2, build)
 
@@ -77,8 +77,8 @@ def update_levels(payload: Column) -> Column:
     def build(side: Column, price: Column, size: Column) -> Column:
         code = F.when(side == "buy", 1).when(side == "sell", 2)
         return let(
-            fixed_element(size),
-            lambda qty: _level(code, F.when(qty["m"] == 0, 2).otherwise(1), fixed_element(price), qty),
+            fixed_point(size),
+            lambda qty: _level(code, F.when(qty["m"] == 0, 2).otherwise(1), fixed_point(price), qty),
         )
 
     return _all_usable(

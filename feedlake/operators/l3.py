@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions.binding import let
-from feedlake.functions.fixed import fixed_element
-from feedlake.functions.ids import uuid_element
+from feedlake.functions.fixed import MAX_MANTISSA, fixed_point
+from feedlake.functions.ids import is_uuid, uuid_halves
 from feedlake.functions.jsontext import (
     json_array,
     json_long_prefix,
@@ -20,7 +20,7 @@ from feedlake.functions.jsontext import (
     json_string,
     quoted_groups,
 )
-from feedlake.functions.times import rfc3339_element
+from feedlake.functions.times import rfc3339_nanos
 from feedlake.operators.l2 import ack_valid
 
 ORDER_TYPES = ("received", "open", "done", "activate", "change")
@@ -70,7 +70,7 @@ def _zero_id() -> Column:
 def _optional(text: Column) -> Column:
     """Missing or blank reads as (0, 0); present but invalid stays NULL."""
     blank = text.isNull() | (F.btrim(text, F.lit(" \n\r\t")) == "")
-    return F.when(blank, _zero_fixed()).otherwise(fixed_element(text))
+    return F.when(blank, _zero_fixed()).otherwise(fixed_point(text))
 
 
 def _by_type(kind: Column, **values: Column) -> Column:
@@ -82,7 +82,7 @@ def _by_type(kind: Column, **values: Column) -> Column:
 
 def _event(kind: Column, f: Column) -> Column:
     """The row of a frame as one struct, NULL when any needed field is missing or invalid."""
-    zero, order_id = _zero_fixed(), uuid_element(f["order_id"], allow_zero=False)
+    zero, order_id = _zero_fixed(), uuid_halves(f["order_id"], allow_zero=False)
     done = F.when(f["reason"] == "filled", 4).when(
         f["reason"] == "canceled",
         F.when(F.coalesce(json_long_strict(f["cancel_reason"]) == 101, F.lit(False)), 6).otherwise(5),
@@ -93,26 +93,26 @@ def _event(kind: Column, f: Column) -> Column:
     )
     parts = F.struct(
         json_long_strict(f["sequence"]).alias("seq"),
-        F.coalesce(rfc3339_element(f["time"]), F.lit(-1).cast("bigint")).alias("ns"),
-        F.when(kind == "match", uuid_element(f["maker_order_id"], allow_zero=False)).otherwise(order_id).alias("id"),
-        F.when(kind == "match", uuid_element(f["taker_order_id"], allow_zero=False)).otherwise(_zero_id()).alias("other"),
+        F.coalesce(rfc3339_nanos(f["time"]), F.lit(-1).cast("bigint")).alias("ns"),
+        F.when(kind == "match", uuid_halves(f["maker_order_id"], allow_zero=False)).otherwise(order_id).alias("id"),
+        F.when(kind == "match", uuid_halves(f["taker_order_id"], allow_zero=False)).otherwise(_zero_id()).alias("other"),
         F.when(f["side"] == "buy", 1).when(f["side"] == "sell", 2).alias("side"),
         _by_type(kind, received=F.lit(0), open=F.lit(1), done=done, activate=F.lit(2), change=F.lit(3), match=F.lit(0)).alias("reason"),
         _by_type(kind, received=placed, open=F.lit(1), done=F.lit(0), activate=F.lit(3), change=F.lit(0), match=F.lit(0)).alias("order_type"),
         F.when(kind.isin("received", "done"), _optional(f["price"]))
-        .when(kind == "activate", fixed_element(f["stop_price"]))
-        .otherwise(fixed_element(f["price"]))
+        .when(kind == "activate", fixed_point(f["stop_price"]))
+        .otherwise(fixed_point(f["price"]))
         .alias("price"),
         _by_type(
             kind,
             received=_optional(f["size"]),
-            open=fixed_element(f["remaining_size"]),
-            done=fixed_element(f["remaining_size"]),
+            open=fixed_point(f["remaining_size"]),
+            done=fixed_point(f["remaining_size"]),
             activate=zero,
-            change=fixed_element(f["new_size"]),
-            match=fixed_element(f["size"]),
+            change=fixed_point(f["new_size"]),
+            match=fixed_point(f["size"]),
         ).alias("qty"),
-        F.when(kind == "change", fixed_element(f["old_size"])).otherwise(zero).alias("old"),
+        F.when(kind == "change", fixed_point(f["old_size"])).otherwise(zero).alias("old"),
     )
 
     def complete(p: Column) -> Column:
@@ -217,21 +217,17 @@ def trades(classified: DataFrame, *keep: str) -> DataFrame:
 
 
 def rest_book_entries(documents: DataFrame) -> DataFrame:
-    """Add ``sequence`` and ``entries`` to book documents with a ``payload``.
+    """Add ``sequence`` and ``entries`` (texts) to book documents with a ``payload``.
 
     Entries are ``[price, size, order_id]``, bids then asks; one bad order id or a missing sequence
-    (both NULL then) refuses the document.
-    Price and size keep the reserved (maximum, 0) pair when they are invalid.
+    (NULL then) refuses the document.
     """
     payload = F.col("payload")
 
     def side_entries(key: str, side: int) -> Column:
         def build(price: Column, size: Column, order_id: Column) -> Column:
             return F.struct(
-                F.lit(side).alias("side"),
-                uuid_element(order_id).alias("id"),
-                _or_reserved(price).alias("price"),
-                _or_reserved(size).alias("qty"),
+                F.lit(side).alias("side"), price.alias("price"), size.alias("size"), order_id.alias("order_id")
             )
 
         array = json_array(payload, key)
@@ -243,37 +239,45 @@ def rest_book_entries(documents: DataFrame) -> DataFrame:
     return documents.select(
         "*",
         F.when(has_sequence, json_long_prefix(digits)).alias("sequence"),
-        let(both, lambda es: F.when(F.forall(es, lambda e: e["id"].isNotNull()), es)).alias("entries"),
+        let(both, lambda es: F.when(F.forall(es, lambda e: is_uuid(e["order_id"])), es)).alias("entries"),
     )
 
 
-def _or_reserved(text: Column) -> Column:
-    reserved = F.struct(F.lit(9223372036854775807).alias("m"), F.lit(0).alias("s"))
-    return F.coalesce(fixed_element(text), reserved)
-
-
 def flatten_rest_book(documents: DataFrame, *keep: str) -> DataFrame:
-    """Order rows of accepted book documents: UPSERT, OPEN, LIMIT, no time, both sequences from the document."""
+    """Order rows of accepted book documents: UPSERT, OPEN, LIMIT, no time, both sequences from the document.
+
+    The document is accepted or refused on the texts; numbers are parsed after the explode, in
+    generated code. Price and size keep the reserved (maximum, 0) pair when they are invalid.
+    """
     parsed = rest_book_entries(documents)
     # The outer form keeps the optimizer from repeating the whole parse in an inferred filter.
     rows = parsed.select(*keep, "sequence", F.posexplode_outer("entries").alias("entry_pos", "e")).where(
         "entry_pos is not null and sequence is not null"
     )
-    e = F.col("e")
-    return rows.select(
+    numbers = rows.select(
+        *keep,
+        "sequence",
+        "entry_pos",
+        "e.side",
+        uuid_halves(F.col("e.order_id")).alias("id"),
+        fixed_point(F.col("e.price")).alias("p"),
+        fixed_point(F.col("e.size")).alias("q"),
+    )
+    reserved, zero = F.lit(MAX_MANTISSA), F.lit(0)
+    return numbers.select(
         *keep,
         F.col("sequence").alias("seq1"),
         F.col("sequence").alias("seq2"),
         "entry_pos",
-        e["id"]["hi"].alias("id_high"),
-        e["id"]["lo"].alias("id_low"),
-        e["side"].alias("side"),
+        F.col("id.hi").alias("id_high"),
+        F.col("id.lo").alias("id_low"),
+        "side",
         F.lit(1).alias("action"),
         F.lit(1).alias("reason"),
         F.lit(1).alias("order_type"),
         F.lit(-1).cast("bigint").alias("order_ns"),
-        e["price"]["m"].alias("price_m"),
-        e["price"]["s"].alias("price_s"),
-        e["qty"]["m"].alias("qty_m"),
-        e["qty"]["s"].alias("qty_s"),
+        F.coalesce("p.m", reserved).alias("price_m"),
+        F.coalesce("p.s", zero).alias("price_s"),
+        F.coalesce("q.m", reserved).alias("qty_m"),
+        F.coalesce("q.s", zero).alias("qty_s"),
     )

@@ -24,7 +24,7 @@ from feedlake.session import reliable_checkpoint
 BUCKET_ROWS = 1 << 20
 BUCKET = "_bucket"
 # A group up to this many narrow rows is sorted in one task; larger ones are range-split.
-GROUP_LIMIT = 4_000_000
+GROUP_LIMIT = 1 << 20
 SALTS = 32
 
 

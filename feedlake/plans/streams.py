@@ -19,22 +19,11 @@ register = FAMILY.register
 _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def classified_stream(spark, sf_dir, pieces: int = 3):
-    """V1 as a stream of several micro-batches, in event order.
-
-    The events are laid out as one append per piece; event ids grow with time, so they serve as the
-    arrival position.
-    """
-    events = table(spark, sf_dir, "events")
-    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
-    width = (high - low) // pieces + 1
-    source = fresh_path(spark, "frames")
-    for piece in range(pieces):
-        part = events.where(F.col("event_id").between(low + piece * width, low + (piece + 1) * width - 1))
-        part.coalesce(1).write.mode("append").parquet(source)
+def classified_stream(spark, source: str):
+    """V1 as a stream. Event ids grow with time, so they serve as the arrival position."""
     frames = (
         spark.readStream.schema(_EVENTS)
-        .option("maxFilesPerTrigger", 1)
+        .option("maxFilesPerTrigger", 1_000_000)
         .parquet(source)
         .select(
             F.col("user_id").cast("bigint").alias("instrument_id"),
@@ -48,6 +37,21 @@ def classified_stream(spark, sf_dir, pieces: int = 3):
     return classify_l2(frames).select("instrument_id", "arrival", "kind", "at_ns", "event_time")
 
 
+def run_in_pieces(spark, sf_dir, start, pieces: int = 3):
+    """Append the events piece by piece, in order, and drain the stream after each piece.
+
+    Every drain is a new query on the same checkpoint, so this also exercises restarts.
+    """
+    events = table(spark, sf_dir, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    width = (high - low) // pieces + 1
+    source = fresh_path(spark, "frames")
+    for piece in range(pieces):
+        first = low + piece * width
+        events.where(F.col("event_id").between(first, first + width - 1)).write.mode("append").parquet(source)
+        start(classified_stream(spark, source)).awaitTermination()
+
+
 _ROWS_SQL = f"""with {L2_RULES} select instrument_id, event_id as arrival, kind, disposition, attempt = 1 as attempt, ignored = 1 as ignored,
   session_id, gateway_seq from r"""
 _ROWS = ("instrument_id", "arrival", "kind", "disposition", "attempt", "ignored", "session_id", "gateway_seq")
@@ -57,8 +61,10 @@ _ROWS = ("instrument_id", "arrival", "kind", "disposition", "attempt", "ignored"
 def t1_keyed_sessions(spark, sf_dir):
     """Keyed state over several micro-batches equals the batch fold."""
     out = fresh_path(spark, "sessions")
-    stream = keyed_sessions(classified_stream(spark, sf_dir))
-    start_keyed(stream, write_once(out), fresh_path(spark, "checkpoint"), once=True).awaitTermination()
+    checkpoint = fresh_path(spark, "checkpoint")
+    run_in_pieces(
+        spark, sf_dir, lambda stream: start_keyed(keyed_sessions(stream), write_once(out), checkpoint, once=True)
+    )
     return spark.read.parquet(out).select(*_ROWS)
 
 
@@ -67,8 +73,12 @@ def t5_folded_sessions(spark, sf_dir):
     """Bucketed folds per micro-batch with a carried state table, written by an idempotent sink."""
     out = fresh_path(spark, "folded")
     step = fold_batches(spark, fresh_path(spark, "state"), write_once(out))
-    stream = classified_stream(spark, sf_dir).select("instrument_id", "arrival", "kind")
-    start_keyed(stream, step, fresh_path(spark, "checkpoint"), once=True).awaitTermination()
+    checkpoint = fresh_path(spark, "checkpoint")
+
+    def start(stream):
+        return start_keyed(stream.select("instrument_id", "arrival", "kind"), step, checkpoint, once=True)
+
+    run_in_pieces(spark, sf_dir, start)
     return spark.read.parquet(out).select(*_ROWS)
 
 
@@ -80,8 +90,12 @@ select instrument_id, fired_ns as at_ns from fired, mx where fired_ns // 1000000
 def t2_liveness_timers(spark, sf_dir):
     """Twelve-hour timeouts from timers and catch-up; the watermark ends a minute before the newest frame."""
     out = fresh_path(spark, "liveness")
-    stream = keyed_sessions(classified_stream(spark, sf_dir), timeout_ns=TIMEOUT)
-    start_keyed(stream, write_once(out), fresh_path(spark, "checkpoint"), once=True).awaitTermination()
+    checkpoint = fresh_path(spark, "checkpoint")
+
+    def start(stream):
+        return start_keyed(keyed_sessions(stream, timeout_ns=TIMEOUT), write_once(out), checkpoint, once=True)
+
+    run_in_pieces(spark, sf_dir, start)
     newest = table(spark, sf_dir, "events").agg(F.max(ntz_nanos(F.col("ts")))).first()[0]
     limit = newest // 1_000_000 - 60_000
     fired = spark.read.parquet(out).where("kind = 'timeout'")
