@@ -65,7 +65,7 @@ def gate(classified: DataFrame, lane: Lane = LANE) -> DataFrame:
     return lane.released(done, classified)
 
 
-def _gate_starts(ends: DataFrame, lane: Lane) -> DataFrame:
+def _gate_starts(ends: DataFrame, lane: Lane, *keep: str) -> DataFrame:
     """State at the start of each bucket from the end-of-bucket parities."""
     w = lane.across()
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -77,6 +77,7 @@ def _gate_starts(ends: DataFrame, lane: Lane) -> DataFrame:
         .withColumn("_out", (F.col("_sum") - F.coalesce("_base", F.lit(0))) % 2)
         .select(
             *lane.part,
+            *keep,
             F.coalesce(F.lag("_out").over(w), F.lit(0)).alias("_start_open"),
             F.coalesce(F.max("any_seen").over(earlier), F.lit(0)).alias("_start_seen"),
         )
@@ -170,9 +171,125 @@ def sequence(rows: DataFrame, lane: Lane = LANE) -> DataFrame:
 
 
 def apply_session_rules(classified: DataFrame, lane: Lane = LANE, failures: bool = False) -> DataFrame:
-    """Gate, coalescing, disposition, session and sequence in one go."""
+    """Gate, coalescing, disposition, session and sequence in one go.
+
+    Without failed recoveries all of it needs one pass over the rows: see :func:`_rules_in_one_pass`.
+    """
     placed = lane.bucketed(classified)
-    return sequence(disposition(coalesce_recovery(gate(placed, lane), lane, failures)), lane).drop(BUCKET)
+    if failures:
+        ruled = sequence(disposition(coalesce_recovery(gate(placed, lane), lane, failures=True)), lane)
+    else:
+        ruled = _rules_in_one_pass(placed, lane)
+    return ruled.drop(BUCKET)
+
+
+def _rules_in_one_pass(placed: DataFrame, lane: Lane) -> DataFrame:
+    """All session rules with a single summary join.
+
+    A bucket starts in one of three states: gate closed and nothing seen yet (``new``), closed with a
+    recovery open (``rec``), or open (``live``). The counts inside a bucket are taken for each of
+    them; the fold over the bucket summaries then says which one holds, and the row picks its own.
+    """
+    kind, upto, inside = F.col("kind"), lane.upto(), lane.inside()
+    snapshot, update = kind == "snapshot", kind.isin("update", "trade")
+    invalid, trigger = kind.isin("snapshot", "bad_snapshot"), kind.isin(*TRIGGERS)
+    closes = kind.isin(*TRIGGERS, "bad_snapshot")
+    rows = placed.withColumns(
+        {
+            "_opens": F.sum(_flag(snapshot)).over(upto),
+            "_seen": F.max(_flag(snapshot | trigger)).over(upto),
+        }
+    ).withColumn("_mark", F.max(F.when(closes, F.col("_opens"))).over(upto))
+    rows = rows.withColumns(
+        {"_known": F.col("_mark").isNotNull(), "_parity": (F.col("_opens") - F.coalesce("_mark", F.lit(0))) % 2}
+    ).withColumns(
+        {
+            "_prev_parity": F.lag("_parity", 1, 0).over(inside),
+            "_prev_known": F.lag("_known", 1, False).over(inside),
+            "_prev_seen": F.lag("_seen", 1, 0).over(inside) == 1,
+        }
+    )
+    # Gate before the row, for a bucket that starts closed or open.
+    shut = F.col("_prev_parity") == 1
+    live = F.when(F.col("_prev_known"), shut).otherwise(~shut)
+    asks = {"new": trigger | (invalid & shut), "live": trigger | (invalid & live)}
+    attempts = {
+        "new": asks["new"] & (shut | ~F.col("_prev_seen")),
+        "rec": asks["new"] & shut,
+        "live": asks["live"] & live,
+    }
+    sent = {"shut": (snapshot & ~shut) | (update & shut), "live": (snapshot & ~live) | (update & live)}
+    rows = rows.withColumns(
+        {
+            **{f"_session_{e}": F.sum(_flag(a)).over(upto) for e, a in attempts.items()},
+            **{f"_count_{g}": F.sum(_flag(p)).over(upto) for g, p in sent.items()},
+        }
+    ).withColumns(
+        {
+            f"_base_{e}": F.max(F.when(a, F.col("_count_live" if e == "live" else "_count_shut"))).over(upto)
+            for e, a in attempts.items()
+        }
+    )
+    counted = [c for c in rows.columns if c.startswith(("_session_", "_count_", "_base_"))]
+    ends = rows.groupBy(*lane.part).agg(
+        F.max_by(F.struct("_parity", "_known"), lane.pos).alias("end"),
+        F.max("_seen").alias("any_seen"),
+        *[F.max(c).alias(c) for c in counted],
+    )
+    joined = rows.join(_starts_in_one_pass(ends, lane), lane.part)
+    is_live, pick = F.col("_start_open") == 1, _picker()
+    was_open = F.when(is_live, live).otherwise(shut)
+    attempt = F.when(is_live, attempts["live"]).when(F.col("_start_seen") == 1, attempts["rec"]).otherwise(attempts["new"])
+    wants = F.when(is_live, asks["live"]).otherwise(asks["new"])
+    after = F.when(F.col("_known"), F.col("_parity")).otherwise((F.col("_parity") + F.col("_start_open")) % 2) == 1
+    base, count = pick("_base"), F.when(is_live, F.col("_count_live")).otherwise(F.col("_count_shut"))
+    ruled = joined.withColumns(
+        {
+            "open_before": was_open,
+            "open_after": after,
+            "seen_before": F.col("_prev_seen") | (F.col("_start_seen") == 1),
+            "is_trigger": wants,
+            "attempt": attempt,
+            "ignored": wants & ~attempt,
+            "session_id": pick("_session") + F.col("_start_session"),
+            "_seq": F.when(base.isNotNull(), count - base).otherwise(count + F.col("_start_seq")),
+        }
+    )
+    done = disposition(ruled).withColumn("gateway_seq", F.when(F.col("publishable"), F.col("_seq")))
+    return done.drop(*[c for c in done.columns if c.startswith("_") and c != BUCKET and c not in placed.columns])
+
+
+def _picker():
+    """Choose the variant of a counted column by the state at the start of the bucket."""
+
+    def pick(name: str) -> Column:
+        return (
+            F.when(F.col("_start_open") == 1, F.col(f"{name}_live"))
+            .when(F.col("_start_seen") == 1, F.col(f"{name}_rec"))
+            .otherwise(F.col(f"{name}_new"))
+        )
+
+    return pick
+
+
+def _starts_in_one_pass(ends: DataFrame, lane: Lane) -> DataFrame:
+    """State, session and sequence at the start of each bucket."""
+    carried = [c for c in ends.columns if c.startswith(("_session_", "_count_", "_base_"))]
+    known = _gate_starts(ends, lane, *carried)
+    pick = _picker()
+    published = F.when(F.col("_start_open") == 1, F.col("_count_live")).otherwise(F.col("_count_shut"))
+    earlier = lane.across().rowsBetween(Window.unboundedPreceding, -1)
+    prior = known.withColumns(
+        {"_prior": F.coalesce(F.sum(published).over(earlier), F.lit(0)), "_mark_here": pick("_base")}
+    )
+    based = prior.withColumn("_base", F.max(F.col("_prior") + F.col("_mark_here")).over(earlier))
+    return based.select(
+        *lane.part,
+        "_start_open",
+        "_start_seen",
+        F.coalesce(F.sum(pick("_session")).over(earlier), F.lit(0)).alias("_start_session"),
+        (F.col("_prior") - F.coalesce("_base", F.lit(0))).alias("_start_seq"),
+    )
 
 
 def emit_resets(rows: DataFrame, *keep: str) -> DataFrame:
