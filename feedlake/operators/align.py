@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.operators.ordering import Lane, max_before, running, spread_join, sum_upto
+from feedlake.operators.ordering import BUCKET, Lane, max_before, running, spread_join, sum_upto
 
 LANE = Lane()
 # Fixed value: delta slots of the pre-snapshot buffer; one slot stays free.
@@ -21,7 +21,7 @@ def align_deltas(deltas: DataFrame, snapshots: DataFrame, lane: Lane = LANE) ->
     """
     keys = list(lane.keys)
     pos = F.col(lane.pos)
-    bounded = spread_join(deltas, snapshots.select(*keys, "boundary"), keys, spread=lane.pos)
+    bounded = lane.bucketed(spread_join(deltas, snapshots.select(*keys, "boundary"), keys, spread=lane.pos))
     # "Has any row so far exceeded N" needs only a running maximum; "before" tells the first such row.
     swept = running(
         bounded,
@@ -39,7 +39,7 @@ def align_deltas(deltas: DataFrame, snapshots: DataFrame, lane: Lane = LANE) ->
         .when(F.col("_gap") & (F.col("_gaps") == 1), "gap")
         .otherwise("dropped")
     )
-    return broken.withColumn("outcome", outcome).drop("_past", "_prev", "_live", "_gap", "_gaps")
+    return broken.withColumn("outcome", outcome).drop("_past", "_prev", "_live", "_gap", "_gaps", BUCKET)
 
 
 def alignment_summary(aligned: DataFrame, *keys: str) -> DataFrame:

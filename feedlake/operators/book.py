@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions.fixed import fixed_value
-from feedlake.operators.ordering import Lane, max_before, running, spread_join, sum_before, sum_upto
+from feedlake.operators.ordering import BUCKET, Lane, max_before, running, spread_join, sum_before, sum_upto
 
 ORDER_LANE = Lane(keys=("instrument_id", "order_ref"))
 
@@ -68,13 +68,15 @@ def resting_orders(events: DataFrame, lane: Lane = ORDER_LANE, until: int | None
 def size_before(events: DataFrame, lane: Lane = ORDER_LANE) -> DataFrame:
     """Add ``current_qty``: the order's remaining size just before each row (NULL = not resting)."""
     size = F.when(F.col("kind") == "match", F.col("qty"))
-    swept = running(events, lane, _sold=sum_before(size), _sold_now=sum_upto(size))
+    swept = running(lane.bucketed(events), lane, _sold=sum_before(size), _sold_now=sum_upto(size))
     absolute = F.col("kind").isin("open", "change", "done")
     state = F.struct(F.col(lane.pos), "kind", "qty", F.col("_sold_now").alias("sold"))
     traced = running(swept, lane, _last=max_before(F.when(absolute, state)))
     last = F.col("_last")
     remaining = last["qty"] - (F.coalesce("_sold", F.lit(0)) - F.coalesce(last["sold"], F.lit(0)))
-    return traced.withColumn("current_qty", F.when(last["kind"] != "done", remaining)).drop("_sold", "_sold_now", "_last")
+    return traced.withColumn("current_qty", F.when(last["kind"] != "done", remaining)).drop(
+        "_sold", "_sold_now", "_last", BUCKET
+    )
 
 
 def change_conflicts(events: DataFrame, lane: Lane = ORDER_LANE, old: str = "old_qty") -> DataFrame:

@@ -42,7 +42,8 @@ def liveness_timeouts(
     are at most span / timeout of those per instrument, whatever the number of frames, so the
     final fold per instrument is small.
     """
-    signals = frames.where(F.col("kind").isin("ack", "heartbeat")).select(*lane.keys, lane.pos, at, "kind")
+    heard = frames.where(F.col("kind").isin("ack", "heartbeat")).select(*lane.keys, lane.pos, at, "kind")
+    signals = lane.bucketed(heard)
     pos = F.col(lane.pos)
     marked = running(
         _silences(signals, at, timeout, horizon_ns, lane),

@@ -9,7 +9,7 @@ from feedlake.operators import counters
 from feedlake.operators.l3 import classify_l3, flatten_rest_book, order_events, trades
 from feedlake.operators.session_state import apply_session_rules
 from feedlake.plans.oracle import fixed_m, fixed_s, raw_field, signed_half, text_field, times_ns, uuid_digits
-from feedlake.plans.views import L3_FRAMES_SQL, duck_text, l3_frames, table
+from feedlake.plans.views import L3_FRAMES_SQL, duck_text, l3_frames, spread_scan, table
 from feedlake.plans.registration import Family
 
 FAMILY = Family()
@@ -175,7 +175,7 @@ _SPARK_DOCUMENT = f"""concat('{{"bids": [', array_join(transform(sequence(1, {_C
 
 
 def rest_documents(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(
+    return spread_scan(table(spark, sf_dir, "orders"), "o_orderkey").select(
         (F.col("o_custkey") % 50).alias("instrument_id"), "o_orderkey", F.expr(_SPARK_DOCUMENT).alias("payload")
     )
 

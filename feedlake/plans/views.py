@@ -37,6 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a scan with fewer partitions than cores to all of them, for heavy per-row work. A large scan
+    has partitions enough and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def event_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as one ordered stream per user."""
     events = table(spark, sf_dir, "events")
@@ -89,7 +96,7 @@ from (select *, cast(row_number() over (partition by o_custkey % 50 order by o_o
 def l3_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3 as order-by-order JSON frames from ``orders``."""
     instrument = (F.col("o_custkey") % 50).cast("bigint")
-    frames = table(spark, sf_dir, "orders").select(
+    frames = spread_scan(table(spark, sf_dir, "orders"), "o_orderkey").select(
         instrument.alias("instrument_id"),
         "o_orderdate",
         "o_orderkey",
