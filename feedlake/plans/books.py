@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedlake.functions import decode_code, fixed_point, ntz_nanos
+from feedlake.functions import decode_code, fixed_point, json_string, ntz_nanos
 from feedlake.operators import counters
 from feedlake.operators.align import align_deltas, alignment_summary, buffer_overflow, replay_order, sequence_gaps
 from feedlake.operators.book import change_conflicts, level_book, maker_fills, resting_orders, session_book
@@ -347,7 +347,9 @@ select instrument_id, fired_ns, since_ns from fires""".replace(
 @register("w8_liveness_timeouts", _liveness_sql(TIMEOUT))
 def w8_liveness(spark, sf_dir):
     """Twelve-hour timeout over V1; silence at the end of the data counts up to its last frame."""
-    frames = classify_l2(l2_frames(spark, sf_dir)).select(
+    # Only these two frame types can be signals; the others need no classification here.
+    wanted = json_string(F.col("payload"), "type").isin("subscriptions", "heartbeat")
+    frames = classify_l2(l2_frames(spark, sf_dir).where(wanted)).select(
         "instrument_id", "arrival", "kind", ntz_nanos(F.col("ts")).alias("at_ns")
     )
     horizon = table(spark, sf_dir, "events").agg(F.max(ntz_nanos(F.col("ts")))).first()[0] + 1
