@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import decontamination, hilbert, langid, licenses, mixing, pii, quality, superminhash
+from feedlake.llm import decontamination, hilbert, langid, licenses, mixing, pii, quality, superminhash, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -50,6 +50,16 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(documents(spark, sf_dir)))
 
 
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    model = toxicity.train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    scored = toxicity.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @_query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir).select("doc_id", "lang", "text"))

@@ -65,9 +65,9 @@ class Block:
         """Row number of the text that each byte position belongs to."""
         return np.searchsorted(self.bounds, positions, side="right") - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the runs of bytes outside space and \\x09-\\x0D."""
-        inside = ~SPACE[self.data]
+    def words(self, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the runs of bytes outside ``gaps`` (space and \\x09-\\x0D if not given)."""
+        inside = ~gaps[self.data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
