@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import decontamination, hilbert, langid, licenses, mixing, pii, quality, superminhash, toxicity
+from feedlake.llm import decontamination, hilbert, langid, licenses, mixing, pii, quality, repeats, superminhash, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,11 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(documents(spark, sf_dir)))
 
 
+@_query
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find_repeats(documents(spark, sf_dir)).drop("runs")
+
+
 @_query
 def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
