@@ -51,7 +51,7 @@ class Anchors:
         self.prefix = block.prefix_hashes()
         starts = max(len(data) - LENGTH + 1, 0)
         if starts == 0:
-            self.at = self.first = self.last = np.zeros(0, np.int64)
+            self.at = self.first = self.last = self.base = np.zeros(0, np.int64)
             self.row = np.zeros(0, U64)
             return
         windows = np.arange(starts)
@@ -79,8 +79,7 @@ class Anchors:
 
     def keep(self, chosen: np.ndarray) -> Anchors:
         for name in ("at", "first", "last", "row", "base"):
-            if len(self.at) or hasattr(self, name):
-                setattr(self, name, getattr(self, name)[chosen])
+            setattr(self, name, getattr(self, name)[chosen])
         return self
 
     def prefixes(self) -> np.ndarray:
