@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlake.session import reliable_checkpoint
+from feedlake.session import fresh_path, reliable_checkpoint
 
 BITS = 7
 DIMENSIONS = ("_source", "_lang", "_size")
@@ -88,8 +88,15 @@ def placed(docs: DataFrame, shards: int = 8, carry: tuple[str, ...] = ()) -> Dat
         F.struct(*[docs[c] for c in carry]).alias("row") if carry else F.lit(None).cast("int").alias("row"),
     )
     same = ["_text", "size", "text_crc32"]
-    group = base.groupBy(*same).agg(F.min("_row_source").alias("_group_source"), F.min("_row_lang").alias("_group_lang"))
-    keyed = base.join(group, same).withColumns(_quantised())
+    # Only texts that repeat need a look at their group; stored, so that the planner can split a hot one.
+    path = fresh_path(spark, "groups")
+    group = base.groupBy(*same).agg(
+        F.min("_row_source").alias("_group_source"), F.min("_row_lang").alias("_group_lang"), F.count(F.lit(1)).alias("_n")
+    )
+    group.where("_n > 1").drop("_n").withColumn("_grouped", F.lit(True)).write.parquet(path)
+    group = spark.read.parquet(path)
+    own = {f"_group_{k}": F.expr(f"if(_grouped, _group_{k}, _row_{k})") for k in ("source", "lang")}
+    keyed = base.join(group, same, "left").withColumns(own).withColumns(_quantised())
     keyed = keyed.withColumn("curve", _index_column([F.col(d) for d in DIMENSIONS]))
     # The last key only parts rows that are equal in all the others, so that no run holds too many.
     keyed = keyed.withColumn("_tie", F.monotonically_increasing_id())
