@@ -12,8 +12,10 @@ with a probability of 5e-6, and less above.
 
 No group is expanded into all its pairs. In every bucket each class is compared with the bucket's
 smallest class; the confirmed links give a first set of components. Only buckets that still hold more
-than one component are searched further, and there only classes outside the leader's component are
-paired, with members of other components.
+than one component are searched further, and there only classes of different components are compared.
+Buckets of more than ``SMALL`` classes do so block by block on byte sketches, so that pairs become rows
+only if they are about similar enough. The sketch keeps the smallest shingle hash of each of ``BINS`` bins;
+its error is under 0.015, so ``SKETCH_FLOOR`` is five standard deviations below the limit.
 
 Defined results: null, empty and wordless texts have an empty set, are linked with nothing and are their
 own component; repeated rows (same id) belong to the same component; a null id takes part, and its
@@ -37,8 +39,9 @@ SLOTS = 128
 BAND_ROWS = 4
 BANDS = SLOTS // BAND_ROWS
 SIMILARITY = 75
-#: Sketch similarity below which a bucket partner is not fetched: five standard deviations under 0.75.
-SKETCH_FLOOR = 0.55
+BINS = 512
+SKETCH_FLOOR = 0.675
+SMALL, TILE = 16, 256
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
@@ -111,6 +114,15 @@ def signatures(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return values.reshape(n, SLOTS)
 
 
+def sketches(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """One byte per bin: 0 if empty, else 1 to 255 by the smallest hash in the bin."""
+    values = np.full(n * BINS, np.iinfo(np.uint64).max, U64)
+    hashed = mix(keys + _multiple(3))
+    np.minimum.at(values, rows * BINS + (hashed & U64(BINS - 1)).astype(np.int64), hashed >> U64(9))
+    marks = (values % U64(255) + U64(1)).astype(np.uint8)
+    return np.where(values == np.iinfo(np.uint64).max, 0, marks).astype(np.uint8).reshape(n, BINS)
+
+
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a 128-bit fingerprint of the shingle set, band keys and a byte sketch."""
 
@@ -128,7 +140,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         grouped = values.reshape(n, BANDS, BAND_ROWS)
         for step in range(BAND_ROWS):
             bands = mix(bands + grouped[:, :, step])
-        sketch = (values & U64(255)).astype(np.uint8)
+        sketch = sketches(keys, owner, n)
         flat = pa.array(bands.view(np.int64).ravel())
         return {
             "doc_id": rows.column(0),
@@ -143,10 +155,33 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return map_blocks(docs.select(F.col("doc_id").cast("long"), "text"), schema, work)
 
 
-def equal_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of slots in which two sketches agree."""
-    left, right = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), SLOTS) for x in (a, b))
-    return pd.Series((left == right).mean(axis=1), index=a.index, dtype=float)
+def likeness(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of sketches: equal bins among the bins that either has."""
+    filled = ((left | right) != 0).sum(axis=-1)
+    return ((left == right) & (left != 0)).sum(axis=-1) / np.maximum(filled, 1)
+
+
+def sketch_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    left, right = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), BINS) for x in (a, b))
+    return pd.Series(likeness(left, right), index=a.index, dtype=float)
+
+
+def tile_pairs(tile: pd.DataFrame) -> pd.DataFrame:
+    """Similar pairs of different components between the two blocks of one tile of a bucket."""
+    low, high = tile["_i"].iloc[0], tile["_j"].iloc[0]
+    left, right = tile[tile["_block"] == low], tile[tile["_block"] == high]
+    marks = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(len(right), BINS)
+    others, groups = right["rep"].to_numpy(), right["component"].to_numpy()
+    x, y = [], []
+    for rep, component, sketch in zip(left["rep"], left["component"], left["sketch"], strict=True):
+        fit = groups != component
+        fit &= others > rep if low == high else True
+        at = np.flatnonzero(fit)
+        at = at[likeness(marks[at], np.frombuffer(sketch, np.uint8)) >= SKETCH_FLOOR]
+        x.append(np.full(len(at), rep))
+        y.append(others[at])
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (x, y))
+    return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)}, dtype="int64")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -187,7 +222,7 @@ def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     sketches = classes.select("rep", "sketch")
     with_x = pairs.join(sketches.withColumnsRenamed({"rep": "x", "sketch": "_sx"}), "x")
     both = with_x.join(sketches.withColumnsRenamed({"rep": "y", "sketch": "_sy"}), "y")
-    near = F.pandas_udf(equal_bytes, "double")("_sx", "_sy")
+    near = F.pandas_udf(sketch_likeness, "double")("_sx", "_sy")
     return both.withColumn("near", near).where(F.col("near") >= SKETCH_FLOOR).drop("_sx", "_sy")
 
 
@@ -210,7 +245,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(classes, "classes")
 
     buckets = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    leaders = buckets.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    leaders = buckets.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(buckets.join(leaders, ["band", "key"]), "buckets")
     stars = shared.where("rep != leader").select(F.col("leader").alias("x"), F.col("rep").alias("y")).distinct()
     close = stored(_close(stars, classes), "stars")
@@ -224,11 +259,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lead = owner.withColumnsRenamed({"rep": "leader", "component": "major"})
     placed = placed.join(lead, "leader", "left").withColumn("major", F.coalesce("major", "leader"))
     placed = stored(placed, "placed")
-    apart = placed.where("component != major").select("band", "key", F.col("rep").alias("_a"), F.col("component").alias("_ca"))
-    rest = apart.join(placed, ["band", "key"]).where("component != _ca and (component = major or rep < _a)")
+    apart = placed.where("component != major")
+    few = placed.where(F.col("n") <= SMALL)
+    ask = apart.where(F.col("n") <= SMALL).select("band", "key", F.col("rep").alias("_a"), F.col("component").alias("_ca"))
+    rest = few.join(ask, ["band", "key"]).where("component != _ca and (component = major or rep < _a)")
     rest = rest.select(F.least("_a", "rep").alias("x"), F.greatest("_a", "rep").alias("y")).distinct()
+    rest = _close(rest, classes).select("x", "y")
+
+    many = placed.where(F.col("n") > SMALL).join(apart.select("band", "key").distinct(), ["band", "key"], "left_semi")
+    many = many.join(classes.select("rep", "sketch"), "rep")
+    count = F.ceil(F.col("n") / TILE).cast("int")
+    many = many.withColumn("_block", F.pmod(F.xxhash64("rep"), count).cast("int"))
+    many = many.withColumn("_other", F.explode(F.sequence(F.lit(0), count - 1)))
+    tiles = many.select(
+        "band", "key", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"),
+        "_block", "rep", "component", "sketch",
+    )
+    found = tiles.groupBy("band", "key", "_i", "_j").applyInPandas(tile_pairs, "x long, y long")
+    rest = rest.unionByName(found).distinct()
     tried = nearest.select("x", "y")
-    rest = stored(_close(rest.join(tried, ["x", "y"], "left_anti"), classes).select("x", "y"), "rest")
+    rest = stored(rest.join(tried, ["x", "y"], "left_anti"), "rest")
     more = stored(confirm(rest, docs), "more")
     found = components(links.unionByName(more), "x", "y").withColumnsRenamed({"node": "rep"})
 
