@@ -3,6 +3,8 @@
 Scalars are cut from the text instead of being decoded, so ``1.10`` stays ``1.10`` and a truncated
 frame still yields its leading keys. A quoted value with a backslash counts as missing. All loops
 over repeated groups are possessive, so a frame with 10 000 levels matches without backtracking.
+Brackets nested up to ``_NESTING`` levels are matched by one pattern; whatever that does not match is
+read by a fold over its brackets, which has no limit.
 """
 
 from __future__ import annotations
@@ -54,9 +56,37 @@ def json_raw(text: Column, key: str) -> Column:
     return _unquote(_present(_value(text, key, _STRING + r'|[^",}\] \n\r\t][^,}\] \n\r\t]*+')))
 
 
+def balanced_pieces(text: Column, opening: str, closing: str) -> Column:
+    """Outermost bracketed pieces of a text, by counting depth; brackets inside strings do not count.
+
+    A piece that is never closed is left out. Adjacent bytes between brackets stay one token, so the fold
+    takes a step per bracket and string.
+    """
+    token = rf'{_STRING}|[^"\{opening}\{closing}]++|[\{opening}\{closing}"]'
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("piece"), F.array().cast("array<string>").alias("done"))
+
+    def step(state: Column, part: Column) -> Column:
+        opens, closes, inside = part == opening, part == closing, state["depth"] > 0
+        # A lone quote starts a string that cannot be read: nothing after it counts.
+        depth = state["depth"] + F.when(part == '"', -(1 << 30)).when(opens, 1).when(closes & inside, -1).otherwise(0)
+        piece = F.when(inside | opens, F.concat(state["piece"], part)).otherwise("")
+        ended = closes & inside & (depth == 0)
+        return F.struct(
+            depth.alias("depth"),
+            F.when(ended, "").otherwise(piece).alias("piece"),
+            F.when(ended, F.concat(state["done"], F.array(piece))).otherwise(state["done"]).alias("done"),
+        )
+
+    tokens = F.regexp_extract_all(text, F.lit(f"({token})"), F.lit(1))
+    return F.aggregate(tokens, start, step, lambda state: state["done"])
+
+
 def json_array(text: Column, key: str) -> Column:
     """Bracketed array text of the first ``key``; NULL when missing or unbalanced."""
-    return _present(_value(text, key, _ARRAY))
+    rest = F.regexp_extract(text, rf'(?s)"{key}"{WS}:{WS}(\[.*+)?', 1)
+    # Reached only where the pattern finds nothing although an array begins.
+    deep = F.when(rest != "", F.get(balanced_pieces(rest, "[", "]"), F.lit(0)))
+    return F.coalesce(_present(_value(text, key, _ARRAY)), deep)
 
 
 def json_long_strict(token: Column) -> Column:
@@ -94,5 +124,8 @@ def quoted_groups(array_text: Column, size: int, build: Callable[..., Column]) -
 
 def first_object_named(array_text: Column, name: str) -> Column:
     """First object of an array text whose ``name`` field equals ``name``; NULL when absent."""
-    objects = F.regexp_extract_all(array_text, F.lit(f"({_OBJECT})"), F.lit(1))
+    flat = F.regexp_extract_all(array_text, F.lit(f"({_OBJECT})"), F.lit(1))
+    # With fewer opening brackets than the pattern has levels it cannot be too shallow.
+    shallow = F.length(array_text) - F.length(F.replace(array_text, F.lit("{"), F.lit(""))) <= _NESTING
+    objects = F.when(shallow, flat).otherwise(balanced_pieces(array_text, "{", "}"))
     return F.get(F.filter(objects, lambda o: json_string(o, "name") == F.lit(name)), F.lit(0))

@@ -23,8 +23,6 @@ from feedlake.session import reliable_checkpoint
 
 BUCKET_ROWS = 1 << 20
 BUCKET = "_bucket"
-# A group up to this many narrow rows is sorted in one task; larger ones are range-split.
-GROUP_LIMIT = 1 << 20
 SALTS = 32
 
 
@@ -142,38 +140,27 @@ def running(df: DataFrame, lane: Lane, **runs: Run) -> DataFrame:
     return lane.released(joined.drop(*[f"_in_{n}" for n in runs]), df)
 
 
-def dense_arrival(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    name: str = "arrival",
-    group_limit: int = GROUP_LIMIT,
-    run_rows: int = BUCKET_ROWS,
-) -> DataFrame:
+def dense_arrival(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "arrival") -> DataFrame:
     """Number the rows of each key 1, 2, 3, ... in ``order`` (which must be unique per key).
 
-    The largest group is measured first (one aggregate over the key columns). Groups that fit a task
-    use a plain window. Otherwise rows are range-partitioned on (keys, order), which splits a hot
-    key, written to the shared checkpoint folder so that the split is fixed, numbered inside every
-    run and shifted by the sizes of the runs before.
+    Rows are range-partitioned on (keys, order), which splits a hot key over as many tasks as it needs
+    (their number is the session's ``spark.sql.shuffle.partitions``), sorted, and written to the shared
+    checkpoint folder with their place in the run. A key's rank in a run is then the distance to its
+    first row there plus its rows in the runs before; only these per-run counts are joined back.
     """
-    sizes = df.groupBy(*keys).count().agg(F.max("count").alias("top"), F.sum("count").alias("rows")).first()
-    top, rows = sizes["top"] or 0, sizes["rows"] or 0
-    if top <= group_limit:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    runs = max(2, -(-rows // run_rows))
-    split = reliable_checkpoint(
-        df.repartitionByRange(runs, *keys, *order).withColumn("_run", F.spark_partition_id())
-    )
+    runs = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(runs, *keys, *order).sortWithinPartitions(*keys, *order)
+    # The id counts the rows of a partition in its lower 33 bits.
+    placed = reliable_checkpoint(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_run", F.shiftright("_id", 33))
     part = [*keys, "_run"]
     earlier = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        split.groupBy(*part)
-        .count()
-        .select(*part, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_shift"))
-    )
-    local = split.withColumn("_rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
-    return local.join(shift, part).withColumn(name, F.col("_rank") + F.col("_shift")).drop("_run", "_rank", "_shift")
+    heads = placed.groupBy(*part).agg(F.min("_id").alias("_head"), F.count(F.lit(1)).alias("_rows"))
+    offset = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_head") + 1
+    shift = heads.select(*[F.col(c).alias(f"_of_{c}") for c in part], offset.alias("_shift"))
+    joined = placed.join(shift, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in part])
+    rank = (F.col("_id") + F.col("_shift")).cast("bigint").alias(name)
+    return joined.select(*[c for c in df.columns if c != name], rank)
 
 
 def spread_join(

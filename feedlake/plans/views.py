@@ -37,13 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan with fewer partitions than cores to all of them, for heavy per-row work. A large scan
-    has partitions enough and is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def event_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as one ordered stream per user."""
     events = table(spark, sf_dir, "events")
@@ -96,7 +89,7 @@ from (select *, cast(row_number() over (partition by o_custkey % 50 order by o_o
 def l3_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3 as order-by-order JSON frames from ``orders``."""
     instrument = (F.col("o_custkey") % 50).cast("bigint")
-    frames = spread_scan(table(spark, sf_dir, "orders"), "o_orderkey").select(
+    frames = table(spark, sf_dir, "orders").select(
         instrument.alias("instrument_id"),
         "o_orderdate",
         "o_orderkey",
@@ -137,13 +130,13 @@ def level_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 REQUESTS_SQL = """select cast(event_id as bigint) as request_id, case when event_id % 10 = 0 then 2 else 1 end as venue,
   cast(user_id + case when event_id % 13 = 0 then 100000 else 0 end as bigint) as instrument_id,
   cast(1 + event_id % 3 as integer) as request_type, cast(1 + event_id % 6 as integer) as reason_code
-from events where event_type = 'error'"""
+from events"""
 
 
 def recovery_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: recovery requests from ``events``; foreign venues and unknown instruments included."""
     event = F.col("event_id")
-    return table(spark, sf_dir, "events").where("event_type = 'error'").select(
+    return table(spark, sf_dir, "events").select(
         event.cast("bigint").alias("request_id"),
         F.when(event % 10 == 0, 2).otherwise(1).alias("venue"),
         (F.col("user_id") + F.when(event % 13 == 0, 100000).otherwise(0)).cast("bigint").alias("instrument_id"),

@@ -104,3 +104,18 @@ def test_fixed_value_compares_across_scales(spark):
     v = rows.select(fn.fixed_value(F.col("a"), F.col("b")).alias("x"), fn.fixed_value(F.col("c"), F.col("d")).alias("y")).collect()
     assert v[0]["x"] == v[0]["y"] and v[1]["x"] == v[1]["y"]
     assert str(v[2]["x"]).startswith("9223372036854775807")
+
+
+def test_arrays_nested_without_limit(spark):
+    from feedlake.functions.jsontext import first_object_named, json_array
+
+    rows = []
+    for depth in range(1, 13):
+        array = "[" * depth + '1,"]"' + "]" * depth
+        objects = '[{"k":' + '{"k":' * depth + "1" + "}" * depth + '},{"name":"hit","v":' + '{"a":' * depth + "1" + "}" * depth + "}]"
+        rows.append((array, f'{{"x":[0],"bids": {array},"z":[3]}}', objects))
+    df = spark.createDataFrame(rows, "want string, text string, objects string")
+    got = df.select("want", json_array(F.col("text"), "bids").alias("array"), first_object_named(F.col("objects"), "hit").alias("hit"))
+    for depth, r in enumerate(got.collect(), 1):
+        assert r.array == r.want
+        assert r.hit == '{"name":"hit","v":' + '{"a":' * depth + "1" + "}" * depth + "}"
