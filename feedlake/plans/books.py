@@ -325,31 +325,32 @@ TIMEOUT = 12 * 3600 * 1_000_000_000
 
 
 def _liveness_sql(timeout: int) -> str:
+    """Row by row: a step of the recursion either fires the next check or takes the next row."""
     half = timeout // 2
     return f"""with recursive {L2_KINDS},
-sig as (select instrument_id, arrival, kind, epoch_us(ts) * 1000 as tm from k where kind in ('ack', 'heartbeat')),
 hz as (select max(epoch_us(ts)) * 1000 + 1 as h from events),
-gaps as (select * from (select instrument_id, tm, coalesce(lead(tm) over (partition by instrument_id order by arrival), (select h from hz)) as ends from sig) x
-  where ends - tm >= {timeout}),
-runs as (
-  select instrument_id, min(tm) as start, 0 as n from sig where kind = 'ack' group by instrument_id
+rows_ as (select instrument_id, kind, epoch_us(ts) * 1000 as tm, row_number() over (partition by instrument_id order by arrival) as i from k
+  union all select instrument_id, 'end', (select h from hz), count(*) + 1 from k group by instrument_id),
+walk as (
+  select distinct instrument_id, cast(1 as bigint) as i, 0 as opened, 0 as recovering, cast(null as bigint) as start, cast(null as bigint) as seen,
+    cast(null as bigint) as fired_ns, cast(null as bigint) as since_ns, false as applied from k
   union all
-  select instrument_id, nxt as start, n + 1 from (select r.instrument_id, r.n, (select min(a.tm) from sig a where a.kind = 'ack' and a.instrument_id = r.instrument_id and a.tm >
-    (select min(chk) from (select r.start + {timeout} + greatest(0, (g.tm - r.start + {half} - 1) // {half}) * {half} as chk, g.ends from gaps g
-      where g.instrument_id = r.instrument_id and g.tm >= r.start) y where chk < ends)) as nxt from runs r) z where nxt is not null),
-fires as (select r.instrument_id, r.n, min({{chk}}) as fired_ns, arg_min(g.tm, {{chk}}) as since_ns from runs r join gaps g on g.instrument_id = r.instrument_id and g.tm >= r.start
-  where {{chk}} < g.ends group by r.instrument_id, r.n)
-select instrument_id, fired_ns, since_ns from fires""".replace(
-        "{chk}", f"(r.start + {timeout} + greatest(0, (g.tm - r.start + {half} - 1) // {half}) * {half})"
-    )
+  select instrument_id, case when fires then i else i + 1 end,
+    case when fires or trig then 0 when kind = 'snapshot' then 1 else opened end,
+    case when fires or trig then 1 when kind = 'snapshot' then 0 else recovering end,
+    case when (fires or trig) and recovering = 0 then null when not fires and kind = 'ack' then coalesce(start, tm) else start end,
+    case when fires then chk when kind in ('ack', 'heartbeat') then tm else seen end,
+    case when fires then chk end, case when fires then seen end, fires and recovering = 0
+  from (select *, coalesce(chk < tm, false) as fires, kind = 'trigger' or (kind in ('snapshot', 'bad_snapshot') and opened = 1) as trig
+    from (select w.*, r.kind, r.tm, w.start + {timeout} + greatest(0, (w.seen - w.start + {half} - 1) // {half}) * {half} as chk
+      from walk w join rows_ r on r.instrument_id = w.instrument_id and r.i = w.i) x) y)
+select instrument_id, fired_ns, since_ns, applied from walk where fired_ns is not null"""
 
 
 @register("w8_liveness_timeouts", _liveness_sql(TIMEOUT))
 def w8_liveness(spark, sf_dir):
     """Twelve-hour timeout over V1; silence at the end of the data counts up to its last frame."""
-    # Only these two frame types can be signals; the others need no classification here.
-    wanted = json_string(F.col("payload"), "type").isin("subscriptions", "heartbeat")
-    frames = classify_l2(l2_frames(spark, sf_dir).where(wanted)).select(
+    frames = classify_l2(l2_frames(spark, sf_dir)).select(
         "instrument_id", "arrival", "kind", ntz_nanos(F.col("ts")).alias("at_ns")
     )
     horizon = table(spark, sf_dir, "events").agg(F.max(ntz_nanos(F.col("ts")))).first()[0] + 1
@@ -358,13 +359,15 @@ def w8_liveness(spark, sf_dir):
 
 @register(
     "a3_liveness_accounting",
-    f"""with fired as ({_liveness_sql(TIMEOUT)}) select instrument_id, count(*) as heartbeats_missed, count(*) as liveness_failures
-from fired group by instrument_id""",
+    f"""with fired as ({_liveness_sql(TIMEOUT)}) select instrument_id, count(*) as heartbeats_missed, count(*) as liveness_failures,
+  count(*) filter (where applied) as liveness_recoveries from fired group by instrument_id""",
 )
 def a3_liveness_accounting(spark, sf_dir):
     fired = w8_liveness(spark, sf_dir)
     return fired.groupBy("instrument_id").agg(
-        F.count("*").alias("heartbeats_missed"), F.count("*").alias("liveness_failures")
+        F.count("*").alias("heartbeats_missed"),
+        F.count("*").alias("liveness_failures"),
+        F.count_if("applied").alias("liveness_recoveries"),
     )
 
 

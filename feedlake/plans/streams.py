@@ -31,16 +31,25 @@ def classified_stream(spark, source: str):
             F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("symbol"),
             F.expr(spark_text(L2_PAYLOAD)).alias("payload"),
             ntz_nanos(F.col("ts")).alias("at_ns"),
-            F.timestamp_micros((ntz_nanos(F.col("ts")) / 1000).cast("bigint")).alias("event_time"),
+            "event_type",
+            "props",
         )
     )
-    return classify_l2(frames).select("instrument_id", "arrival", "kind", "at_ns", "event_time")
+    told = classify_l2(frames)
+    is_tick = F.col("event_type") == "tick"
+    return told.select(
+        "instrument_id",
+        "arrival",
+        F.when(is_tick, F.lit("tick")).otherwise(F.col("kind")).alias("kind"),
+        F.when(is_tick, F.col("props").cast("bigint")).otherwise(F.col("at_ns")).alias("at_ns"),
+    )
 
 
-def run_in_pieces(spark, sf_dir, start, pieces: int = 3):
+def run_in_pieces(spark, sf_dir, start, pieces: int = 3, ticks: str | None = None):
     """Append the events piece by piece, in order, and drain the stream after each piece.
 
-    Every drain is a new query on the same checkpoint, so this also exercises restarts.
+    Every drain is a new query on the same checkpoint, so this also exercises restarts. ``ticks`` is a
+    folder of rows (instrument_id, kind, at_ns) that come with the last piece.
     """
     events = table(spark, sf_dir, "events")
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
@@ -49,6 +58,14 @@ def run_in_pieces(spark, sf_dir, start, pieces: int = 3):
     for piece in range(pieces):
         first = low + piece * width
         events.where(F.col("event_id").between(first, first + width - 1)).write.mode("append").parquet(source)
+        if ticks and piece == pieces - 1:
+            clock = spark.read.parquet(ticks)
+            rows = clock.select(
+                F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("timestamp_ntz").alias("ts"),
+                F.col("instrument_id").alias("user_id"), F.col("kind").alias("event_type"),
+                F.lit(None).cast("double").alias("value"), F.col("at_ns").cast("string").alias("props"),
+            )
+            rows.write.mode("append").parquet(source)
         start(classified_stream(spark, source)).awaitTermination()
 
 
@@ -84,19 +101,80 @@ def t5_folded_sessions(spark, sf_dir):
 
 @register(
     "t2_liveness_timers",
-    f"""with fired as ({_liveness_sql(TIMEOUT)}), mx as (select max(epoch_us(ts)) * 1000 as newest from events)
-select instrument_id, fired_ns as at_ns from fired, mx where fired_ns // 1000000 + 1 <= newest // 1000000 - 60000""",
+    f"select instrument_id, fired_ns as at_ns, applied from ({_liveness_sql(TIMEOUT)}) fired",
 )
 def t2_liveness_timers(spark, sf_dir):
-    """Twelve-hour timeouts from timers and catch-up; the watermark ends a minute before the newest frame."""
+    """Twelve-hour timeouts from every instrument's own clock; ticks at the end of the data close the silences."""
     out = fresh_path(spark, "liveness")
     checkpoint = fresh_path(spark, "checkpoint")
+    events = table(spark, sf_dir, "events")
+    horizon = events.agg(F.max(ntz_nanos(F.col("ts")))).first()[0] + 1
+    ends = events.select(F.col("user_id").cast("bigint").alias("instrument_id")).distinct()
+    ticks = fresh_path(spark, "ticks")
+    ends.withColumns({"kind": F.lit("tick"), "at_ns": F.lit(horizon)}).write.parquet(ticks)
 
     def start(stream):
         return start_keyed(keyed_sessions(stream, timeout_ns=TIMEOUT), write_once(out), checkpoint, once=True)
 
-    run_in_pieces(spark, sf_dir, start)
-    newest = table(spark, sf_dir, "events").agg(F.max(ntz_nanos(F.col("ts")))).first()[0]
-    limit = newest // 1_000_000 - 60_000
+    run_in_pieces(spark, sf_dir, start, ticks=ticks)
     fired = spark.read.parquet(out).where("kind = 'timeout'")
-    return fired.where(F.expr(f"at_ns div 1000000 + 1 <= {limit}")).select("instrument_id", "at_ns")
+    return fired.select("instrument_id", "at_ns", F.col("attempt").alias("applied"))
+
+
+# Instruments lag by up to a day each and every tenth row comes again: its own stream has passed it then.
+_LATE_SQL = f"""with {L2_RULES}, told as (
+  select instrument_id, event_id as arrival, disposition, session_id, gateway_seq from r
+  union all
+  select instrument_id, event_id, 'late', null, null from r where event_id % 10 = 0)
+select instrument_id, disposition, count(*) as n, count(gateway_seq) as published from told group by all"""
+
+
+def _lagging(spark, sf_dir, start):
+    """Three pieces by instrument and time, so that instruments run far ahead of each other; the last piece
+    repeats old rows of all of them."""
+    events = table(spark, sf_dir, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    width = (high - low) // 3 + 1
+    piece = F.expr(f"(event_id - {low}) div {width}")
+    source = fresh_path(spark, "lagging")
+    # Even instruments are complete before odd ones begin; then everything that comes again.
+    parts = [
+        events.where("user_id % 2 = 0"),
+        events.where("user_id % 2 = 1").where(piece < 2),
+        events.where("user_id % 2 = 1").where(piece >= 2),
+        events.where("event_id % 10 = 0"),
+    ]
+    for part in parts:
+        part.repartition(3).write.mode("append").parquet(source)
+        start(classified_stream(spark, source)).awaitTermination()
+
+
+def _outcomes(rows):
+    return rows.groupBy("instrument_id", "disposition").agg(
+        F.count(F.lit(1)).alias("n"), F.count("gateway_seq").alias("published")
+    )
+
+
+@register("t3_late_rows", _LATE_SQL)
+def t3_late_rows(spark, sf_dir):
+    """No row of a lagging instrument is lost; repeated rows are counted as late. Keyed form, with liveness
+    switched on but a timeout beyond the data."""
+    out, checkpoint = fresh_path(spark, "late"), fresh_path(spark, "checkpoint")
+    forever = 10**18
+    _lagging(
+        spark, sf_dir, lambda stream: start_keyed(keyed_sessions(stream, timeout_ns=forever), write_once(out), checkpoint, once=True)
+    )
+    return _outcomes(spark.read.parquet(out))
+
+
+@register("t3_late_rows_folded", _LATE_SQL)
+def t3_late_rows_folded(spark, sf_dir):
+    """The same by bucketed folds."""
+    out, checkpoint = fresh_path(spark, "late"), fresh_path(spark, "checkpoint")
+    step = fold_batches(spark, fresh_path(spark, "state"), write_once(out))
+
+    def start(stream):
+        return start_keyed(stream.select("instrument_id", "arrival", "kind"), step, checkpoint, once=True)
+
+    _lagging(spark, sf_dir, start)
+    return _outcomes(spark.read.parquet(out))

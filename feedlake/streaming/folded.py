@@ -1,7 +1,8 @@
 """Session rules over micro-batches with the bucketed folds of the batch form.
 
 Each micro-batch is folded exactly like a table, starting from the state table the micro-batch before
-it left in the shared folder. A hot instrument is spread over its position buckets here too.
+it left in the shared folder. A hot instrument is spread over its position buckets here too. Rows behind
+the state of their own stream are told as ``late`` and change nothing, as in the keyed form.
 """
 
 from __future__ import annotations
@@ -14,32 +15,56 @@ from pyspark.sql import functions as F
 from feedlake.operators.ordering import Lane, spread_join
 from feedlake.operators.session_state import TRIGGERS, apply_session_rules
 
-STATE_SCHEMA = (
-    "instrument_id bigint, last_arrival bigint, is_open boolean, recovering boolean, session bigint, seq bigint"
-)
+STATE_SCHEMA = "last_arrival bigint, is_open boolean, recovering boolean, session bigint, seq bigint"
 _RESTORED = "_restored"
 
 
+def _split_late(classified: DataFrame, state: DataFrame, lane: Lane) -> tuple[DataFrame, DataFrame]:
+    """Rows ahead of the carried state, and the late ones with the outcome that the keyed form gives them."""
+    carried = state.select(
+        *lane.keys,
+        F.col("last_arrival").alias("_last"),
+        F.col("is_open").alias("_gate"),
+        F.col("session").alias("_at_session"),
+    )
+    met = spread_join(classified, carried, lane.keys, "left", lane.pos)
+    ahead = F.coalesce(F.col(lane.pos) > F.col("_last"), F.lit(True))
+    late = met.where(~ahead).withColumns(
+        {
+            "disposition": F.lit("late"),
+            "open_before": F.col("_gate"),
+            "open_after": F.col("_gate"),
+            "attempt": F.lit(False),
+            "ignored": F.lit(False),
+            "session_id": F.col("_at_session"),
+            "gateway_seq": F.lit(None).cast("bigint"),
+        }
+    )
+    drop = ("_last", "_gate", "_at_session")
+    return met.where(ahead).drop(*drop), late.drop(*drop)
+
+
 def resume_session_rules(classified: DataFrame, state: DataFrame, lane: Lane = Lane()) -> tuple[DataFrame, DataFrame]:
     """Rules over the next rows of each stream; returns the rows and the state after them.
 
-    The carried state enters as one row per instrument just before its new rows: an accepted
-    snapshot when the gate was open, a trigger when a recovery was open, nothing otherwise.
+    The carried state enters as one row per stream just before its new rows: an accepted snapshot when the
+    gate was open, a trigger when a recovery was open, nothing otherwise. Rows at or behind the carried
+    position are late.
     """
+    keys = list(lane.keys)
+    fresh, late = _split_late(classified, state, lane)
     kind = F.when(F.col("is_open"), "snapshot").when(F.col("recovering"), "trigger").otherwise("idle")
-    seeds = state.select(
-        "instrument_id", F.col("last_arrival").alias(lane.pos), kind.alias("kind"), F.lit(True).alias(_RESTORED)
-    )
-    rows = classified.withColumn(_RESTORED, F.lit(False)).unionByName(seeds, allowMissingColumns=True)
+    seeds = state.select(*keys, F.col("last_arrival").alias(lane.pos), kind.alias("kind"), F.lit(True).alias(_RESTORED))
+    rows = fresh.withColumn(_RESTORED, F.lit(False)).unionByName(seeds, allowMissingColumns=True)
     ruled = apply_session_rules(rows, lane)
     carried = state.select(
-        "instrument_id",
+        *keys,
         F.col("is_open").cast("int").alias("_open"),
         F.col("recovering").cast("int").alias("_recovering"),
         F.col("session").alias("_session"),
         F.col("seq").alias("_seq"),
     )
-    joined = spread_join(ruled, carried, ["instrument_id"], "left", lane.pos)
+    joined = spread_join(ruled, carried, keys, "left", lane.pos)
     recovering, opened = F.coalesce("_recovering", F.lit(0)), F.coalesce("_open", F.lit(0))
     same_session = F.col("session_id") == recovering
     continued = F.when(
@@ -53,15 +78,15 @@ def resume_session_rules(classified: DataFrame, state: DataFrame, lane: Lane = L
     # A carried session without new messages keeps its sequence through the restored row.
     at_end = F.struct("session_id", F.coalesce("gateway_seq", F.lit(0)).alias("seq"))
     seen = F.col("kind").isin("snapshot", *TRIGGERS)
-    ends = shifted.groupBy("instrument_id").agg(
+    ends = shifted.groupBy(*keys).agg(
         F.max(lane.pos).alias("last_arrival"),
         F.max_by("open_after", lane.pos).alias("is_open"),
         F.max(seen.cast("int")).alias("_seen"),
         F.max(at_end).alias("_end"),
     )
-    seeds_seq = state.select("instrument_id", F.col("session").alias("_s"), F.col("seq").alias("_q"))
-    after = ends.join(seeds_seq, "instrument_id", "left").select(
-        "instrument_id",
+    seeds_seq = state.select(*keys, F.col("session").alias("_s"), F.col("seq").alias("_q"))
+    after = ends.join(seeds_seq, keys, "left").select(
+        *keys,
         "last_arrival",
         "is_open",
         (~F.col("is_open") & (F.col("_seen") == 1)).alias("recovering"),
@@ -70,25 +95,37 @@ def resume_session_rules(classified: DataFrame, state: DataFrame, lane: Lane = L
             F.col("_end.seq"), F.when(F.col("_s") == F.col("_end.session_id"), F.col("_q")).otherwise(F.lit(0))
         ).alias("seq"),
     )
-    return shifted.where(~F.col(_RESTORED)).drop(_RESTORED), after
+    told = shifted.where(~F.col(_RESTORED)).drop(_RESTORED)
+    return told.unionByName(late, allowMissingColumns=True), after
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Spark's file systems."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fold_batches(
     spark: SparkSession, state_path: str, sink: Callable[[DataFrame, int], None], lane: Lane = Lane()
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function. State of batch N is written once under ``epoch=N``; a batch that is
-    repeated after a failure starts from the same N-1 and writes the same result."""
+    repeated after a failure starts from the same N-1 and writes the same result. Once batch N is done no
+    earlier batch than N can be repeated, so the state before N-1 goes."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batch.select(*lane.keys).schema) + ", "
         if batch_id == 0:
-            state = spark.createDataFrame([], STATE_SCHEMA)
+            state = spark.createDataFrame([], keys + STATE_SCHEMA)
         else:
-            state = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/epoch={batch_id - 1}")
+            state = spark.read.schema(keys + STATE_SCHEMA).parquet(f"{state_path}/epoch={batch_id - 1}")
         batch.persist()
         try:
             rows, after = resume_session_rules(batch, state, lane)
             after.write.mode("overwrite").parquet(f"{state_path}/epoch={batch_id}")
             sink(rows, batch_id)
+            if batch_id > 1:
+                _delete(spark, f"{state_path}/epoch={batch_id - 2}")
         finally:
             batch.unpersist()
 

@@ -1,9 +1,15 @@
 """Session rules as keyed state, with liveness timers.
 
-One state row per instrument: gate, open recovery, session, sequence, monitoring start and the time of
-the last signal. Only the narrow classified columns enter the operator. A micro-batch of one
-instrument is sorted in memory, so the source's rate limit (files or offsets per trigger) bounds it;
-for instruments too hot for that use :mod:`feedlake.streaming.folded`.
+One state row per stream key: gate, open recovery, session, sequence, monitoring start and the time of the
+last signal. Only the narrow classified columns enter the operator. A micro-batch of one key is sorted in
+memory, so the source's rate limit (files or offsets per trigger) bounds it; for instruments too hot for
+that use :mod:`feedlake.streaming.folded`.
+
+Time is the stream's own: a key's clock moves with its rows, never with those of other keys, so a key that
+lags loses nothing. There is no watermark, hence nothing is dropped before the operator. Rows behind their
+own stream are told as ``late`` and change nothing. A silent key's clock is moved by ``tick`` rows, which the
+ingest writes for quiet instruments (kind ``tick``, no arrival, the time up to which all is delivered), or,
+with ``live``, by processing time.
 """
 
 from __future__ import annotations
@@ -12,26 +18,32 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from feedlake.operators.liveness import Monitor
 from feedlake.operators.session_state import TRIGGERS
 
 STATE = (
-    "is_open boolean, recovering boolean, session bigint, seq bigint, monitor_ns bigint, signal_ns bigint, last_arrival bigint"
+    "is_open boolean, recovering boolean, session bigint, seq bigint, monitor_ns bigint, signal_ns bigint, "
+    "last_arrival bigint, time_ns bigint"
 )
-START = (False, False, 0, 0, -1, -1, -1)
+_FIELDS = [c.split()[0] for c in STATE.split(", ")]
+START = (False, False, 0, 0, -1, -1, -1, -1)
 OUTPUT = (
-    "instrument_id bigint, arrival bigint, kind string, disposition string, open_before boolean, open_after boolean, "
+    "arrival bigint, kind string, disposition string, open_before boolean, open_after boolean, "
     "attempt boolean, ignored boolean, session_id bigint, gateway_seq bigint, at_ns bigint"
 )
 _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+TICK = "tick"
 
 
 class SessionProcessor(StatefulProcessor):
-    """Per-instrument session state; ``timeout_ns`` of None switches liveness off."""
+    """Session state per key; ``timeout_ns`` of None switches liveness off. ``restart`` is the order feed,
+    which subscribes again at once after a recovery."""
 
-    def __init__(self, timeout_ns: int | None = None):
-        self.timeout_ns = timeout_ns
+    def __init__(self, keys: tuple[str, ...], timeout_ns: int | None = None, restart: bool = False, live: bool = False):
+        self.keys, self.timeout_ns, self.restart, self.live = keys, timeout_ns, restart, live
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -42,17 +54,14 @@ class SessionProcessor(StatefulProcessor):
 
     def _load(self) -> dict:
         stored = self.state.get() if self.state.exists() else START
-        return dict(zip([c.split()[0] for c in STATE.split(", ")], stored, strict=True))
+        return dict(zip(_FIELDS, stored, strict=True))
 
-    def _next_check(self, s: dict) -> int | None:
-        """First check of the monitoring grid that finds the last signal a timeout old."""
-        if self.timeout_ns is None or s["monitor_ns"] < 0:
-            return None
-        half = self.timeout_ns // 2
-        steps = max(0, -(-(s["signal_ns"] - s["monitor_ns"]) // half))
-        return s["monitor_ns"] + self.timeout_ns + steps * half
+    def _monitor(self, s: dict) -> Monitor:
+        monitor = Monitor(self.timeout_ns, self.restart)
+        monitor.start, monitor.last = (v if v >= 0 else None for v in (s["monitor_ns"], s["signal_ns"]))
+        return monitor
 
-    def _apply(self, s: dict, key: int, arrival: int, kind: str, at_ns: int) -> tuple:
+    def _apply(self, s: dict, arrival: int, kind: str, at_ns: int) -> tuple:
         before = s["is_open"]
         invalid = kind in ("snapshot", "bad_snapshot") and before
         trigger = kind in TRIGGERS or invalid
@@ -82,63 +91,80 @@ class SessionProcessor(StatefulProcessor):
             s["seq"] += 1
         if kind in ("ack", "heartbeat"):
             s["signal_ns"] = at_ns
-            if kind == "ack" and s["monitor_ns"] < 0:
+            if s["monitor_ns"] < 0 and (kind == "ack" or self.restart):
                 s["monitor_ns"] = at_ns
-        elif kind in ("timeout", "disconnect"):
-            s["monitor_ns"] = -1
+        elif attempt or kind == "disconnect":
+            s["monitor_ns"] = at_ns if self.restart and s["monitor_ns"] >= 0 else -1
         seq = s["seq"] if publish else None
-        return (key, arrival, kind, outcome, before, s["is_open"], attempt, ignored, s["session"], seq, at_ns)
+        return (arrival, kind, outcome, before, s["is_open"], attempt, ignored, s["session"], seq, at_ns)
 
-    def _fire_until(self, s: dict, key: int, limit_ns: int, out: list) -> None:
-        check = self._next_check(s)
-        if check is not None and check < limit_ns:
-            out.append(self._apply(s, key, s["last_arrival"], "timeout", check))
+    def _advance(self, s: dict, limit_ns: int, out: list) -> None:
+        """Timeouts before ``limit_ns``; an ignored one sets the clock and may fire again."""
+        if self.timeout_ns is None:
+            return
+        while (hit := self._monitor(s).fire(limit_ns)) is not None:
+            s["signal_ns"] = hit[0]
+            out.append(self._apply(s, s["last_arrival"], "timeout", hit[0]))
 
-    def _finish(self, s: dict, out: list) -> Iterator[pd.DataFrame]:
+    def _finish(self, key: tuple, s: dict, now_ms: int | None, out: list) -> Iterator[pd.DataFrame]:
         self.state.update(tuple(s.values()))
-        if self.timeout_ns is not None:
+        if self.live:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            check = self._next_check(s)
-            if check is not None:
-                self.handle.registerTimer(check // 1_000_000 + 1)
-        frame = pd.DataFrame(out, columns=_COLUMNS)
+            check = self._monitor(s).check()
+            if check is not None and now_ms is not None:
+                self.handle.registerTimer(now_ms + max(0, check - s["time_ns"]) // 1_000_000 + 1)
+        frame = pd.DataFrame([(*key, *row) for row in out], columns=[*self.keys, *_COLUMNS])
         frame["gateway_seq"] = frame["gateway_seq"].astype("Int64")
         yield frame
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         s, out = self._load(), []
-        batch = pd.concat(list(rows)).sort_values("arrival")
-        for row in batch.itertuples(index=False):
-            if row.arrival <= s["last_arrival"]:
+        batch = pd.concat(list(rows)).sort_values("arrival", na_position="last", kind="stable")
+        columns = (batch[c].to_list() for c in ("arrival", "kind", "at_ns"))
+        for arrival, kind, at_ns in zip(*columns, strict=True):
+            if kind == TICK:
+                self._advance(s, at_ns, out)
+                s["time_ns"] = max(s["time_ns"], at_ns)
+                continue
+            arrival = int(arrival)
+            if arrival <= s["last_arrival"]:
                 # Arrival order is the contract of the stream; a row behind it is counted, not applied.
-                out.append((key[0], row.arrival, row.kind, "late", s["is_open"], s["is_open"], False, False, s["session"], None, row.at_ns))
+                out.append((arrival, kind, "late", s["is_open"], s["is_open"], False, False, s["session"], None, at_ns))
                 continue
-            self._fire_until(s, key[0], row.at_ns, out)
-            out.append(self._apply(s, key[0], row.arrival, row.kind, row.at_ns))
-            s["last_arrival"] = row.arrival
-        yield from self._finish(s, out)
+            self._advance(s, at_ns, out)
+            out.append(self._apply(s, arrival, kind, at_ns))
+            s["last_arrival"], s["time_ns"] = arrival, max(s["time_ns"], at_ns)
+        yield from self._finish(key, s, timerValues.getCurrentProcessingTimeInMs() if self.live else None, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The key has been silent for as long as its next check was away."""
         s, out = self._load(), []
-        self._fire_until(s, key[0], timerValues.getCurrentWatermarkInMs() * 1_000_000, out)
-        yield from self._finish(s, out)
+        check = self._monitor(s).check()
+        if check is not None:
+            self._advance(s, check + 1, out)
+            s["time_ns"] = max(s["time_ns"], check)
+        yield from self._finish(key, s, timerValues.getCurrentProcessingTimeInMs(), out)
 
 
 def keyed_sessions(
-    classified: DataFrame, timeout_ns: int | None = None, event_time: str = "event_time", delay: str = "1 minute"
+    classified: DataFrame,
+    timeout_ns: int | None = None,
+    keys: tuple[str, ...] = ("instrument_id",),
+    restart: bool = False,
+    live: bool = False,
 ) -> DataFrame:
-    """Classified stream to dispositions. Needs ``instrument_id, arrival, kind, at_ns``.
+    """Classified stream to dispositions. Needs ``keys, arrival, kind, at_ns``; several venues share a stream
+    with ``keys=("venue", "instrument_id")``.
 
-    With ``timeout_ns`` the stream also needs the timestamp column ``event_time`` for the watermark
-    that drives the timers; a silence then fires even when no further row of the instrument comes.
+    With ``live`` a silence also fires when no further row of the key comes, once as much processing time
+    has passed since the key's last row as was left to its next check.
     """
-    narrow = classified.select("instrument_id", "arrival", "kind", "at_ns", *([event_time] if timeout_ns else []))
-    if timeout_ns:
-        narrow = narrow.withWatermark(event_time, delay)
-    return narrow.groupBy("instrument_id").transformWithStateInPandas(
-        statefulProcessor=SessionProcessor(timeout_ns),
-        outputStructType=OUTPUT,
+    narrow = classified.select(*keys, "arrival", "kind", "at_ns")
+    output = T.StructType([*narrow.select(*keys).schema.fields, *T.StructType.fromDDL(OUTPUT).fields])
+    return narrow.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=SessionProcessor(tuple(keys), timeout_ns, restart, live),
+        outputStructType=output,
         outputMode="Append",
-        timeMode="EventTime" if timeout_ns else "None",
+        timeMode="ProcessingTime" if live else "None",
     )

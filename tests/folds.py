@@ -28,30 +28,45 @@ def session_fold(kinds):
     return out
 
 
-def liveness_fold(signals, timeout, horizon, restart=False):
-    """Timeout times from (time, kind) signals, by walking the check grid tick by tick."""
+def liveness_fold(rows, timeout, horizon, restart=False):
+    """(time, applied) of the timeouts of (time, kind) rows, by walking the check grid tick by tick."""
     half, fired = timeout // 2, []
-    start = last = None
-    tick = None
-    queue = sorted(signals)
+    is_open = recovering = False
+    start = last = tick = None
+
+    def request(at, kind):
+        """A row or a timeout at the gate; an applied recovery ends the monitoring."""
+        nonlocal is_open, recovering, start, tick
+        applied = False
+        if kind in TRIGGERS or (kind in ("snapshot", "bad_snapshot") and is_open):
+            applied = not recovering
+            is_open, recovering = False, True
+        elif kind == "snapshot":
+            is_open, recovering = True, False
+        elif kind == "recovery_failed":
+            recovering = False
+        if applied or kind == "disconnect":
+            if restart and start is not None:
+                start, tick = at, at + timeout
+            else:
+                start = tick = None
+        return applied
 
     def run_until(limit):
-        nonlocal start, last, tick
+        nonlocal last, tick
         while start is not None and tick < limit:
-            if tick - last >= timeout:
-                fired.append(tick)
-                if not restart:
-                    start = None
-                    return
-                start, last = tick, tick
-                tick = start + timeout
-            else:
-                tick += half
+            now, tick = tick, tick + half
+            if now - last >= timeout:
+                last = now
+                fired.append((now, request(now, "timeout")))
 
-    for at, kind in queue:
+    for at, kind in rows:
         run_until(at)
-        last = at
-        if start is None and (kind == "ack" or restart):
-            start, tick = at, at + timeout
+        if kind in ("ack", "heartbeat"):
+            last = at
+            if start is None and (kind == "ack" or restart):
+                start, tick = at, at + timeout
+        else:
+            request(at, kind)
     run_until(horizon)
     return fired

@@ -51,12 +51,11 @@ def test_running(spark, lane):
     assert {(r["instrument_id"], r["arrival"]): (r["su"], r["sb"], r["mu"], tuple(r["mb"]) if r["mb"] else None) for r in got} == want
 
 
-@pytest.mark.parametrize("limit", [10**9, 10])
-def test_dense_arrival_splits_large_groups(spark, limit):
+def test_dense_arrival_splits_large_groups(spark):
     rng = random.Random(4)
     rows = [(0 if i % 3 else i % 7, rng.randint(0, 5), i) for i in range(3000)]
     df = spark.createDataFrame(rows, "k bigint, t bigint, id bigint").repartition(6)
-    got = dense_arrival(df, ["k"], ["t", "id"], group_limit=limit, run_rows=200).collect()
+    got = dense_arrival(df, ["k"], ["t", "id"]).collect()
     want, count = {}, {}
     for k, t, i in sorted(rows):
         count[k] = count.get(k, 0) + 1
@@ -141,22 +140,37 @@ def test_sequence_gaps(spark):
 def test_liveness(spark, restart, seed):
     rng = random.Random(seed)
     rows, want = [], set()
-    for key, n in ((0, 300), (1, 80), (2, 3)):
-        at, signals = 0, []
+    kinds = ["ack", "heartbeat", "heartbeat", "heartbeat", "update", "snapshot", "snapshot", "trigger", "disconnect", "bad_snapshot", "recovery_failed"]
+    for key, n in ((0, 400), (1, 80), (2, 3)):
+        at, mine = 0, []
         for pos in range(1, n + 1):
             at += rng.choice([1, 2, 5, 9, 11, 14, 17, 40])
-            kind = rng.choice(["ack", "heartbeat", "heartbeat", "update"])
+            kind = rng.choice(kinds)
             rows.append((key, pos, kind, at))
-            if kind != "update":
-                signals.append((at, kind))
-        want |= {(key, t) for t in liveness_fold(signals, 10, 8000, restart)}
+            mine.append((at, kind))
+        want |= {(key, *hit) for hit in liveness_fold(mine, 10, 9000, restart)}
+    assert {applied for _, _, applied in want} == {False, True}
     df = spark.createDataFrame(rows, "instrument_id bigint, arrival bigint, kind string, at_ns bigint")
     for width in (6, 1 << 20):
-        got = liveness_timeouts(df, 10, F.lit(8000), Lane(width=width), restart=restart).collect()
-        assert {(r["instrument_id"], r["fired_ns"]) for r in got} == want
+        got = liveness_timeouts(df, 10, F.lit(9000), Lane(width=width), restart=restart).collect()
+        assert {(r["instrument_id"], r["fired_ns"], r["applied"]) for r in got} == want
         assert len(got) == len(want)
 
 
+def test_liveness_follows_recoveries(spark):
+    """An applied recovery of any cause ends the monitoring; an ignored timeout is repeated."""
+    cases = {
+        1: [(0, "ack"), (5, "trigger")],  # stopped before the first check
+        2: [(0, "ack"), (1, "snapshot"), (2, "snapshot"), (3, "ack")],  # duplicate snapshot, then acknowledged again
+        3: [(0, "trigger"), (1, "ack")],  # recovery stays open: ignored timeouts every ten
+        4: [(0, "ack"), (1, "snapshot")],  # applied once, then silence
+    }
+    rows = [(k, i, kind, at) for k, each in cases.items() for i, (at, kind) in enumerate(each)]
+    df = spark.createDataFrame(rows, "instrument_id bigint, arrival bigint, kind string, at_ns bigint")
+    got = {(r.instrument_id, r.fired_ns, r.applied) for r in liveness_timeouts(df, 10, F.lit(45)).collect()}
+    assert got == {(2, 13, False), (2, 23, False), (2, 33, False), (2, 43, False), (3, 11, False), (3, 21, False), (3, 31, False), (3, 41, False), (4, 10, True)}
+
+
 def test_latency_minimum_restarts_after_zero(spark):
     rows = [(1, i + 1, v) for i, v in enumerate([5, 3, 0, 9, 7])] + [(2, 1, 4), (2, 2, 0)] + [(3, 1, 8), (3, 2, 6)]
     df = spark.createDataFrame(rows, "instrument_id bigint, arrival bigint, latency bigint")

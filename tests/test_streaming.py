@@ -78,10 +78,10 @@ def test_timers_and_late_rows(spark):
     rows = [
         (1, 1, "ack", 1 * second), (1, 2, "snapshot", 2 * second), (1, 3, "update", 3 * second), (2, 4, "heartbeat", 4 * second),
         (1, 2, "update", 5 * second),  # behind its stream: counted, not applied
-        (2, 5, "heartbeat", 400 * second), (2, 6, "heartbeat", 401 * second), (2, 7, "heartbeat", 900 * second),
+        (2, 5, "heartbeat", 400 * second), (1, None, "tick", 60 * second), (1, None, "tick", 62 * second),
     ]
     out = fresh_path(spark, "out")
-    stream = keyed_sessions(layout(spark, rows, 8), timeout_ns=60 * second, delay="1 second")
+    stream = keyed_sessions(layout(spark, rows, 8), timeout_ns=60 * second)
     start_keyed(stream, write_once(out), fresh_path(spark, "ckpt"), once=True).awaitTermination()
     got = [tuple(r) for r in spark.read.parquet(out).where("instrument_id = 1").orderBy("at_ns").select("arrival", "kind", "disposition", "attempt", "session_id", "at_ns").collect()]
     assert got == [
@@ -89,3 +89,38 @@ def test_timers_and_late_rows(spark):
         (3, "update", "published", False, 0, 3 * second), (2, "update", "late", False, 0, 5 * second),
         (3, "timeout", "timeout", True, 1, 61 * second),
     ]
+
+
+def test_lagging_instrument_loses_nothing_and_late_rows_agree(spark):
+    """An instrument far behind the others, in its own order, and rows behind their own stream, in both forms."""
+    second = 10**9
+    rows = [(1, i, "snapshot" if i == 1 else "update", 1000 * second + i) for i in range(1, 6)]
+    rows += [(2, 1, "snapshot", 400 * second), (2, 2, "update", 401 * second)]
+    rows += [(1, 3, "update", 1), (1, 11, "update", 1011 * second), (1, 5, "snapshot", 2), (2, 3, "update", 402 * second)]
+    keyed, folded = fresh_path(spark, "out"), fresh_path(spark, "out")
+    stream = keyed_sessions(layout(spark, rows, 4), timeout_ns=3600 * second)
+    start_keyed(stream, write_once(keyed), fresh_path(spark, "ckpt"), once=True).awaitTermination()
+    step = fold_batches(spark, fresh_path(spark, "state"), write_once(folded), Lane(width=16))
+    start_keyed(layout(spark, rows, 4), step, fresh_path(spark, "ckpt"), once=True).awaitTermination()
+    names = ("instrument_id", "arrival", "kind", "disposition", "open_after", "session_id", "gateway_seq")
+    got = [sorted((tuple(r) for r in spark.read.parquet(p).select(*names).collect()), key=repr) for p in (keyed, folded)]
+    assert got[0] == got[1]
+    assert len(got[0]) == len(rows)
+    assert sum(r[3] == "late" for r in got[0]) == 2
+    assert [r[6] for r in got[0] if r[0] == 2] == [1, 2, 3]
+
+
+def test_two_venues_do_not_share_a_gate(spark):
+    rows = [(v, 7, i, k, i) for v in (1, 2) for i, k in enumerate(("snapshot", "update") if v == 1 else ("update", "snapshot"), 1)]
+    schema = "venue int, instrument_id bigint, arrival bigint, kind string, at_ns bigint"
+    path = fresh_path(spark, "venues")
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    stream = spark.readStream.schema(schema).parquet(path)
+    keys = ("venue", "instrument_id")
+    keyed, folded = fresh_path(spark, "out"), fresh_path(spark, "out")
+    start_keyed(keyed_sessions(stream, keys=keys), write_once(keyed), fresh_path(spark, "ckpt"), once=True).awaitTermination()
+    step = fold_batches(spark, fresh_path(spark, "state"), write_once(folded), Lane(keys=keys))
+    start_keyed(stream, step, fresh_path(spark, "ckpt"), once=True).awaitTermination()
+    for out in (keyed, folded):
+        got = {(r.venue, r.arrival): r.disposition for r in spark.read.parquet(out).collect()}
+        assert got == {(1, 1): "accepted_snapshot", (1, 2): "published", (2, 1): "pre_snapshot", (2, 2): "accepted_snapshot"}
