@@ -21,6 +21,7 @@ from feedlake.functions.jsontext import (
     quoted_groups,
 )
 from feedlake.functions.times import rfc3339_nanos
+from feedlake.functions.wirecodes import MAX_ENTRIES
 from feedlake.operators.l2 import ack_valid
 
 ORDER_TYPES = ("received", "open", "done", "activate", "change")
@@ -216,40 +217,61 @@ def trades(classified: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def rest_book_entries(documents: DataFrame) -> DataFrame:
-    """Add ``sequence`` and ``entries`` (texts) to book documents with a ``payload``.
+def rest_book_entries(documents: DataFrame, cap: int = MAX_ENTRIES) -> DataFrame:
+    """Add ``sequence``, ``entries`` (texts) and ``refused`` to book documents with a ``payload``.
 
-    Entries are ``[price, size, order_id]``, bids then asks; one bad order id or a missing sequence
-    (NULL then) refuses the document.
+    Documents are read forwards: the sequence, then the bids behind it, then the asks behind those; a key
+    that stands earlier is not seen. Entries are ``[price, size, order_id]``. A missing sequence, a bad
+    order id or more than ``cap`` entries refuse the document (``refused`` tells which, first of these).
     """
     payload = F.col("payload")
+    has_sequence = payload.rlike(r'"sequence"[ \n\r\t]*+:')
+    number = r'"sequence"[ \n\r\t]*+:[ \n\r\t]*+([0-9]*+)(.*+)'
+    staged = documents.select(
+        "*",
+        F.when(has_sequence, json_long_prefix(F.regexp_extract(payload, f"(?s){number}", 1))).alias("sequence"),
+        F.regexp_extract(payload, f"(?s){number}", 2).alias("_behind"),
+    )
+    staged = staged.select("*", json_array(F.col("_behind"), "bids").alias("_bids"))
+    after_key = F.regexp_extract("_behind", r'(?s)"bids"[ \n\r\t]*+:[ \n\r\t]*+(.*+)', 1)
+    rest = F.when(F.col("_bids").isNull(), F.col("_behind")).otherwise(
+        F.substring(after_key, F.length("_bids") + 1, F.length("_behind"))
+    )
+    staged = staged.select("*", json_array(rest, "asks").alias("_asks"))
 
-    def side_entries(key: str, side: int) -> Column:
+    def side_entries(array: Column, side: int) -> Column:
         def build(price: Column, size: Column, order_id: Column) -> Column:
             return F.struct(
                 F.lit(side).alias("side"), price.alias("price"), size.alias("size"), order_id.alias("order_id")
             )
 
-        array = json_array(payload, key)
         return F.when(array.isNull(), F.array()).otherwise(quoted_groups(array, 3, build))
 
-    has_sequence = payload.rlike(r'"sequence"[ \n\r\t]*+:')
-    digits = F.regexp_extract(payload, r'"sequence"[ \n\r\t]*+:[ \n\r\t]*+([0-9]*)', 1)
-    both = F.concat(side_entries("bids", 1), side_entries("asks", 2))
-    return documents.select(
-        "*",
-        F.when(has_sequence, json_long_prefix(digits)).alias("sequence"),
-        let(both, lambda es: F.when(F.forall(es, lambda e: is_uuid(e["order_id"])), es)).alias("entries"),
+    both = F.concat(side_entries(F.col("_bids"), 1), side_entries(F.col("_asks"), 2))
+    found = staged.select("*", both.alias("_both")).drop("_behind", "_bids", "_asks")
+    good_ids = F.coalesce(F.forall("_both", lambda e: is_uuid(e["order_id"])), F.lit(False))
+    refused = (
+        F.when(F.col("sequence").isNull(), "missing_sequence")
+        .when(~good_ids, "bad_order_id")
+        .when(F.size("_both") > cap, "over_cap")
     )
+    told = found.select("*", refused.alias("refused"))
+    return told.withColumn("entries", F.when(F.col("refused").isNull(), F.col("_both"))).drop("_both")
+
+
+def refused_documents(documents: DataFrame, *keep: str, cap: int = MAX_ENTRIES) -> DataFrame:
+    """A trigger row for every refused document: it asks for recovery."""
+    parsed = rest_book_entries(documents, cap)
+    return parsed.where("refused is not null").select(*keep, F.lit("trigger").alias("kind"), "refused")
 
 
-def flatten_rest_book(documents: DataFrame, *keep: str) -> DataFrame:
+def flatten_rest_book(documents: DataFrame, *keep: str, cap: int = MAX_ENTRIES) -> DataFrame:
     """Order rows of accepted book documents: UPSERT, OPEN, LIMIT, no time, both sequences from the document.
 
-    The document is accepted or refused on the texts; numbers are parsed after the explode, in
-    generated code. Price and size keep the reserved (maximum, 0) pair when they are invalid.
+    The document is accepted or refused on the texts; numbers are parsed after the explode. Price and size
+    keep the reserved (maximum, 0) pair when they are invalid.
     """
-    parsed = rest_book_entries(documents)
+    parsed = rest_book_entries(documents, cap)
     # The outer form keeps the optimizer from repeating the whole parse in an inferred filter.
     rows = parsed.select(*keep, "sequence", F.posexplode_outer("entries").alias("entry_pos", "e")).where(
         "entry_pos is not null and sequence is not null"

@@ -43,6 +43,23 @@ def _sql_type(kind: np.dtype) -> T.DataType:
     return T.LongType() if kind.itemsize == 8 else T.IntegerType()
 
 
+#: Most bytes of one output batch; binary columns count their bytes in 32 bits.
+BATCH_BYTES = 1 << 30
+
+
+def _portions(batch: pa.RecordBatch, prefix: int, entry: int, limit: int | None = None):
+    """Cut a batch so that the messages of each part stay under ``limit`` bytes."""
+    limit = limit or BATCH_BYTES
+    sizes = prefix + np.diff(np.asarray(batch.column("_e").offsets).astype(np.int64)) * entry
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def encode_messages(messages: DataFrame, template: int, *keep: str) -> DataFrame:
     """``keep`` columns and ``message`` (binary) for rows with the body columns and an ``entries`` array.
 
@@ -59,7 +76,7 @@ def encode_messages(messages: DataFrame, template: int, *keep: str) -> DataFrame
     )
 
     def encode(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _portions(whole, prefix, entry.itemsize)):
             rows = batch.num_rows
             lists = batch.column("_e")
             starts = np.asarray(lists.offsets)

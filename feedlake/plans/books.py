@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedlake.functions import decode_code, fixed_point, json_string, ntz_nanos
+from feedlake.functions import decode_code, fixed_point, ntz_nanos
 from feedlake.operators import counters
 from feedlake.operators.align import align_deltas, alignment_summary, buffer_overflow, replay_order, sequence_gaps
 from feedlake.operators.book import change_conflicts, level_book, maker_fills, resting_orders, session_book
@@ -280,11 +280,12 @@ def b4_resting_orders_at(spark, sf_dir):
     return resting_orders(order_lifecycle(spark, sf_dir), until=700)
 
 
+# The last absolute row of the order is carried by a window, together with what was sold up to it.
+_ORDER = "over (partition by instrument_id, order_ref order by arrival rows between unbounded preceding and 1 preceding)"
 _STATE = f"""with {V6},
-w as (select *, max(case when kind <> 'match' then arrival end) over (partition by instrument_id, order_ref order by arrival rows between unbounded preceding and 1 preceding) as la,
-  coalesce(sum(case when kind = 'match' then qty end) over (partition by instrument_id, order_ref order by arrival rows between unbounded preceding and 1 preceding), 0) as sold from e),
-s as (select w.*, case when l.kind <> 'done' then cast(l.qty - (w.sold - l.sold) as decimal(38,2)) end as current_qty
-  from w left join w l on l.instrument_id = w.instrument_id and l.order_ref = w.order_ref and l.arrival = w.la)"""
+w as (select *, coalesce(sum(case when kind = 'match' then qty end) {_ORDER}, 0) as sold from e),
+x as (select *, last_value(case when kind <> 'match' then struct_pack(k := kind, q := qty, s := sold) end ignore nulls) {_ORDER} as l from w),
+s as (select *, case when l.k <> 'done' then cast(l.q - (sold - l.s) as decimal(38,2)) end as current_qty from x)"""
 
 
 @register(

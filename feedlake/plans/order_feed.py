@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import opposite_side
 from feedlake.operators import counters
-from feedlake.operators.l3 import classify_l3, flatten_rest_book, order_events, trades
+from feedlake.operators.l3 import classify_l3, flatten_rest_book, order_events, refused_documents, trades
 from feedlake.operators.session_state import apply_session_rules
 from feedlake.plans.oracle import fixed_m, fixed_s, raw_field, signed_half, text_field, times_ns, uuid_digits
 from feedlake.plans.views import L3_FRAMES_SQL, duck_text, l3_frames, table
@@ -168,10 +168,23 @@ def _side(i: str, shift: int) -> str:
     )
 
 
-_SPARK_DOCUMENT = f"""concat('{{"bids": [', array_join(transform(sequence(1, {_COUNT}), i -> {_side("i", 0)}), ','),
-  '], "sequence": ', cast(o_orderkey as TXT), ', "asks":[', array_join(transform(sequence(1, {_COUNT}), i -> {_side("i", 100)}), ', '), ']}}')""".replace(
+def _spark_array(shift: int) -> str:
+    return f"""array_join(transform(sequence(1, {_COUNT}), i -> {_side("i", shift)}), ', ')"""
+
+
+# Every key order, and documents without a sequence.
+_SPARK_DOCUMENT = f"""case cast(o_orderkey % 6 as int)
+  when 0 then concat('{{"bids": [', {_spark_array(0)}, '], "sequence": ', cast(o_orderkey as TXT), ', "asks":[', {_spark_array(100)}, ']}}')
+  when 1 then concat('{{"sequence": ', cast(o_orderkey as TXT), ', "asks":[', {_spark_array(100)}, '],"bids":[', {_spark_array(0)}, ']}}')
+  when 2 then concat('{{"asks":[', {_spark_array(100)}, '],"sequence":', cast(o_orderkey as TXT), ',"bids" : [', {_spark_array(0)}, ']}}')
+  when 3 then concat('{{"bids":[', {_spark_array(0)}, '],"asks":[', {_spark_array(100)}, ']}}')
+  else concat('{{"sequence" : ', cast(o_orderkey as TXT), ',"bids":[', {_spark_array(0)}, '], "asks": [', {_spark_array(100)}, ']}}') end""".replace(
     "TXT", "string"
 )
+# Remainders by 6 of the documents whose bids (side 1) and asks (side 2) stand where they are read.
+_READ = {1: "(1, 2, 4, 5)", 2: "(0, 4, 5)"}
+# The broken id is seen only on a side that is read.
+_BROKEN = f"(o_orderkey % 23 = 0 and {_COUNT} >= 2 and o_orderkey % 6 <> 3)"
 
 
 def rest_documents(spark, sf_dir):
@@ -182,17 +195,29 @@ def rest_documents(spark, sf_dir):
 
 def _expected_side(side: int, shift: int) -> str:
     hex_id = _ID.format(i=f"(i + {shift})").replace("TXT", "varchar")
+    first = f"case when o_orderkey % 6 in {_READ[1]} then {_COUNT} else 0 end" if side == 2 else "0"
     return f"""select cast(o_custkey % 50 as bigint) as instrument_id, cast(o_orderkey as bigint) as seq1, cast(o_orderkey as bigint) as seq2,
-  cast(i - 1 + {0 if side == 1 else _COUNT} as integer) as entry_pos,
+  cast(i - 1 + {first} as integer) as entry_pos,
   {signed_half(hex_id, 1)} as id_high, {signed_half(hex_id, 17)} as id_low, {side} as side, 1 as action, 1 as reason, 1 as order_type,
   cast(-1 as bigint) as order_ns, cast(cast(o_totalprice as decimal(18,2)) * 1000 + i as bigint) as price_m, 3 as price_s,
-  cast((i + {shift}) * 100 + 25 as bigint) as qty_m, 2 as qty_s from n"""
+  cast((i + {shift}) * 100 + 25 as bigint) as qty_m, 2 as qty_s from n where o_orderkey % 6 in {_READ[side]}"""
 
 
 @register(
     "p13_s2_rest_books",
-    f"""with n as (select o.*, i from orders o, range(1, 5) r(i) where i <= {_COUNT} and not (o_orderkey % 23 = 0 and {_COUNT} >= 2))
+    f"""with n as (select o.*, i from orders o, range(1, 5) r(i) where i <= {_COUNT} and not {_BROKEN})
 {_expected_side(1, 0)} union all {_expected_side(2, 100)}""",
 )
 def rest_books(spark, sf_dir):
     return flatten_rest_book(rest_documents(spark, sf_dir), "instrument_id")
+
+
+@register(
+    "p13_refused_documents",
+    f"""select cast(o_orderkey as bigint) as o_orderkey, 'trigger' as kind, case when o_orderkey % 6 = 3 then 'missing_sequence'
+  when {_BROKEN} then 'bad_order_id' else 'over_cap' end as refused from orders
+where o_orderkey % 6 = 3 or {_BROKEN} or (o_orderkey % 6 in (4, 5) and 2 * ({_COUNT}) > 7)""",
+)
+def refused_books(spark, sf_dir):
+    """Documents that ask for recovery, with the entry cap lowered to 7."""
+    return refused_documents(rest_documents(spark, sf_dir), "o_orderkey", cap=7)

@@ -9,9 +9,10 @@ from feedlake.operators.l2 import classify_l2
 from feedlake.plans.books import TIMEOUT, _liveness_sql
 from feedlake.plans.oracle import L2_RULES
 from feedlake.plans.registration import Family
-from feedlake.plans.views import L2_PAYLOAD, spark_text, table
+from feedlake.plans.views import L2_PAYLOAD, l2_frames, spark_text, table
 from feedlake.session import fresh_path
 from feedlake.streaming import fold_batches, keyed_sessions, start_keyed, write_once
+from feedlake.venues import FEEDS
 
 FAMILY = Family()
 register = FAMILY.register
@@ -121,6 +122,32 @@ def t2_liveness_timers(spark, sf_dir):
     return fired.select("instrument_id", "at_ns", F.col("attempt").alias("applied"))
 
 
+@register(
+    "u1_registered_feed",
+    f"""with {L2_RULES} select instrument_id, kind, count(*) as n from r group by instrument_id, kind""",
+)
+def u1_registered_feed(spark, sf_dir):
+    """Frames through the feed that the registry names."""
+    feed = FEEDS["COINBASE_L2"]
+    return feed.classify(l2_frames(spark, sf_dir)).groupBy("instrument_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "u2_sink_callable",
+    f"""with {L2_RULES} select disposition, count(*) as n, cast(sum(pub) as bigint) as published from r group by disposition""",
+)
+def u2_sink_callable(spark, sf_dir):
+    """A publisher of one's own: any callable takes the batches; this one stores counts per outcome."""
+    out, checkpoint = fresh_path(spark, "published"), fresh_path(spark, "checkpoint")
+
+    def publish(batch, batch_id):
+        counts = batch.groupBy("disposition").agg(F.count(F.lit(1)).alias("n"), F.count("gateway_seq").alias("published"))
+        counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    run_in_pieces(spark, sf_dir, lambda stream: start_keyed(keyed_sessions(stream), publish, checkpoint, once=True), pieces=2)
+    return spark.read.parquet(out).groupBy("disposition").agg(F.sum("n").alias("n"), F.sum("published").alias("published"))
+
+
 # Instruments lag by up to a day each and every tenth row comes again: its own stream has passed it then.
 _LATE_SQL = f"""with {L2_RULES}, told as (
   select instrument_id, event_id as arrival, disposition, session_id, gateway_seq from r

@@ -18,6 +18,12 @@ def read_frames(spark: SparkSession, path: str, format: str = "parquet") -> Data
     return spark.read.schema(FRAME_SCHEMA).format(format).load(path)
 
 
+def read_rest_books(spark: SparkSession, path: str) -> DataFrame:
+    """Book documents, one per file: ``path`` and ``payload``, for ``flatten_rest_book``."""
+    files = spark.read.option("wholetext", True).text(path)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
+
+
 def stream_frames(spark: SparkSession, path: str, format: str = "parquet", files_per_trigger: int = 64) -> DataFrame:
     """The same table as a stream; the file limit bounds a micro-batch."""
     return (

@@ -18,11 +18,16 @@ def parse_trace_line(line: Column) -> Column:
     return F.try_to_binary(F.nullif(F.regexp_extract(line, PREFIX + r"([A-Za-z0-9+/=]+)", 1), F.lit("")), F.lit("base64"))
 
 
-def write_trace(messages: DataFrame, path: str, max_records_per_file: int = 5_000_000, message: str = "message") -> None:
-    """Write trace lines as gzip text files that roll by record count."""
+def write_trace(messages: DataFrame, path: str, max_file_bytes: int = 1 << 30, message: str = "message") -> None:
+    """Write trace lines as gzip text files that roll by size.
+
+    No file holds more than ``max_file_bytes`` before compression: records per file follow from the longest
+    line (a line longer than that has a file of its own).
+    """
+    lines = messages.select(F.regexp_replace(trace_line(F.col(message)), r"\s", "").alias("value"))
+    longest = lines.agg(F.max(F.octet_length("value"))).first()[0] or 1
     (
-        messages.select(F.regexp_replace(trace_line(F.col(message)), r"\s", "").alias("value"))
-        .write.option("maxRecordsPerFile", max_records_per_file)
+        lines.write.option("maxRecordsPerFile", max(1, max_file_bytes // (longest + 1)))
         .option("compression", "gzip")
         .mode("errorifexists")
         .text(path)

@@ -166,3 +166,25 @@ def test_book_documents(spark):
         (1, 638, 1, 2, 3341, 1, 2**63 - 1, 0, -1),
         (5, 9, 0, 1, 1, 0, 2, 0, -1),
     ]
+
+
+def test_documents_are_read_forwards_and_refused_whole(spark, tmp_path):
+    from feedlake.operators.l3 import refused_documents
+    from feedlake.sources.frames import read_rest_books
+
+    bid, ask = f'"bids":[["1","2","{ID_A}"]]', f'"asks":[["3","4","{ID_B}"]]'
+    docs = {
+        "a": "{" + f'{bid},"sequence":5,{ask}' + "}",  # bids before the sequence are not seen
+        "b": "{" + f'"sequence":6,{ask},{bid}' + "}",  # nor asks before the bids
+        "c": "{" + f'"sequence":7,{ask}' + "}",
+        "d": "{" + f'{bid},{ask}' + "}",
+        "e": '{"sequence":8,"bids":[' + ",".join([f'["1","1","{ID_A}"]'] * 10_001) + "]}",
+        "f": '{"sequence":9,"bids":[["1","1","nope"]]}',
+    }
+    for name, text in docs.items():
+        (tmp_path / name).write_text(text)
+    read = read_rest_books(spark, str(tmp_path))
+    rows = flatten_rest_book(read, "path").collect()
+    assert sorted((r.path[-1], r.seq1, r.side) for r in rows) == [("a", 5, 2), ("b", 6, 1), ("c", 7, 2)]
+    refused = {(r.path[-1], r.kind, r.refused) for r in refused_documents(read, "path").collect()}
+    assert refused == {("d", "trigger", "missing_sequence"), ("e", "trigger", "over_cap"), ("f", "trigger", "bad_order_id")}

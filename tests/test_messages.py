@@ -116,9 +116,12 @@ def test_routing(spark):
 def test_trace_round_trip(spark, tmp_path):
     coded = encode_messages(level_table(spark), 1, "gateway_seq")
     path = fresh_path(spark, "trace-test")
-    write_trace(coded, path, max_records_per_file=2)
+    largest = 200  # a trace line of the test messages is shorter
+    write_trace(coded.coalesce(1), path, max_file_bytes=2 * largest)
     lines = [r["value"] for r in spark.read.text(path).collect()]
     assert all(line.startswith("sbe_base64=") for line in lines) and len(lines) == 3
+    assert max(map(len, lines)) <= largest
+    assert spark.read.text(path).select(F.col("_metadata.file_path")).distinct().count() >= 2
     want = {bytes(r["message"]) for r in coded.collect()}
     assert {bytes(r["message"]) for r in read_trace(spark, path).collect()} == want
     logged = tmp_path / "log.txt"
@@ -145,3 +148,15 @@ def test_feeds_are_pluggable(spark):
     assert set(FEEDS) >= {"COINBASE_L2", "COINBASE_L3"}
     with pytest.raises(ValueError):
         register_feed("COINBASE_L2", FEEDS["COINBASE_L2"])
+
+
+def test_encoding_cuts_large_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from feedlake.operators.wire import _portions
+
+    entries = pa.array([[{"a": 1}] * n for n in (3, 0, 5, 1, 40, 2)])
+    batch = pa.RecordBatch.from_arrays([entries], names=["_e"])
+    parts = list(_portions(batch, 10, 4, limit=60))
+    assert [p.num_rows for p in parts] == [2, 2, 1, 1]
+    assert [v for p in parts for v in p.column(0).to_pylist()] == entries.to_pylist()
