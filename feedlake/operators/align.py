@@ -75,6 +75,16 @@ def sequence_gaps(rows: DataFrame, seq: str = "seq", lane: Lane = LANE) -> DataF
     )
 
 
-def replay_order(aligned: DataFrame, *keys: str, pos: str = "arrival") -> DataFrame:
-    """Output key of the replayed deltas: after the snapshot (``stage`` 0) in arrival order (``stage`` 1)."""
-    return aligned.where("outcome = 'replayed'").withColumn("stage", F.lit(1)).select(*keys, "stage", pos, "seq")
+def replay_order(aligned: DataFrame, snapshots: DataFrame, *keys: str, pos: str = "arrival") -> DataFrame:
+    """What leaves the alignment, in order: the snapshot (``stage`` 0), then its replayed deltas (``stage`` 1).
+
+    Replayed deltas follow the boundary without a hole, so their place ``replay_pos`` is the distance to it.
+    """
+    head = snapshots.select(
+        *keys, F.lit(0).alias("stage"), F.lit(None).cast("bigint").alias(pos), F.col("boundary").cast("bigint").alias("seq"),
+        F.lit(0).cast("bigint").alias("replay_pos"),
+    )
+    place = (F.col("seq") - F.col("boundary")).cast("bigint").alias("replay_pos")
+    return head.unionByName(
+        aligned.where("outcome = 'replayed'").select(*keys, F.lit(1).alias("stage"), pos, "seq", place)
+    )

@@ -204,11 +204,13 @@ o as (select instrument_id, arrival, seq, case when first_live is null or arriva
   when gap = 1 and gaps = 1 then 'gap' else 'dropped' end as outcome from c)"""
 
 
+def _boundaries(spark, sf_dir):
+    instruments = table(spark, sf_dir, "events").select(F.col("user_id").cast("bigint").alias("instrument_id")).distinct()
+    return instruments.withColumn("boundary", 5 + F.when(F.col("instrument_id") % 7 == 0, 2).otherwise(0))
+
+
 def _aligned(spark, sf_dir):
-    ident = F.col("user_id")
-    snapshots = table(spark, sf_dir, "events").select(ident.cast("bigint").alias("instrument_id")).distinct()
-    boundary = 5 + F.when(F.col("instrument_id") % 7 == 0, 2).otherwise(0)
-    return align_deltas(sequenced_deltas(spark, sf_dir), snapshots.withColumn("boundary", boundary))
+    return align_deltas(sequenced_deltas(spark, sf_dir), _boundaries(spark, sf_dir))
 
 
 @register("w6_j4_alignment", f"{_ALIGNED} select instrument_id, arrival, seq, outcome from o")
@@ -228,10 +230,11 @@ def w6_alignment_summary(spark, sf_dir):
 
 @register(
     "w12_replay_order",
-    f"{_ALIGNED} select instrument_id, 1 as stage, arrival, seq from o where outcome = 'replayed'",
+    f"""{_ALIGNED} select instrument_id, 0 as stage, cast(null as bigint) as arrival, cast(boundary as bigint) as seq, cast(0 as bigint) as replay_pos from s
+union all select instrument_id, 1, arrival, seq, row_number() over (partition by instrument_id order by arrival) from o where outcome = 'replayed'""",
 )
 def w12_replay_order(spark, sf_dir):
-    return replay_order(_aligned(spark, sf_dir), "instrument_id")
+    return replay_order(_aligned(spark, sf_dir), _boundaries(spark, sf_dir), "instrument_id")
 
 
 @register(
