@@ -167,17 +167,21 @@ def sketch_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def tile_pairs(tile: pd.DataFrame) -> pd.DataFrame:
-    """Similar pairs of different components between the two blocks of one tile of a bucket."""
+    """Similar pairs of different components between the two blocks of one tile of a bucket. A pair that
+    meets in several bands is told by the first one."""
+    band = tile["band"].iloc[0]
     low, high = tile["_i"].iloc[0], tile["_j"].iloc[0]
     left, right = tile[tile["_block"] == low], tile[tile["_block"] == high]
     marks = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(len(right), BINS)
     others, groups = right["rep"].to_numpy(), right["component"].to_numpy()
+    keys = np.array(right["bands"].to_list(), np.int64).reshape(len(right), BANDS)
     x, y = [], []
-    for rep, component, sketch in zip(left["rep"], left["component"], left["sketch"], strict=True):
+    for rep, component, sketch, own in zip(left["rep"], left["component"], left["sketch"], left["bands"], strict=True):
         fit = groups != component
         fit &= others > rep if low == high else True
         at = np.flatnonzero(fit)
         at = at[likeness(marks[at], np.frombuffer(sketch, np.uint8)) >= SKETCH_FLOOR]
+        at = at[(keys[at] == np.asarray(own)).argmax(axis=1) == band]
         x.append(np.full(len(at), rep))
         y.append(others[at])
     x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (x, y))
@@ -246,6 +250,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     buckets = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     leaders = buckets.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leaders = stored(leaders, "leaders")  # a table of its own, so that the planner can split a hot bucket
     shared = stored(buckets.join(leaders, ["band", "key"]), "buckets")
     stars = shared.where("rep != leader").select(F.col("leader").alias("x"), F.col("rep").alias("y")).distinct()
     close = stored(_close(stars, classes), "stars")
@@ -267,13 +272,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = _close(rest, classes).select("x", "y")
 
     many = placed.where(F.col("n") > SMALL).join(apart.select("band", "key").distinct(), ["band", "key"], "left_semi")
-    many = many.join(classes.select("rep", "sketch"), "rep")
+    many = many.join(classes, "rep")
     count = F.ceil(F.col("n") / TILE).cast("int")
     many = many.withColumn("_block", F.pmod(F.xxhash64("rep"), count).cast("int"))
     many = many.withColumn("_other", F.explode(F.sequence(F.lit(0), count - 1)))
     tiles = many.select(
         "band", "key", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"),
-        "_block", "rep", "component", "sketch",
+        "_block", "rep", "component", "sketch", "bands",
     )
     found = tiles.groupBy("band", "key", "_i", "_j").applyInPandas(tile_pairs, "x long, y long")
     rest = rest.unionByName(found).distinct()
