@@ -3,7 +3,7 @@
 Dimensions are source, language and text size (log scale). Equal texts form a group that takes the
 smallest source and language of its rows, so that copies stand together on the curve. Ranks are exact:
 rows are range-partitioned on (curve index, text, id), which splits any hot cell, the split is fixed in
-the shared checkpoint folder, runs are numbered inside and shifted by the sizes of the runs before.
+the shared folder, rows are numbered inside their run and shifted by the sizes of the runs before.
 
 Law ``rows``: shard = rank * shards div rows, so the row counts differ by one at most.
 
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlake.session import fresh_path, reliable_checkpoint
+from feedlake.session import fresh_path
 
 BITS = 7
 DIMENSIONS = ("_source", "_lang", "_size")
@@ -62,7 +62,7 @@ def _index_column(columns):
 
 
 def _quantised() -> dict:
-    """Cells 0 to 2^BITS - 1: names by hash (0 for null), sizes by sixteenths of a power of two."""
+    """Cells 0 to 2^BITS - 1: names by hash (0 for null), sizes by quarters of a power of two."""
     top = (1 << BITS) - 1
 
     def named(column):
@@ -72,6 +72,12 @@ def _quantised() -> dict:
     return {"_source": named("_group_source"), "_lang": named("_group_lang"), "_size": size}
 
 
+def _differ(column: str):
+    """Whether a group's values of a column are not all the same, null being a value."""
+    some, all_ = F.count(column), F.count(F.lit(1))
+    return (F.min(column) != F.max(column)).eqNullSafe(F.lit(True)) | ((some > 0) & (some < all_))
+
+
 def placed(docs: DataFrame, shards: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, text_crc32, curve index, shard and slot (rank in the shard, from 0) of every row,
     with the columns ``carry`` of the row in a struct ``row``."""
@@ -87,35 +93,40 @@ def placed(docs: DataFrame, shards: int = 8, carry: tuple[str, ...] = ()) -> Dat
         F.xxhash64(text).alias("_text"),
         F.struct(*[docs[c] for c in carry]).alias("row") if carry else F.lit(None).cast("int").alias("row"),
     )
+    folder = fresh_path(spark, "hilbert")
     same = ["_text", "size", "text_crc32"]
-    # Only texts that repeat need a look at their group; stored, so that the planner can split a hot one.
-    path = fresh_path(spark, "groups")
+    # Only equal texts of different source or language need their group; a table of its own, so that the
+    # planner knows its size and can split a hot group.
     group = base.groupBy(*same).agg(
-        F.min("_row_source").alias("_group_source"), F.min("_row_lang").alias("_group_lang"), F.count(F.lit(1)).alias("_n")
+        F.min("_row_source").alias("_group_source"),
+        F.min("_row_lang").alias("_group_lang"),
+        *[_differ(c).alias(f"_differ{c}") for c in ("_row_source", "_row_lang")],
     )
-    group.where("_n > 1").drop("_n").withColumn("_grouped", F.lit(True)).write.parquet(path)
-    group = spark.read.parquet(path)
+    group = group.where("_differ_row_source or _differ_row_lang").select(*same, "_group_source", "_group_lang", F.lit(True).alias("_grouped"))
+    group.write.parquet(f"{folder}/groups")
+    group = spark.read.schema(group.schema).parquet(f"{folder}/groups")
     own = {f"_group_{k}": F.expr(f"if(_grouped, _group_{k}, _row_{k})") for k in ("source", "lang")}
     keyed = base.join(group, same, "left").withColumns(own).withColumns(_quantised())
     keyed = keyed.withColumn("curve", _index_column([F.col(d) for d in DIMENSIONS]))
     # The last key only parts rows that are equal in all the others, so that no run holds too many.
     keyed = keyed.withColumn("_tie", F.monotonically_increasing_id())
     order = ["curve", "_text", "doc_id", "_row_source", "_row_lang", "_tie"]
-    split = reliable_checkpoint(
-        keyed.repartitionByRange(runs, *order)
-        .select(*order, "size", "text_crc32", "row")
-        .withColumn("_run", F.spark_partition_id())
-    )
-    sizes = split.groupBy("_run").count()
+    ranged = keyed.repartitionByRange(runs, *order).sortWithinPartitions(*order)
+    # The id counts the rows of a partition in its lower 33 bits; written, so that the split is fixed.
+    ranged = ranged.select("doc_id", "size", "text_crc32", "curve", "row", F.monotonically_increasing_id().alias("_id"))
+    ranged.withColumn("_run", F.shiftright("_id", 33)).write.parquet(f"{folder}/runs")
+    split = spark.read.parquet(f"{folder}/runs")
+    heads = split.groupBy("_run").agg(F.min("_id").alias("_head"), F.count(F.lit(1)).alias("_count"))
     earlier = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shift = sizes.select(  # one row per run
+    shift = heads.select(  # one row per run
         "_run",
-        F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_shift"),
-        F.sum("count").over(everything).alias("_rows"),
+        (F.coalesce(F.sum("_count").over(earlier), F.lit(0)) - F.col("_head")).alias("_shift"),
+        F.sum("_count").over(everything).alias("_rows"),
     )
-    inside = F.row_number().over(Window.partitionBy("_run").orderBy(*order)) - 1
-    ranked = split.withColumn("_inside", inside).join(shift, "_run").withColumn("_rank", F.expr("_inside + _shift"))
+    shift.write.parquet(f"{folder}/shifts")
+    shift = spark.read.schema(shift.schema).parquet(f"{folder}/shifts")
+    ranked = split.join(shift, "_run").withColumn("_rank", F.expr("_id + _shift"))
     ranked = ranked.withColumn("shard", F.expr(f"cast(_rank * {shards} div _rows as int)"))
     first = F.expr(f"(shard * _rows + {shards - 1}) div {shards}")  # the smallest rank of the shard
     return ranked.select(
