@@ -2,9 +2,9 @@
 
 Items are short, documents are long, so Jaccard similarity says nothing; the measure is containment, the
 share of an item's distinct five-word shingles that the document has. Items are partitioned by the
-number of their shingles. Every partition has its own signature length: the k smallest hash values of
-the item's shingles, with k large enough that an item contained to 0.75 must share at least one of them
-(k = n // 4 + 1: more shingles than may be missing). Documents are probed shingle by shingle against
+number of their shingles, up to the next power of two. Every partition has its own signature length: the
+k smallest hash values of an item's shingles, with k large enough that an item of up to n shingles that is
+contained to 0.75 must share at least one of them (k = n // 4 + 1: more shingles than may be missing). Documents are probed shingle by shingle against
 these values, so no true containment is lost, whatever the document's length. Candidates are then
 verified on the words of all shingles.
 
@@ -59,8 +59,8 @@ def item_shingles(items: DataFrame) -> DataFrame:
 
 
 def signature(rows: DataFrame) -> DataFrame:
-    """The smallest hash values of each item: as many as its size partition asks for."""
-    longest = F.expr("n div 4 + 1").cast("int")
+    """The smallest hash values of each item: as many as the largest size of its partition asks for."""
+    longest = F.expr("shiftleft(1, part) div 4 + 1").cast("int")
     smallest = rows.groupBy("item_id", "part", "n").agg(F.array_sort(F.collect_set("h")).alias("_hashes"))
     return smallest.select("item_id", "part", F.explode(F.slice("_hashes", F.lit(1), longest)).alias("h"))
 
