@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-GATE = r"(?i)licen[cs]|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:by|zero)|cc0|gpl|spdx|wtfpl|public.domain|creative.?commons|rights.reserved|[lmp]pl|cecill|ofl|osl|afl|fdl|cddl|odbl|ms.rl"
+_INNER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+# Word beginnings without which no rule and no base phrase can match. Short ones must end or go on with a version.
+GATE = rf"""(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?i:licen[cs]|spdx|cc0|cc{_INNER}+(?:by|zero)|creative{_INNER}?commons|public{_INNER}+domain|all{_INNER}+rights|unlicense|wtfpl|cecill|freebsd|0bsd|bsd{_INNER}|zero{_INNER}+clause|(?:[al]?gpl|g?fdl|[cemz]pl|eupl|cddl|osl|afl|ofl|lppl|busl|odbl|ms{_INNER}[pr]l)(?![a-uw-z]))"""
 
 # Phrases and their labels.
 BASE = {
@@ -49,7 +51,7 @@ FAMILIES = (
     Family("gpl", "general public,gpl", "(?:gnu )?(?:general public licen[sc]e|gpl)", ("1", "2", "3"), True),
     Family("lgpl", "general public,lgpl", "(?:gnu )?(?:(?:lesser|library) general public licen[sc]e|lgpl)", ("2", "2.1", "3"), True),
     Family("agpl", "affero,agpl", "(?:gnu )?(?:affero general public licen[sc]e|agpl)", ("1", "3"), True),
-    Family("fdl", "documentation,fdl", "(?:gnu )?(?:free documentation licen[sc]e|gfdl|fdl)", ("1.1", "1.2", "1.3"), True),
+    Family("fdl", "documentation,fdl,gfdl", "(?:gnu )?(?:free documentation licen[sc]e|gfdl|fdl)", ("1.1", "1.2", "1.3"), True),
     Family("apache", "apache", "apache(?: software)?(?: licen[sc]e)?", ("1", "1.1", "2")),
     Family("mpl", "mozilla,mpl", "(?:mozilla public licen[sc]e|mpl)", ("1", "1.1", "2")),
     Family("epl", "eclipse,epl", "(?:eclipse public licen[sc]e|epl)", ("1", "2")),
@@ -71,23 +73,23 @@ FAMILIES = (
     Family("ms-rl", "microsoft,ms rl", "(?:microsoft reciprocal licen[sc]e|ms rl)"),
     Family("cpl", "common public,cpl", "(?:common public licen[sc]e|cpl)", ("1",)),
     Family("ipl", "ibm", "ibm public licen[sc]e", ("1",)),
-    Family("mit", "mit", "(?:mit|expat)(?: x11)? licen[sc]e"),
+    Family("mit", "mit,expat", "(?:mit|expat)(?: x11)? licen[sc]e"),
     Family("isc", "isc", "isc licen[sc]e"),
     Family("zlib", "zlib", "zlib(?: libpng)? licen[sc]e"),
-    Family("bsd-2-clause", "bsd", "(?:bsd 2 clause(?: licen[sc]e)?|simplified bsd licen[sc]e|freebsd licen[sc]e)"),
+    Family("bsd-2-clause", "bsd,simplified,freebsd", "(?:bsd 2 clause(?: licen[sc]e)?|simplified bsd licen[sc]e|freebsd licen[sc]e)"),
     Family("bsd-3-clause", "bsd", "(?:bsd 3 clause(?: licen[sc]e)?|(?:new|modified|revised) bsd licen[sc]e)"),
     Family("bsd-4-clause", "bsd", "(?:bsd 4 clause(?: licen[sc]e)?|original bsd licen[sc]e)"),
     Family("bsd", "bsd", "bsd licen[sc]e"),
-    Family("0bsd", "bsd", "(?:0bsd|zero clause bsd)(?: licen[sc]e)?"),
+    Family("0bsd", "0bsd,zero clause", "(?:0bsd|zero clause bsd)(?: licen[sc]e)?"),
     Family("unlicense", "unlicense", "unlicense"),
     Family("wtfpl", "wtfpl", "wtfpl", ("1", "2")),
-    Family("cc0", "cc0,zero", "(?:cc0|cc zero|creative ?commons zero)", ("1",)),
+    Family("cc0", "cc0,zero,creativecommons", "(?:cc0|cc zero|creative ?commons zero)", ("1",)),
     Family("public-domain", "public domain", "public domain"),
     Family("all-rights-reserved", "all rights reserved", "all rights reserved"),
     *(
         Family(
             f"cc-{code}",
-            "cc,commons",
+            "cc,commons,creativecommons",
             f"(?:cc|creative ?commons) (?:{code.replace('-', ' ')}|{names})(?: licen[sc]e)?",
             ("1", "2", "2.5", "3", "4"),
         )
@@ -156,20 +158,20 @@ def _word_places(pattern: str) -> str:
     steps = f"""zip_with(regexp_extract_all(_line, {cut}, 0), split(_line, {cut}),
         (h, p) -> struct(h as hit, char_length(regexp_replace(p, '[^ ]', '')) as gap))"""
     words = "char_length(regexp_replace(s.hit, '[^ ]', ''))"
-    return f"""aggregate(filter({steps}, s -> s.hit is not null),
+    return f"""case when rlike(_line, {cut}) then aggregate(filter({steps}, s -> s.hit is not null),
       named_struct('at', -1, 'found', cast(array() as array<struct<start:int,stop:int>>)),
       (acc, s) -> named_struct('at', acc.at + s.gap + {words}, 'found', concat(acc.found, array(
         named_struct('start', acc.at + s.gap, 'stop', acc.at + s.gap + {words} + 1)))),
-      acc -> acc.found)"""
+      acc -> acc.found) else cast(array() as array<struct<start:int,stop:int>>) end"""
 
 
 def _rule_table() -> str:
-    """The rules as one literal array, grouped by keyword."""
+    """The rules as one literal array, grouped by keywords (beginnings of words)."""
     groups: dict[str, list[str]] = {}
     for rank, rule in enumerate(RULES):
         entry = f"named_struct('rank', {rank}, 'pattern', '{rule.pattern}')"
         groups.setdefault(rule.keyword, []).append(entry)
-    return "array(" + ", ".join(f"named_struct('keywords', split('{k}', ','), 'rules', array({', '.join(v)}))" for k, v in groups.items()) + ")"
+    return "array(" + ", ".join(f"named_struct('keywords', transform(split('{k}', ','), k -> concat(' ', k)), 'rules', array({', '.join(v)}))" for k, v in groups.items()) + ")"
 
 
 def _pick(field: str, of: str) -> str:
