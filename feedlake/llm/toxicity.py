@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from feedlake.llm.textblocks import U64, Block, blocks, mix
 
 WINDOW, STRIDE = 32, 24
-SAMPLE, SAMPLE_BYTES = {0: 6000, 1: 2500}, 32768
+SAMPLE, SAMPLE_BYTES = {0: 4000, 1: 2000}, 32768
 VOCABULARY, LEAST_TEXTS = 20000, 12
 #: Every so many-th sample text is kept back to place the cut.
 HELD_BACK = 4
 GRAM_BUCKETS = 1 << 14
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 12, 8, 8
 ROUNDS, BATCH, RATE, DECAY = (1, 4), 512, 0.01, 0.002
+#: Steps of a round on a sample too small for full batches.
+STEPS = 48
 #: Windows of negative sample texts used per round, and how many of them are the most toxic looking ones.
 NEGATIVE_WINDOWS, HARD_WINDOWS = 20000, 5000
 #: Share of word vectors blanked in training, so that the characters have to carry.
@@ -67,10 +69,10 @@ class Texts:
             grams.append(mix(gram + U64(width) + (step == 0).astype(U64) * U64(977)) & U64(GRAM_BUCKETS - 1))
             owners.append(owner)
         self.grams = np.concatenate(grams).astype(np.int64)
-        self.owners = np.concatenate(owners)
-        order = np.argsort(self.owners, kind="stable")  # the n-grams of a word together
+        owners = np.concatenate(owners)
+        order = np.argsort(owners, kind="stable")  # the n-grams of a word together
         self.grams = self.grams[order]
-        self.counts = np.bincount(self.owners, minlength=len(self.unique))
+        self.counts = np.bincount(owners, minlength=len(self.unique))
         self.heads = np.cumsum(self.counts) - self.counts
         words = np.bincount(block.owner(starts), minlength=self.n)
         begin = np.cumsum(words) - words
@@ -80,6 +82,25 @@ class Texts:
         self.start = begin[self.text] + nth * STRIDE
         self.stop = np.minimum(self.start + WINDOW, (begin + words)[self.text])
 
+    @classmethod
+    def merged(cls, parts: list[Texts]) -> Texts:
+        """The texts of several blocks as one; each unique word keeps the n-grams of its first block."""
+        whole = cls.__new__(cls)
+        whole.n = sum(p.n for p in parts)
+        whole.unique, first, which = np.unique(np.concatenate([p.unique for p in parts]), return_index=True, return_inverse=True)
+        offsets = {k: np.cumsum([0, *(len(getattr(p, k)) for p in parts)]) for k in ("unique", "grams", "which")}
+        rows = np.cumsum([0, *(p.n for p in parts)])
+        whole.which = np.concatenate([which[o + p.which] for o, p in zip(offsets["unique"], parts, strict=False)])
+        heads = np.concatenate([p.heads + o for o, p in zip(offsets["grams"], parts, strict=False)])[first]
+        whole.counts = np.concatenate([p.counts for p in parts])[first]
+        whole.heads = np.cumsum(whole.counts) - whole.counts
+        at = np.repeat(heads - whole.heads, whole.counts) + np.arange(int(whole.counts.sum()))
+        whole.grams = np.concatenate([p.grams for p in parts])[at]
+        whole.text = np.concatenate([p.text + o for o, p in zip(rows, parts, strict=False)])
+        for name in ("start", "stop"):
+            setattr(whole, name, np.concatenate([getattr(p, name) + o for o, p in zip(offsets["which"], parts, strict=False)]))
+        return whole
+
     def window(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unique-word numbers (window by place) and the mask of places that have a word."""
         at = self.start[chosen, None] + np.arange(WINDOW)
@@ -132,7 +153,11 @@ class Network:
             grams, heads = grams[at], begin
         if not len(heads):
             return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32), entry, grams, counts
-        sums = np.add.reduceat(self.p["char"][grams], heads, axis=0)
+        sums = np.empty((len(heads), CHAR_DIM), np.float32)
+        for a in range(0, len(heads), 1 << 15):  # words in portions, as the gathered n-grams take the most memory
+            part = heads[a : a + (1 << 15)]
+            stop = heads[a + len(part)] if a + len(part) < len(heads) else len(grams)
+            sums[a : a + len(part)] = np.add.reduceat(self.p["char"][grams[part[0] : stop]], part - part[0], axis=0)
         vectors = np.hstack([self.p["word"][entry], sums / counts[:, None].astype(np.float32)])
         return vectors.astype(np.float32), entry, grams, counts
 
@@ -218,8 +243,8 @@ class Network:
 
 
 def _texts(sample: list[tuple[str, int]]) -> Texts:
-    raw = [np.frombuffer((text or "").encode(), np.uint8) for text, _ in sample]
-    return Texts(Block(np.concatenate(raw), np.cumsum([0, *map(len, raw)])))
+    column = pa.array([text or "" for text, _ in sample], pa.large_string())
+    return Texts.merged([Texts(block) for _, _, block in blocks(column)])
 
 
 def fit(sample: list[tuple[str, int]], seed: int = 7) -> Network | None:
@@ -256,9 +281,10 @@ def fit(sample: list[tuple[str, int]], seed: int = 7) -> Network | None:
             elif len(shown) > NEGATIVE_WINDOWS:
                 shown = random.permutation(shown)[:NEGATIVE_WINDOWS]
             chosen = random.permutation(np.concatenate([chosen, shown, shown[: len(shown) * bool(stage)]]))
-            for at in range(0, len(chosen), BATCH):
+            batch = min(BATCH, max(32, len(chosen) // STEPS))
+            for at in range(0, len(chosen), batch):
                 tick += 1
-                _step(net, texts, chosen[at : at + BATCH], truth, moments, tick, random)
+                _step(net, texts, chosen[at : at + batch], truth, moments, tick, random)
     cut = _cut(net.text_logits(_texts([sample[i] for i in back])), labels[back])
     net.p["shift"] = net.p["shift"] - np.float32(cut)
     return net
