@@ -5,15 +5,21 @@ compared with the mean histogram of the document's language by the Jensen-Shanno
 0 to 1). A document that is too far from its reference is rejected. Histograms of too short texts say
 nothing, so each comparison is guarded by a minimum length.
 
-Defined results: null and empty texts have zero counts and fail the base rule (fewer than 50 words);
-a language without a bundled word list, or a null one, takes the smallest distance to any reference;
-repeated rows are judged each for itself; further columns are carried or ignored, none clashes because
+References are learned for every value of ``lang``: the bundled languages from all their documents, others
+from at least ``MIN_DOCUMENTS``. A language outside the bundled ones that is written in two scripts (ASCII
+letters and others) has one reference for each script with a tenth of its documents. Where a document's
+language has no reference, is null, or says nothing (``NO_LANGUAGE``), both distances are 0 and the base
+rules alone decide: no document is compared with a foreign language.
+
+Defined results: null and empty texts have zero counts and fail the base rule (fewer than 50 words; words
+stand between blanks, so texts in scripts without blanks mostly fail it too); repeated rows are judged each for itself; further columns are carried or ignored, none clashes because
 the added columns replace columns of the same name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +35,9 @@ COMMON_WORDS = {
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "punctuation", "wide", "control")
 MIN_WORDS = 50
 MIN_CHARS = 200
+MIN_DOCUMENTS = 30
+MIN_SCRIPT_SHARE = 0.1
+NO_LANGUAGE = ("", "und", "mul", "mis", "zxx", "unknown")
 MAX_CLASS_DISTANCE = 0.23
 MAX_WORD_DISTANCE = 0.45
 SCALE = 1_000_000
@@ -133,37 +142,52 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((half(p) + half(np.broadcast_to(q, p.shape))) / 2, 0, 1))
 
 
-def learn_references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean histograms of each bundled language over all its documents that pass the length guards.
+def other_script(class_counts: np.ndarray) -> np.ndarray:
+    """Whether most letters of a text are not ASCII."""
+    ascii_letters = class_counts[:, CLASSES.index("lower")] + class_counts[:, CLASSES.index("upper")]
+    return class_counts[:, CLASSES.index("wide")] > ascii_letters
+
+
+def learn_references(docs: DataFrame) -> dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]]:
+    """Mean histograms by language and script over all documents that pass the length guards.
 
     Shares are summed as integers, so that the result does not depend on the order of the sums. What
-    comes to the driver is one row per bundled language, whatever the input.
+    comes to the driver is at most two small rows per language with enough documents.
     """
     bins = len(CLASSES) + len(_VOCABULARY) + 1
 
     def gather(rows, block):
         found = measure(block)
-        langs = np.array(rows.column(0).to_pylist(), object)
+        langs = rows.column(0).to_pylist()
+        wide = other_script(found["_classes"])
         fit = (found["n_words"] >= MIN_WORDS) & (found["_classes"].sum(axis=1) >= MIN_CHARS)
         scaled = np.hstack([shares(found["_classes"]), shares(found["_common"])])
         scaled = np.rint(scaled * SCALE).astype(np.int64)
-        out = {"lang": [], "n": [], "sums": []}
-        for lang in COMMON_WORDS:
-            chosen = fit & (langs == lang)
-            if chosen.any():
-                out["lang"].append(lang)
-                out["n"].append(int(chosen.sum()))
-                out["sums"].append(scaled[chosen].sum(axis=0).tolist())
-        return out if out["lang"] else None
-
-    known = docs.where(F.col("lang").isin(*COMMON_WORDS)).select("lang", "text")
-    partial = map_blocks(known, "lang string, n long, sums array<long>", gather)
-    totals = partial.groupBy("lang").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(bins)], F.sum("n").alias("n"))
+        groups: dict[tuple[str, bool], list[int]] = {}
+        for row in np.flatnonzero(fit):
+            lang = langs[row]
+            groups.setdefault((lang, lang not in COMMON_WORDS and bool(wide[row])), []).append(row)
+        return {
+            "lang": pa.array([lang for lang, _ in groups], pa.string()),
+            "other": pa.array([other for _, other in groups], pa.bool_()),
+            "n": pa.array([len(chosen) for chosen in groups.values()], pa.int64()),
+            "sums": pa.array([scaled[chosen].sum(axis=0).tolist() for chosen in groups.values()], pa.list_(pa.int64())),
+        }
+
+    known = docs.where(~F.col("lang").isin(*NO_LANGUAGE)).select("lang", "text")
+    partial = map_blocks(known, "lang string, other boolean, n long, sums array<long>", gather)
+    totals = partial.groupBy("lang", "other").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(bins)], F.sum("n").alias("n"))
+    bundled = F.col("lang").isin(*COMMON_WORDS)
+    rows = totals.where(bundled | (F.col("n") >= MIN_DOCUMENTS)).collect()
+    of_lang: dict[str, int] = {}
+    for row in rows:
+        of_lang[row["lang"]] = of_lang.get(row["lang"], 0) + row["n"]
     references = {}
-    for row in totals.collect():
-        mean = np.array([row[f"s{i}"] for i in range(bins)], float) / row["n"] / SCALE
-        parts = mean[: len(CLASSES)], mean[len(CLASSES) :]
-        references[row["lang"]] = tuple(p / max(p.sum(), 1e-12) for p in parts)
+    for row in rows:
+        if row["n"] >= MIN_SCRIPT_SHARE * of_lang[row["lang"]]:
+            mean = np.array([row[f"s{i}"] for i in range(bins)], float) / row["n"] / SCALE
+            parts = mean[: len(CLASSES)], mean[len(CLASSES) :]
+            references[row["lang"], row["other"]] = tuple(p / max(p.sum(), 1e-12) for p in parts)
     return references
 
 
@@ -171,10 +195,10 @@ def judge(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` with the base counts, both distances and the verdict ``kept``.
 
     ``kept`` is false where the base rules fail (fewer than 50 words, or more than half of the words in
-    repeated three-word windows), or where a guarded distance exceeds its limit.
+    repeated three-word windows), or where a guarded distance to the document's own language exceeds its
+    limit; without a reference of that language the base rules alone decide.
     """
     references = learn_references(docs)
-    order = sorted(references)
     names = [c for c in docs.columns if c not in VERDICT]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
     schema = f"{fields}, {', '.join(f'{k} {v}' for k, v in VERDICT.items())}"
@@ -184,17 +208,15 @@ def judge(docs: DataFrame) -> DataFrame:
         classes, common = found.pop("_classes"), found.pop("_common")
         n = len(block)
         away = np.zeros((2, n))
-        if order:
-            each = [
-                np.array([js_distance(shares(counts), references[lang][part]) for lang in order])
-                for part, counts in enumerate((classes, common))
-            ]
-            langs = rows.column(rows.schema.get_field_index("lang")).to_pylist()
-            index = {lang: i for i, lang in enumerate(order)}
-            which = np.array([index.get(lang, -1) for lang in langs], np.int64)
-            for part in range(2):
-                own = each[part][np.maximum(which, 0), np.arange(n)]
-                away[part] = np.where(which >= 0, own, each[part].min(axis=0))
+        langs = rows.column(rows.schema.get_field_index("lang")).to_pylist()
+        own: dict[tuple[str, bool], list[int]] = {}
+        for row, (lang, other) in enumerate(zip(langs, other_script(classes).tolist(), strict=True)):
+            key = (lang, other) if (lang, other) in references else (lang, not other)
+            if key in references:
+                own.setdefault(key, []).append(row)
+        for key, chosen in own.items():
+            for part, counts in enumerate((classes, common)):
+                away[part, chosen] = js_distance(shares(counts[chosen]), references[key][part])
         long_enough = classes.sum(axis=1) >= MIN_CHARS, found["n_words"] >= MIN_WORDS
         away = np.where(np.array(long_enough), away, 0.0)
         failed = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > 50 * found["n_words"])

@@ -1,5 +1,6 @@
 """Personal data, licenses, quality rules."""
 
+import numpy as np
 import pytest
 from llm import brute
 from llm.conftest import LONG, ODD_ROWS
@@ -95,6 +96,35 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert sum(junk) <= 0.6 * len(junk)
 
 
+RUSSIAN = "мы шли домой по тихой улице когда вечер уже опускался над городом и в окнах зажигались первые огни".split()
+SERBIAN = "pored stare reke stoji mala kuća u kojoj živi moj deda sa svojim psom dok vetar nosi lišće preko polja".split()
+SERBIAN_CYRILLIC = "поред старе реке стоји мала кућа у којој живи мој деда са својим псом док ветар носи лишће преко поља".split()
+
+
+def prose(words, seed, n=90):
+    random = np.random.default_rng(seed)
+    return " ".join(random.permutation(words * (n // len(words) + 1))[:n]) + "."
+
+
+def test_quality_keeps_clean_texts_of_any_language(spark, docs):
+    fresh = {
+        "ru": [prose(RUSSIAN, i) for i in range(40)],
+        "sr": [prose(SERBIAN, i) for i in range(40)] + [prose(SERBIAN_CYRILLIC, i) for i in range(40)],
+        "uk": [prose(RUSSIAN, 100 + i) for i in range(3)],  # too few for a reference
+        "und": [prose(RUSSIAN, 200), prose(SERBIAN, 201)],
+        None: [prose(RUSSIAN, 300)],
+    }
+    texts = [(i, lang, t) for i, (lang, t) in enumerate((lang, t) for lang, found in fresh.items() for t in found)]
+    junk = [(1000, "ru", "#$% " * 10 + " ".join(f"{i}#|{i * 7}*" for i in range(80)))]
+    table = spark.createDataFrame(texts + junk, "doc_id long, lang string, text string")
+    table = table.unionByName(docs.selectExpr("doc_id + 10000 as doc_id", "lang", "text"))
+    got = {r.doc_id: r for r in quality.judge(table).where("doc_id < 10000").collect()}
+    assert [(i, lang) for i, lang, _ in texts if not got[i].kept] == []
+    assert not got[1000].base_failed and not got[1000].kept
+    assert {got[i].class_distance for i, lang, _ in texts if lang in ("uk", "und", None)} == {0.0}
+    assert all(got[i].class_distance > 0 for i, lang, _ in texts if lang in ("ru", "sr"))
+
+
 @pytest.mark.parametrize("run", [pii.find_spans, licenses.scan], ids=["pii", "licenses"])
 def test_native_scans_take_odd_rows(run, odd, empty):
     assert run(odd).count() == len(ODD_ROWS)
