@@ -7,7 +7,9 @@ priority, or the same one and a longer interval, or the same interval and an ear
 phrases are counted apart and stay.
 
 The rules are built from license families, their versions and the forms in which a license is named: a
-bare name, a notice ("licensed under ..."), a tag and an address. All of it is SQL functions: no Python
+bare name, a notice ("licensed under ..."), a tag and an address. ``SIGNATURES`` adds sentences of the license
+texts themselves, for files that hold the text but not the name. The gate is built from the same names and
+sentences. All of it is SQL functions: no Python
 on the executors, no shuffle.
 
 Defined results: null text counts as empty: no words, no labels, score 0, null positions; an empty table
@@ -16,6 +18,7 @@ gives an empty result; repeated rows are scanned each for itself; other columns
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -23,10 +26,6 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_INNER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-# Word beginnings without which no rule and no base phrase can match. Short ones must end or go on with a version.
-GATE = rf"""(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?i:licen[cs]|spdx|cc0|cc{_INNER}+(?:by|zero)|creative{_INNER}?commons|public{_INNER}+domain|all{_INNER}+rights|unlicense|wtfpl|cecill|freebsd|0bsd|bsd{_INNER}|zero{_INNER}+clause|(?:[al]?gpl|g?fdl|[cemz]pl|eupl|cddl|osl|afl|ofl|lppl|busl|odbl|ms{_INNER}[pr]l)(?![a-uw-z]))"""
-
 # Phrases and their labels.
 BASE = {
     "gnu general public license": "gpl",
@@ -115,16 +114,35 @@ class Rule:
 
 
 def _version(text: str) -> str:
-    """Words of a version: "2", "2 0", "version 2", "v2", "v 2 0"; "2.1" stands as the words 2 and 1."""
+    """Words of a version: "2", "2 0", "version 2", "v2", "v 2 0", or written into the word before ("gplv2",
+    "gpl2"); "2.1" stands as the words 2 and 1."""
     major, _, minor = text.partition(".")
     tail = f" {minor}" if minor else "(?: 0)?"
-    return f"(?: licen[sc]e)?(?: (?:version|ver))? v?(?:ersion )?{major}{tail}"
+    return f"(?: licen[sc]e)?(?:(?: (?:version|ver))? (?:v(?:ersion)? ?)?|v?){major}{tail}"
+
+
+# Sentences of license texts as (label, beginning of the sentence, how it goes on). The beginning is
+# the keyword and passes the gate.
+SIGNATURES = (
+    ("mit", "permission is hereby granted", " free of charge to any person obtaining a copy of this software and associated documentation"),
+    ("isc", "permission to use", " copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided"),
+    ("0bsd", "permission to use", " copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted(?! provided)"),
+    ("bsd", "redistribution and use", " in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "neither the name", "(?: [^ ]+){1,16} may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "all advertising materials", " mentioning features or use of this software must display the following acknowledge?ment"),
+    ("zlib", "the origin of this software", " must not be misrepresented"),
+    ("zlib", "altered source versions", " must be plainly marked as such"),
+    ("apache-2.0", "unless required by applicable law", " or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis"),
+    ("apache-2.0", "subject to the terms and conditions", " of this licen[sc]e each contributor hereby grants to you a perpetual worldwide"),
+    ("unlicense", "this is free and unencumbered", " software released into the public domain"),
+)
 
 
 def build_rules() -> list[Rule]:
     """Rules in order, the first being the strongest among equals.
 
-    Priorities: 4 notice with version, 3 tag or address or version named, 2 notice, 1 bare name.
+    Priorities: 4 notice with version, 3 tag or address or version named, 2 notice or sentence of a license
+    text, 1 bare name.
     """
     rules: list[Rule] = []
     notice = "(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?"
@@ -145,10 +163,42 @@ def build_rules() -> list[Rule]:
                 later = "(?: of the licen[sc]e)? or (?:at your option )?(?:any )?later(?: version)?"
                 rules.append(Rule(f"{named}-or-later", f.keyword, f"{notice}{f.names}{_version(v)}{later}", 5, 1.0))
                 rules.append(Rule(f"{named}-or-later", f.keyword, f"{f.names}{_version(v)}{later}", 5, 0.9))
+    rules += [Rule(label, start, f"{start}{rest}", 2, 0.9) for label, start, rest in SIGNATURES]
     return rules
 
 
+def spellings(names: str) -> list[str]:
+    """All texts that a pattern of names stands for."""
+    group = re.search(r"\(\?:([^()]*)\)(\??)", names)
+    if group:
+        options = group[1].split("|") + [""] * len(group[2])
+    elif group := re.search(r"\[([a-z]+)\]|(.)\?", names):
+        options = list(group[1] or group[2]) + [""] * bool(group[2])
+    else:
+        return [names]
+    return [text for option in options for text in spellings(names[: group.start()] + option + names[group.end() :])]
+
+
+def build_gate() -> str:
+    """Pattern over the raw text without which no rule and no base phrase can match.
+
+    Every rule holds a name of its family, a tag, an address or the beginning of a sentence. Names with
+    "license" in them need no alternative of their own, nor do those that hold another one. A blank stands
+    for any gap; a name must end or go on with a version.
+    """
+    names = {text for f in FAMILIES for text in spellings(f.names)} | set(BASE)
+    names = {n for n in names if not re.search("(?<![a-z0-9])licen[cs]", n)}
+    names = {n for n in names if not any(f" {o} " in f" {n} " for o in names - {n})}
+    phrases = ["licenc", "licens", "spdx", *(start for _, start, _ in SIGNATURES), *(f"{n}(?![a-uw-z])" for n in names)]
+    firsts: dict[str, set[str]] = {}
+    for phrase in phrases:
+        firsts.setdefault(phrase[0], set()).add(phrase[1:].replace(" ", _GAP))
+    branches = "|".join(f"{first}(?:{'|'.join(sorted(rest))})" for first, rest in sorted(firsts.items()))
+    return rf"(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?i:{branches})"
+
+
 RULES = build_rules()
+GATE = build_gate()
 _HIT = "array<struct<start:int,stop:int,rank:int>>"
 
 

@@ -1,5 +1,7 @@
 """Personal data, licenses, quality rules."""
 
+import re
+
 import numpy as np
 import pytest
 from llm import brute
@@ -78,6 +80,67 @@ def test_license_rules_suppress_what_they_contain(spark):
     assert len(licenses.RULES) > 300
 
 
+def sample(parsed, full):
+    """One text of a parsed pattern: with every optional part and the last branch, or with the least."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            out += chr(arg[0][1])
+        elif name == "NOT_LITERAL":
+            out += "x"
+        elif name == "BRANCH":
+            out += sample(arg[1][-1 if full else 0], full)
+        elif name == "SUBPATTERN":
+            out += sample(arg[3], full)
+        elif name == "MAX_REPEAT":
+            out += sample(arg[2], full) * (min(int(arg[1]), 16) if full else arg[0])
+        else:
+            assert name == "ASSERT_NOT"
+    return out
+
+
+def test_every_license_rule_passes_its_gate(spark):
+    texts = []
+    for rule in licenses.RULES:
+        for full in (False, True):
+            words = sample(re._parser.parse(rule.pattern), full)
+            texts += [words, f"xx,\t{words.upper()}\n", words.replace(" ", "\r\n"), words.replace(" ", "  ")]
+    got = licenses.scan(rows(spark, texts)).selectExpr("doc_id", "size(detections) as n").collect()
+    assert [texts[r.doc_id] for r in got if r.n == 0] == []
+
+
+def test_license_names_with_joined_versions_and_license_texts(spark):
+    texts = {
+        "Released under Apache 2.0.": "apache-2.0",
+        "the terms of the Apache-2.0": "apache-2.0",
+        "Creative\r\nCommons  Attribution": "cc-by",
+        "MS--PL": "ms-pl",
+        "GPLv3": "gpl-3.0",
+        "LGPLv2.1": "lgpl-2.1",
+        "MPLv2": "mpl-2.0",
+        "AGPLv3 or later": "agpl-3.0-or-later",
+        "gpl v 2.0": "gpl-2.0",
+        "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal': "mit",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that": "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted.": "0bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software": "bsd-3-clause",
+        "The origin of this software must not be misrepresented": "zlib",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+        'distributed on an "AS IS" BASIS': "apache-2.0",
+        "permission to use the hall; redistribution and use of bottles; gplx, apaches, accby, lgpler": "",
+    }
+    got = {r.doc_id: r.labels for r in licenses.digest(licenses.scan(rows(spark, list(texts)))).collect()}
+    assert {t: got[i] for i, t in enumerate(texts)} == texts
+
+
 def test_quality_counts_match_plain_python(spark, sf, docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in QUERIES["op8_quality_rules"](spark, sf).collect():
