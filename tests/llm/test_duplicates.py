@@ -1,5 +1,7 @@
 """Near-duplicates, exact repeats, decontamination."""
 
+import math
+
 import numpy as np
 import pytest
 from llm import brute
@@ -36,6 +38,22 @@ def test_large_group_near_the_limit_loses_no_link(spark):
     assert len({c for _, c in want.values()}) > 3
 
 
+def test_sketch_floor_loses_fewer_links_than_the_bands():
+    """In texts of any length: bins of long texts at the limit are equal with a probability of 0.75 each."""
+    bins, floor = superminhash.BINS, superminhash.SKETCH_FLOOR
+    missed = sum(math.comb(bins, k) * 3**k for k in range(bins + 1) if k / bins < floor) / 4**bins
+    assert missed < 5e-7
+    random = np.random.default_rng(5)
+    found = []
+    for _ in range(60):
+        keys = random.integers(0, 1 << 63, 8000).astype(np.uint64)
+        both = np.concatenate([keys[:7000], keys[1000:]])  # 6000 of 8000
+        left, right = superminhash.sketches(both, np.repeat([0, 1], 7000), 2)
+        found.append(float(superminhash.likeness(left, right)))
+    assert abs(np.mean(found) - 0.75) < 0.02
+    assert 0.75 - 5 * np.std(found) > floor - 0.02
+
+
 def test_superminhash_estimates_similarity():
     keys = superminhash.mix(np.arange(3000, dtype=np.uint64))
     rows = np.concatenate([np.zeros(2000, np.int64), np.ones(2000, np.int64)])
