@@ -1,14 +1,15 @@
-"""Exact repeats of long byte strings: prefix doubling over content-chosen positions.
+"""Exact repeats of long byte strings: window fingerprints at content-chosen anchors.
 
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts anywhere else, in the same text or
 in another one. Matches never cross texts and all strings are judged on the input.
 
-Prefix doubling ranks positions by ever longer prefixes and drops a position once its rank is unique.
-Ranking every byte position would move many times the input, so the method is thinned without losing
-exactness: each window of ``LENGTH`` bytes belongs to its anchor, the position with the smallest gram hash
+This stands in place of prefix doubling, which sorts pairs of ranks at doubled offsets: here no ranks are
+combined, each round fingerprints its whole span from the text. As there, a position is dropped once its
+span is unique. Ranking every byte position would move many times the input (an estimate; the doubling form
+was not run). Nothing is lost: each window of ``LENGTH`` bytes belongs to its anchor, the position with the smallest gram hash
 among its first ``SPAN + 1``. Equal windows have the same anchor at the same offset, wherever they stand, and
-there is one anchor for some 45 bytes. Ranks are 64-bit names of the strings instead of dense numbers: only
-their equality matters here. The rounds, each a count per rank, sorted and merged by Spark:
+there is one anchor for some 45 bytes. Ranks are 64-bit fingerprints of the strings: only their
+equality matters here. The rounds, each a count per rank, sorted and merged by Spark:
 
 1. anchors by the ``SPAN`` bytes behind them (part of every window of the anchor); unique ones end here,
 2. anchors by the whole stretch of their windows; where a stretch occurs again all its windows do,
