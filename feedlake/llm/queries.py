@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import decontamination, hilbert, langid, licenses, mixing, pii, quality, repeats, superminhash, toxicity
+from feedlake.llm import (
+    decontamination,
+    hilbert,
+    langid,
+    licenses,
+    mixing,
+    pii,
+    quality,
+    repeats,
+    simhash,
+    superminhash,
+    toxicity,
+)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -84,3 +96,8 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(documents(spark, sf_dir))
+
+
+@_query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
