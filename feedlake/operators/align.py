@@ -13,15 +13,20 @@ BUFFER_SLOTS = 512
 
 
 def align_deltas(deltas: DataFrame, snapshots: DataFrame, lane: Lane = LANE) -> DataFrame:
-    """Add ``outcome`` to each delta against its snapshot's ``boundary`` sequence N.
+    """Add ``outcome`` to each delta against its snapshot's ``boundary`` sequence N, one snapshot per key.
 
     ``stale``: the prefix up to the first sequence above N. The first kept delta must be N+1 and every
     later one must follow its predecessor; the first that does not is the ``gap``, what comes after
-    it is ``dropped``. Everything else is ``replayed``.
+    it is ``dropped``. Everything else is ``replayed``. Several snapshots per key: :func:`align_segments`.
     """
     keys = list(lane.keys)
-    pos = F.col(lane.pos)
     bounded = lane.bucketed(spread_join(deltas, snapshots.select(*keys, "boundary"), keys, spread=lane.pos))
+    return _judged(bounded, lane).drop(BUCKET)
+
+
+def _judged(bounded: DataFrame, lane: Lane) -> DataFrame:
+    """Outcomes of deltas that carry their ``boundary``."""
+    pos = F.col(lane.pos)
     # "Has any row so far exceeded N" needs only a running maximum; "before" tells the first such row.
     swept = running(
         bounded,
@@ -39,7 +44,33 @@ def align_deltas(deltas: DataFrame, snapshots: DataFrame, lane: Lane = LANE) ->
         .when(F.col("_gap") & (F.col("_gaps") == 1), "gap")
         .otherwise("dropped")
     )
-    return broken.withColumn("outcome", outcome).drop("_past", "_prev", "_live", "_gap", "_gaps", BUCKET)
+    return broken.withColumn("outcome", outcome).drop("_past", "_prev", "_live", "_gap", "_gaps")
+
+
+def align_segments(deltas: DataFrame, snapshots: DataFrame, slots: int = BUFFER_SLOTS, lane: Lane = LANE) -> DataFrame:
+    """Add ``snapshot_at``, ``boundary`` and ``outcome`` to each delta, with any number of snapshots per key.
+
+    ``snapshots`` are (keys, position, boundary). A delta waits for the next snapshot of its key; those between two
+    snapshots are one segment, aligned as in :func:`align_deltas`. A segment of more than ``slots - 1``
+    deltas is an ``overflow``: its snapshot is ignored. Behind the last snapshot deltas are ``pending``.
+    Where a hole or an overflow opens a new session instead: :mod:`feedlake.operators.session_feed`.
+    """
+    keys, columns = list(lane.keys), deltas.columns
+    # Backwards the next snapshot is the last one seen.
+    back = Lane(lane.keys, "_back", lane.width)
+    marks = snapshots.select(*keys, (-F.col(lane.pos)).alias("_back"), F.struct((-F.col(lane.pos)).alias("_back"), "boundary").alias("_mark"))
+    both = deltas.withColumn("_back", -F.col(lane.pos)).unionByName(marks, allowMissingColumns=True)
+    told = running(both, back, _next=max_before(F.col("_mark"))).where("_mark is null")
+    named = told.withColumns({"snapshot_at": -F.col("_next._back"), "boundary": F.col("_next.boundary")}).drop("_back", "_mark", "_next")
+    segment = Lane((*lane.keys, "snapshot_at"), lane.pos, lane.width)
+    waiting = segment.bucketed(named.where("snapshot_at is not null"))
+    held = waiting.groupBy(*keys, "snapshot_at").agg((F.count(F.lit(1)) > slots - 1).alias("_over"))
+    judged = _judged(waiting, segment).drop(BUCKET)
+    judged = spread_join(judged, held, [*keys, "snapshot_at"], spread=lane.pos)
+    judged = judged.withColumn("outcome", F.when(F.col("_over"), "overflow").otherwise(F.col("outcome")))
+    open_end = named.where("snapshot_at is null").withColumn("outcome", F.lit("pending"))
+    wanted = [*columns, "snapshot_at", "boundary", "outcome"]
+    return judged.select(*wanted).unionByName(open_end.select(*wanted))
 
 
 def alignment_summary(aligned: DataFrame, *keys: str) -> DataFrame:

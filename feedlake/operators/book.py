@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.fixed import fixed_value
 from feedlake.operators.ordering import BUCKET, Lane, max_before, running, spread_join, sum_before, sum_upto
+from feedlake.operators.session_feed import sessions
 
 ORDER_LANE = Lane(keys=("instrument_id", "order_ref"))
 
@@ -65,6 +66,27 @@ def resting_orders(events: DataFrame, lane: Lane = ORDER_LANE, until: int | None
     )
 
 
+def session_orders(deltas: DataFrame, images: DataFrame, events: DataFrame, lane: Lane = ORDER_LANE) -> DataFrame:
+    """:func:`resting_orders` of each key's newest session, where a document replaces the whole book.
+
+    ``deltas`` are the rows that the session sent (``session_id`` from
+    :func:`feedlake.operators.session_feed.session_feed`), ``images`` the orders of the documents (keys, order, ``qty``
+    and the position of their document, one row per order), ``events`` the feed's events. Orders of earlier
+    sessions and those that the document does not list are gone without a row that says so; a session still
+    waiting for its document has no book.
+    """
+    keys = [k for k in lane.keys if k in events.columns]
+    named = sessions(events, Lane(tuple(keys), lane.pos))
+    newest = named.groupBy(*keys).agg(F.max_by(F.struct("session_id", "accepted_at"), "session_id").alias("_now"))
+    live = newest.where("_now.accepted_at is not null").select(*keys, "_now.*")
+    followed = spread_join(deltas, live.withColumnRenamed("session_id", "_session"), keys, spread=lane.pos)
+    followed = followed.where(F.col("session_id") == F.col("_session"))
+    listed = images.join(live.withColumnRenamed("accepted_at", lane.pos), [*keys, lane.pos])
+    # Positions are not negative: the document comes before everything that was replayed on it.
+    first = listed.select(*lane.keys, F.lit(-1).cast("bigint").alias(lane.pos), F.lit("open").alias("kind"), "qty")
+    return resting_orders(followed.select(*lane.keys, lane.pos, "kind", "qty").unionByName(first), lane)
+
+
 def size_before(events: DataFrame, lane: Lane = ORDER_LANE) -> DataFrame:
     """Add ``current_qty``: the order's remaining size just before each row (NULL = not resting)."""
     size = F.when(F.col("kind") == "match", F.col("qty"))

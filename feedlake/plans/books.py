@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import decode_code, fixed_point, ntz_nanos
 from feedlake.operators import counters
-from feedlake.operators.align import align_deltas, alignment_summary, buffer_overflow, replay_order, sequence_gaps
+from feedlake.operators.align import align_deltas, align_segments, alignment_summary, buffer_overflow, replay_order, sequence_gaps
 from feedlake.operators.book import change_conflicts, level_book, maker_fills, resting_orders, session_book
 from feedlake.operators.counters import count_if
 from feedlake.operators.l2 import classify_l2, flatten_levels
@@ -228,6 +228,31 @@ def w6_alignment_summary(spark, sf_dir):
     return alignment_summary(_aligned(spark, sf_dir), "instrument_id")
 
 
+# Every eleventh row may be a snapshot instead: up to five of them, by instrument, some of them behind the deltas.
+_SNAPSHOT_ROW = "arrival % 11 = 0 and arrival div 11 <= instrument_id % 6"
+_BOUNDARY = "seq - case when arrival % 3 = 0 then 4 else arrival % 2 end"
+
+
+@register(
+    "w6_segments",
+    f"""with d as ({DELTAS_SQL}), s as (select instrument_id, arrival as snapshot_at, {_BOUNDARY} as boundary from d where {_SNAPSHOT_ROW.replace(" div ", " // ")}),
+w as (select d.*, s.snapshot_at, cast(s.boundary as bigint) as boundary from (select * from d where not ({_SNAPSHOT_ROW.replace(" div ", " // ")})) d
+  asof left join s on d.instrument_id = s.instrument_id and d.arrival < s.snapshot_at),
+j as (select *, min(case when seq > boundary then arrival end) over p as first_live, count(*) over p as held,
+  lag(seq) over (partition by instrument_id, snapshot_at order by arrival) as prev from w window p as (partition by instrument_id, snapshot_at)),
+g as (select *, case when arrival >= first_live and seq <> case when arrival = first_live then boundary else prev end + 1 then 1 else 0 end as gap from j),
+c as (select *, sum(gap) over (partition by instrument_id, snapshot_at {UPTO}) as gaps from g)
+select instrument_id, arrival, seq, snapshot_at, boundary, case when snapshot_at is null then 'pending' when held > 9 then 'overflow'
+  when first_live is null or arrival < first_live then 'stale' when gaps = 0 then 'replayed' when gap = 1 and gaps = 1 then 'gap' else 'dropped' end as outcome from c""",
+)
+def w6_segments(spark, sf_dir):
+    """0 to 5 snapshots per instrument and a buffer of ten slots, cut per segment (J4, W6, W7)."""
+    rows = sequenced_deltas(spark, sf_dir)
+    snapshots = rows.where(_SNAPSHOT_ROW).selectExpr("instrument_id", "arrival", f"cast({_BOUNDARY} as bigint) as boundary")
+    aligned = align_segments(rows.where(f"not ({_SNAPSHOT_ROW})"), snapshots, slots=10)
+    return aligned.select("instrument_id", "arrival", "seq", "snapshot_at", "boundary", "outcome")
+
+
 @register(
     "w12_replay_order",
     f"""{_ALIGNED} select instrument_id, 0 as stage, cast(null as bigint) as arrival, cast(boundary as bigint) as seq, cast(0 as bigint) as replay_pos from s

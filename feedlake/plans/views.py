@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlake.functions import ntz_nanos
 from feedlake.operators.ordering import Lane, dense_arrival, running, sum_upto
 
 L2_PAYLOAD = """case event_type
@@ -201,3 +202,32 @@ def order_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = orders.unionByName(matches)
     numbered = dense_arrival(both, ["instrument_id"], ["event_at", "src", "k1", "k2", "k3", "k4", "k5"])
     return numbered.select("arrival", "instrument_id", "order_ref", "kind", "qty", "old_qty")
+
+
+# V7: one feed with every kind of row, from ``events``. Deltas carry a sequence with holes; a document's boundary
+# lies up to two deltas back, or one ahead.
+FEED_KIND = """case event_type when 'signup' then case when event_id % 11 = 0 then 'bad_snapshot' else 'snapshot' end
+    when 'error' then case event_id % 12 when 0 then 'disconnect' when 1 then 'request' when 2 then 'error' when 3 then 'trigger'
+      when 4 then 'recovery_failed' when 5 then 'ack' else 'update' end
+    when 'view' then case when event_id % 3 = 0 then 'update' else 'heartbeat' end
+    else case when event_id % 4 = 0 then 'trade' else 'update' end end"""
+_FEED_STEP = "case when kind in ('update', 'trade') then case when event_id % 31 = 0 then 2 else 1 end else 0 end"
+_FEED_SEQ = """case when kind in ('update', 'trade') then {n} when kind = 'snapshot' then {n} - event_id % 3 + case when event_id % 17 = 0 then 2 else 0 end end"""
+# What a delta says about an order (V7): a match reduces, the others set or remove.
+FEED_ORDER = "case event_id % 7 when 0 then 'done' when 1 then 'change' when 2 then 'match' when 3 then 'received' else 'open' end"
+
+MERGED_FEED_SQL = f"""select instrument_id, arrival, event_id, at_ns, kind, cast({_FEED_SEQ.format(n="n")} as bigint) as seq
+from (select *, sum({_FEED_STEP}) over (partition by instrument_id order by arrival rows unbounded preceding) as n
+  from (select cast(user_id as bigint) as instrument_id, event_id, epoch_us(ts) * 1000 as at_ns, {FEED_KIND} as kind,
+      cast(row_number() over (partition by user_id order by ts, event_id) as bigint) as arrival from events) e) f"""
+
+
+def merged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: deltas, documents, signals and triggers of every instrument in one stream."""
+    rows = event_arrivals(spark, sf_dir).select(
+        F.col("user_id").cast("bigint").alias("instrument_id"), "arrival", "event_id", ntz_nanos(F.col("ts")).alias("at_ns"),
+        F.expr(FEED_KIND).alias("kind"),
+    )
+    counted = running(rows, Lane(), _n=sum_upto(F.expr(_FEED_STEP).cast("bigint")))
+    seq = F.expr(f"cast({_FEED_SEQ.format(n='_n')} as bigint)").alias("seq")
+    return counted.select("instrument_id", "arrival", "event_id", "at_ns", "kind", seq)

@@ -1,4 +1,5 @@
-"""Every registered query against its SQL oracle on the smallest tables."""
+"""Every query of the feeds against its SQL oracle on the smallest tables. The training-data queries have their own
+tests in tests/llm."""
 
 import os
 
@@ -6,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entrypoint
+from feedlake.plans.registry import QUERIES, SQL
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUERIES, SQL = entrypoint.queries(), entrypoint.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
@@ -27,6 +28,12 @@ def test_every_query_has_an_oracle():
     assert set(SQL) == set(QUERIES)
 
 
+def test_feed_queries_are_registered():
+    queries, sql = entrypoint.queries(), entrypoint.oracle_sql()
+    assert queries.items() >= QUERIES.items() and sql.items() >= SQL.items()
+    assert set(sql) <= set(queries)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     result = QUERIES[name](spark, SF_DIR)
