@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedlake.llm.pii import positions
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Phrases and their labels.
@@ -205,14 +207,13 @@ _HIT = "array<struct<start:int,stop:int,rank:int>>"
 def _word_places(pattern: str) -> str:
     """SQL for word intervals of a pattern over ``_line`` (words, each between single blanks)."""
     cut = "concat('(?<= )(?:', {}, ')(?= )')".format(pattern)
-    steps = f"""zip_with(regexp_extract_all(_line, {cut}, 0), split(_line, {cut}),
-        (h, p) -> struct(h as hit, char_length(regexp_replace(p, '[^ ]', '')) as gap))"""
+    steps = f"""filter(zip_with(regexp_extract_all(_line, {cut}, 0), split(_line, {cut}),
+        (h, p) -> struct(h as hit, char_length(regexp_replace(p, '[^ ]', '')) as gap)), s -> s.hit is not null)"""
     words = "char_length(regexp_replace(s.hit, '[^ ]', ''))"
-    return f"""case when rlike(_line, {cut}) then aggregate(filter({steps}, s -> s.hit is not null),
-      named_struct('at', -1, 'found', cast(array() as array<struct<start:int,stop:int>>)),
-      (acc, s) -> named_struct('at', acc.at + s.gap + {words}, 'found', concat(acc.found, array(
-        named_struct('start', acc.at + s.gap, 'stop', acc.at + s.gap + {words} + 1)))),
-      acc -> acc.found) else cast(array() as array<struct<start:int,stop:int>>) end"""
+    kind = "struct<start:int,stop:int>"
+    build = f"named_struct('start', {{at}} + s.gap, 'stop', {{at}} + s.gap + {words} + 1)"
+    found = positions(steps, "-1", f"s.gap + {words}", build, kind)
+    return f"case when rlike(_line, {cut}) then {found} else cast(array() as array<{kind}>) end"
 
 
 def _rule_table() -> str:

@@ -1,6 +1,7 @@
 """Personal data, licenses, quality rules."""
 
 import re
+import time
 
 import numpy as np
 import pytest
@@ -51,6 +52,29 @@ def test_method_kinds_need_checksum_or_context(spark):
     assert found[0].found[0].score > found[1].found[0].score
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    """A word behind the number is not part of it; blanks and lower case do not hide it."""
+    good = ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874",
+            "SE45 5000 0000 0583 9825 7466", "DE89370400440532013000", "gb82 west 1234 5698 7654 32", "NO9386011117947"]
+    texts = [f"x {g} {after} y" for g in good for after in ("BIC", "EUR", "VIA", "IBAN", "1234", "")]
+    texts += [f"{g}{after}" for g in good for after in ("A", "9")] + [g[:-1] + str((int(g[-1]) + 1) % 10) for g in good]
+    found = {r.doc_id: r for r in pii.find_spans(rows(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        hits = [f.hit for f in found[i].found if f.kind == "iban"]
+        assert hits == ([good[i // 6]] if i < 6 * len(good) else []), text
+
+
+def test_a_text_with_very_many_hits(spark):
+    """Starts are running sums over runs of hits: 160 000 addresses take seconds, not hours."""
+    text = " ".join(f"a{i}@b{i % 7}.org" for i in range(160_000)) + " contact \U0001f600 z@y.xx " + "cc by " * 3000
+    begin = time.time()
+    (row,) = pii.digest(pii.find_spans(rows(spark, [text]))).collect()
+    assert (row.n_email, row.n_ip, row.n_card, row.n_phone, row.base_sha256) == brute.private(text)
+    assert time.time() - begin < 60
+    (row,) = licenses.digest(licenses.scan(rows(spark, [text]))).collect()
+    assert (row.n_words, row.n_base, row.first_word, row.last_word, row.base_labels) == brute.licenses(text)
+
+
 def test_license_places_match_plain_search(spark, sf, docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in QUERIES["op6_license_scan"](spark, sf).collect():
