@@ -11,7 +11,7 @@ a cell that is larger on its own is extended by the third word over as many grou
 group is one task's work and fits its memory: it sorts its suffixes into the leaves of its subtrees, adds
 up their counts, and reads the counts of inner nodes from the leaf totals below them. Nodes of extended
 cells lie in several groups and are summed once more. Before the shuffle each task folds equal suffixes
-of some million words, so a suffix that fills a third of all texts is a handful of rows.
+of half a million words, so a suffix that fills a third of all texts is a handful of rows.
 
 Score of a candidate (2 to 3 words, a = count of at least ``LEAST``): the lowest
 floor(1000000 * a * a / (l * r)) over its cuts, exact in decimals of 38 digits. A candidate goes if it stands
@@ -42,8 +42,8 @@ LEAST, TOP, DEPTH = 10, 2000, 3
 BREAKS = gaps(*".,;:!?", 10, 11, 12, 13)
 GAPS = BREAKS | gaps(9, 32)
 CELLS = 1 << 16
-BUDGET = 1 << 20
-FOLD = 1 << 20
+BUDGET = 1 << 18
+FOLD = 1 << 19
 #: Per cent of a candidate's count that a longer one needs to cover it.
 COVERED = 50
 #: Exact: products have up to 38 digits.
@@ -194,20 +194,19 @@ def node_counts(rows: DataFrame, least: int) -> DataFrame:
     """(w1, w2, w3, n, split) of the nodes of two (w3 = 0) and three words that occur ``least`` times. Two-word
     nodes of extended cells come as ``split`` parts, of any count."""
 
-    def grow(group):
-        suffix = group[["w1", "w2", "w3", "n"]].to_numpy(np.int64).T
-        split = bool(group["split"].iloc[0])
+    def grow(group: pa.Table) -> pa.Table:
+        suffix = np.vstack([group.column(c).to_numpy() for c in ("w1", "w2", "w3", "n")])
+        split = group.column("split")[0].as_py()
         leaves, inner = subtree(suffix)
         leaves = leaves[:, leaves[3] >= least]
         if not split:
             inner = inner[:, inner[2] >= least]
         inner = np.vstack([inner[:2], np.zeros((1, inner.shape[1]), np.int64), inner[2:]])
-        both = np.hstack([leaves, inner]).T
-        out = type(group)(both, columns=["w1", "w2", "w3", "n"])
-        out["split"] = (out["w3"] == 0) & split
-        return out
+        both = np.hstack([leaves, inner])
+        columns = [pa.array(c) for c in both] + [pa.array((both[2] == 0) & split)]
+        return pa.table(columns, names=["w1", "w2", "w3", "n", "split"])
 
-    return rows.groupBy("part").applyInPandas(grow, "w1 long, w2 long, w3 long, n long, split boolean")
+    return rows.groupBy("part").applyInArrow(grow, "w1 long, w2 long, w3 long, n long, split boolean")
 
 
 def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
