@@ -142,3 +142,22 @@ def distinct_per_row(owner: np.ndarray, keys: np.ndarray, rows: int) -> np.ndarr
         return np.zeros(rows, np.int64)
     _, first = np.unique(mix(keys + owner.astype(U64) * U64(_BASE)), return_index=True)
     return per_row(owner[first], rows)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The sorted rows cut at every change of ``keys``; a run may cross batches."""
+    carry = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if carry is None else pa.concat_tables([carry, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        turn = np.zeros(table.num_rows, bool)
+        for k in keys:
+            turn[1:] |= np.diff(table.column(k).to_numpy()) != 0
+        cuts = np.flatnonzero(turn)
+        for a, b in zip(np.concatenate([[0], cuts[:-1]]), cuts, strict=True) if len(cuts) else ():
+            yield table.slice(a, b - a)
+        carry = table.slice(cuts[-1] if len(cuts) else 0)
+    if carry is not None and carry.num_rows:
+        yield carry

@@ -1,7 +1,5 @@
 """Near-duplicates, exact repeats, decontamination."""
 
-import math
-
 import numpy as np
 import pytest
 from llm import brute
@@ -28,7 +26,7 @@ def test_components_match_all_pairs(spark, sf, docs):
 
 
 def test_large_group_near_the_limit_loses_no_link(spark):
-    """One bucket far beyond SMALL, with pairs on both sides of 75 percent, and tiny texts."""
+    """One large bucket, with pairs on both sides of 75 percent, and tiny texts."""
     base = [f"w{i}" for i in range(160)]
     texts = [edited(n, base, 0.02 + 0.02 * (n % 3)) for n in range(150)]
     texts += ["one", "one", "one two", "a b c d e", "A B C D E", "a b c d", ""]
@@ -38,20 +36,36 @@ def test_large_group_near_the_limit_loses_no_link(spark):
     assert len({c for _, c in want.values()}) > 3
 
 
-def test_sketch_floor_loses_fewer_links_than_the_bands():
-    """In texts of any length: bins of long texts at the limit are equal with a probability of 0.75 each."""
-    bins, floor = superminhash.BINS, superminhash.SKETCH_FLOOR
-    missed = sum(math.comb(bins, k) * 3**k for k in range(bins + 1) if k / bins < floor) / 4**bins
-    assert missed < 5e-7
+def test_common_keys_are_counted_exactly(monkeypatch):
     random = np.random.default_rng(5)
-    found = []
-    for _ in range(60):
-        keys = random.integers(0, 1 << 63, 8000).astype(np.uint64)
-        both = np.concatenate([keys[:7000], keys[1000:]])  # 6000 of 8000
-        left, right = superminhash.sketches(both, np.repeat([0, 1], 7000), 2)
-        found.append(float(superminhash.likeness(left, right)))
-    assert abs(np.mean(found) - 0.75) < 0.02
-    assert 0.75 - 5 * np.std(found) > floor - 0.02
+    monkeypatch.setattr(superminhash, "_COLUMNS", 16)
+    sets = [np.unique(random.integers(0, 400, int(random.integers(0, 300)))).astype(np.uint64) for _ in range(30)]
+    owner = np.repeat(np.arange(30), [len(s) for s in sets])
+    got = superminhash.common(np.concatenate(sets), owner, 30)
+    for a in range(30):
+        for b in range(30):
+            if a != b:
+                assert got[a, b] == len(np.intersect1d(sets[a], sets[b]))
+
+
+def test_tiles_of_a_large_group_change_nothing(spark, monkeypatch):
+    base = [f"w{i}" for i in range(160)]
+    texts = [edited(n, base, 0.02 + 0.02 * (n % 3)) for n in range(90)]
+    monkeypatch.setattr(superminhash, "TILE", 8)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in superminhash.near_duplicates(frame(spark, texts)).collect()}
+    assert got == brute.components(dict(enumerate(texts)))
+
+
+def test_equal_ids_with_different_texts(spark):
+    """Each text links by its own words, whatever the other rows of its id say."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, a), (1, b), (2, b + " word"), (3, a + " word"), (3, a + " word"), (None, a)], "doc_id long, text string")
+    got = [(r.doc_id, r.component_id) for r in superminhash.near_duplicates(rows).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (None, 1)], key=str)
+    kept = sorted((r.doc_id, r.text) for r in superminhash.without_duplicates(rows.where("doc_id is not null")).collect())
+    assert kept == [(1, a), (1, b)]
+    unrelated = spark.createDataFrame([(5, a), (5, b), (5, b), (7, a)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in superminhash.without_duplicates(unrelated).collect()) == [(5, a), (5, b)]
 
 
 def test_superminhash_estimates_similarity():
