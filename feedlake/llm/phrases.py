@@ -136,9 +136,9 @@ def pack(loads: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fold(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Distinct suffixes with their counts."""
+    """Distinct suffixes with their counts, in order: rows that begin alike lie together and pack well."""
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    order = np.argsort(mix(columns[0] + mix(columns[1] + mix(columns[2]))), kind="stable")
+    order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
     heads = heads_of(*columns)
     return *(c[heads] for c in columns), np.diff(np.append(heads, len(order)))
