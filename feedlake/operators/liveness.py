@@ -2,24 +2,20 @@
 
 Monitoring and recovery depend on each other: a timeout asks for recovery, an applied recovery closes the
 connection and with it the monitoring, and an ignored request leaves the check running. So both are folded
-together, over the few rows that can change either.
+together, by the machine of :mod:`feedlake.operators.session_feed`; :class:`Monitor` is the same clock for streams.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.operators.ordering import Lane, spread_join
-from feedlake.operators.session_state import TRIGGERS
-
-SIGNALS = ("ack", "heartbeat")
-GATE_KINDS = ("snapshot", "bad_snapshot", "recovery_failed", *TRIGGERS)
+from feedlake.operators.ordering import Lane
+from feedlake.operators.session_feed import FeedRules, feed_events
 
 
 class Monitor:
-    """Gate, open recovery and check grid of one instrument.
+    """Check grid of one instrument.
 
     ``restart`` is the order feed: monitoring starts with the subscription, here the first signal, and an
     applied recovery subscribes again at once. ``start`` and ``last`` are None while unset.
@@ -27,7 +23,6 @@ class Monitor:
 
     def __init__(self, timeout: int, restart: bool = False):
         self.timeout, self.restart = timeout, restart
-        self.is_open = self.recovering = False
         self.start = self.last = None
 
     def check(self) -> int | None:
@@ -38,25 +33,6 @@ class Monitor:
         half = self.timeout // 2
         return self.start + self.timeout + max(0, -(-(self.last - self.start) // half)) * half
 
-    def gate(self, kind: str, at: int) -> bool:
-        """Apply a row that can change the gate; True if it starts a recovery."""
-        trigger = kind in TRIGGERS or (kind in ("snapshot", "bad_snapshot") and self.is_open)
-        attempt = trigger and not self.recovering
-        if trigger:
-            self.is_open, self.recovering = False, True
-        elif kind == "snapshot":
-            self.is_open, self.recovering = True, False
-        elif kind == "recovery_failed":
-            self.recovering = False
-        if attempt or kind == "disconnect":
-            self.start = at if self.restart and self.start is not None else None
-        return attempt
-
-    def signal(self, kind: str, at: int) -> None:
-        self.last = at
-        if self.start is None and (kind == "ack" or self.restart):
-            self.start = at
-
     def fire(self, limit: int) -> tuple[int, int] | None:
         """(time, last signal) of the next timeout before ``limit``. The clock starts again at the timeout."""
         at = self.check()
@@ -66,39 +42,6 @@ class Monitor:
         return at, since
 
 
-def _reduced(frames: DataFrame, timeout: int, horizon, lane: Lane, at: str, restart: bool) -> DataFrame:
-    """Rows that can change monitoring or gate, each with the end of the silence that it opens.
-
-    Heartbeats matter only before a silence of a timeout or more, acknowledgements only there or after
-    something that may have stopped the monitoring, and of a run of triggers only the first one.
-    """
-    used = frames.where(F.col("kind").isin(*SIGNALS, *GATE_KINDS))
-    placed = lane.bucketed(used.select(*lane.keys, lane.pos, F.col(at).alias("at_ns"), "kind"))
-    is_signal = F.col("kind").isin(*SIGNALS)
-    signal_at = F.when(is_signal, F.col("at_ns"))
-    later = lane.inside().rowsBetween(1, Window.unboundedFollowing)
-    heads = placed.where(is_signal).groupBy(*lane.part).agg(F.min_by("at_ns", lane.pos).alias("_head"))
-    # The next signal of a bucket's last one is the first of a later bucket that has any.
-    every = placed.select(*lane.part).distinct().join(heads, lane.part, "left")
-    after = lane.across().rowsBetween(1, Window.unboundedFollowing)
-    every = every.select(*lane.part, F.first("_head", ignorenulls=True).over(after).alias("_later"))
-    rows = placed.withColumn("_next", F.first(signal_at, ignorenulls=True).over(later)).join(every, lane.part)
-    rows = rows.withColumn("until_ns", F.coalesce("_next", "_later", horizon)).drop("_next", "_later")
-    silent = is_signal & (F.col("until_ns") - F.col("at_ns") >= timeout)
-    needed = F.col("silent") | (F.col("kind") != "heartbeat")
-    if restart:  # the very first signal starts the monitoring, whatever its kind
-        first = placed.where(is_signal).groupBy(*lane.keys).agg(F.min(lane.pos).alias("_first"))
-        rows = spread_join(rows, first, lane.keys, "left", lane.pos)
-        needed = needed | F.coalesce(F.col("_first") == F.col(lane.pos), F.lit(False))
-    told = rows.withColumn("silent", silent).where(needed)
-    before = F.lag(F.struct("kind", "silent")).over(lane.inside())
-    told = told.withColumn("_before", before)
-    known = F.col("_before").isNotNull()
-    repeated_ack = (F.col("kind") == "ack") & ~F.col("silent") & (F.col("_before.kind") == "ack") & ~F.col("_before.silent")
-    repeated_trigger = F.col("kind").isin(*TRIGGERS) & F.col("_before.kind").isin(*TRIGGERS) & (F.col("kind") != "disconnect")
-    return told.where(~F.coalesce(known & (repeated_ack | repeated_trigger), F.lit(False)))
-
-
 def liveness_timeouts(
     frames: DataFrame, timeout: int, horizon_ns, lane: Lane = Lane(), at: str = "at_ns", restart: bool = False
 ) -> DataFrame:
@@ -108,46 +51,10 @@ def liveness_timeouts(
     at least a timeout old fires, counts as a missed heartbeat, sets the clock and asks for recovery. While
     another recovery is open the request is ignored and the check goes on; otherwise it is applied
     (``applied``), and monitoring stops until the next valid acknowledgement, as it does for every other
-    applied recovery and for a disconnect. Rows of one instrument are folded as a stream of batches,
-    never gathered.
+    applied recovery and for a disconnect. All arrival buckets of an instrument are folded at once: a run
+    depends on when the clock started only where a silence is long enough to fire.
     """
-    keys = list(lane.keys)
-    rows = _reduced(frames, timeout, horizon_ns, lane, at, restart).select(*keys, lane.pos, "at_ns", "until_ns", "silent", "kind")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema]
-
-    def fold(batches):
-        key, monitor, silence = None, None, None
-        fired: list[tuple] = []
-
-        def run_until(limit):
-            # Only a silence can hold a timeout; it ends with the next signal.
-            while silence is not None and (hit := monitor.fire(min(limit, silence))) is not None:
-                fired.append((*key, *hit, monitor.gate("timeout", hit[0])))
-
-        def flush():
-            columns = list(zip(*fired, strict=True)) if fired else [[] for _ in names]
-            fired.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-        names, kinds = [*keys, "fired_ns", "since_ns", "applied"], None
-        for batch in batches:
-            kinds = kinds or [*(batch.schema.field(k).type for k in keys), pa.int64(), pa.int64(), pa.bool_()]
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*keys, "at_ns", "until_ns", "silent", "kind")]
-            for *now, at_ns, until_ns, silent, kind in zip(*columns, strict=True):
-                if now != key:
-                    if key is not None:
-                        run_until(1 << 63)
-                    key, monitor, silence = now, Monitor(timeout, restart), None
-                run_until(at_ns)
-                if kind in SIGNALS:
-                    monitor.signal(kind, at_ns)
-                    silence = until_ns if silent else None
-                else:
-                    monitor.gate(kind, at_ns)
-            yield flush()
-        if key is not None:
-            run_until(1 << 63)
-            yield flush()
-
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, lane.pos)
-    return ordered.mapInArrow(fold, f"{', '.join(fields)}, fired_ns bigint, since_ns bigint, applied boolean")
+    rows = frames.select(*lane.keys, lane.pos, "kind", F.col(at).alias("at_ns"))
+    events = feed_events(rows, FeedRules(buffered=False, timeout=timeout, restart=restart), lane, horizon_ns)
+    fired = events.where("cause = 'timeout' and since_ns is not null")
+    return fired.select(*lane.keys, F.col("at_ns").alias("fired_ns"), "since_ns", "applied")

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake.operators.align import BUFFER_SLOTS
@@ -34,7 +34,7 @@ def replayed_range(ring: list[list[int]], boundary: int) -> tuple[int | None, in
     """Positions of the first delta above the boundary and of the first one that breaks the order (or None)."""
     live = None
     expected = boundary + 1
-    for pos, seq in ring:
+    for pos, seq, *_ in ring:
         if live is None and seq <= boundary:
             continue
         live = pos if live is None else live
@@ -76,7 +76,7 @@ class FeedRules:
                     self._shut(s)
                     self._ask(s, pos, at, "overflow", out)
                 else:
-                    ring.append([pos, seq])
+                    ring.append([pos, seq, kind == "trade"])
                     s.set("ring", ring)
         elif kind in SIGNALS:
             s.set("last", at)
@@ -172,12 +172,12 @@ def _guesses(rows: DataFrame, rules: FeedRules, lane: Lane) -> DataFrame:
 
 
 _TYPES = {
-    "open": "boolean", "recovering": "boolean", "buffering": "boolean", "ring": "array<array<bigint>>",
+    "open": "boolean", "recovering": "boolean", "buffering": "boolean", "ring": "array<string>",
     "watching": "boolean", "start": "bigint", "last": "bigint",
 }
 
 
-def feed_events(frames: DataFrame, rules: FeedRules, lane: Lane = LANE, horizon_ns: int | None = None) -> DataFrame:
+def feed_events(frames: DataFrame, rules: FeedRules, lane: Lane = LANE, horizon_ns: int | Column | None = None) -> DataFrame:
     """Triggers and documents of every key in order: ``(keys, pos, session_id, event, cause, applied, at_ns,
     since_ns, boundary, live_from, gap_at)``.
 

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import ntz_nanos
 from feedlake.operators.l2 import classify_l2
+from feedlake.plans import merged_feed
 from feedlake.plans.books import TIMEOUT, _liveness_sql
 from feedlake.plans.oracle import L2_RULES
 from feedlake.plans.registration import Family
 from feedlake.plans.views import L2_PAYLOAD, l2_frames, spark_text, table
 from feedlake.session import fresh_path
-from feedlake.streaming import fold_batches, keyed_sessions, start_keyed, write_once
+from feedlake.streaming import feed_messages, fold_batches, keyed_sessions, read_messages, start_keyed, write_messages, write_once
 from feedlake.venues import FEEDS
 
 FAMILY = Family()
@@ -100,6 +101,31 @@ def t5_folded_sessions(spark, sf_dir):
     return spark.read.parquet(out).select(*_ROWS)
 
 
+@register(
+    "t5_identity_sink",
+    f"""with {L2_RULES} select instrument_id, session_id, coalesce(gateway_seq, 0) as gateway_seq, event_id as arrival, kind
+from r where pub = 1 or attempt = 1""",
+)
+def t5_identity_sink(spark, sf_dir):
+    """The stream runs twice, the second time without its checkpoint and in other pieces: every message is stored once."""
+    out = fresh_path(spark, "messages")
+    sink = write_messages(out)
+
+    def publish(batch, batch_id):
+        sent = batch.where("attempt or gateway_seq is not null")
+        number = F.coalesce("gateway_seq", F.lit(0)).cast("bigint").alias("gateway_seq")
+        sink(sent.select("instrument_id", "session_id", number, "arrival", "kind"), batch_id)
+
+    for pieces in (3, 2):
+        checkpoint = fresh_path(spark, "checkpoint")
+
+        def start(stream, checkpoint=checkpoint):
+            return start_keyed(keyed_sessions(stream), publish, checkpoint, once=True)
+
+        run_in_pieces(spark, sf_dir, start, pieces)
+    return read_messages(spark, out)
+
+
 @register(
     "t2_liveness_timers",
     f"select instrument_id, fired_ns as at_ns, applied from ({_liveness_sql(TIMEOUT)}) fired",
@@ -205,3 +231,21 @@ def t3_late_rows_folded(spark, sf_dir):
 
     _lagging(spark, sf_dir, start)
     return _outcomes(spark.read.parquet(out))
+
+
+@register("l3_stream_messages", merged_feed.FAMILY.sql["l3_session_messages"])
+def l3_stream_messages(spark, sf_dir):
+    """Alignment, sessions and recovery of the merged feed as keyed state, over four micro-batches and two restarts:
+    the messages of the batch form (J4, W6, W7, W12)."""
+    feed = merged_feed.merged_feed(spark, sf_dir)
+    width = feed.agg(F.max("arrival")).first()[0] // 4 + 1
+    staged, source = fresh_path(spark, "staged"), fresh_path(spark, "feed")
+    feed.withColumn("piece", F.expr(f"arrival div {width}")).write.partitionBy("piece").parquet(staged)
+    out, checkpoint = fresh_path(spark, "messages"), fresh_path(spark, "checkpoint")
+    schema = "instrument_id bigint, arrival bigint, event_id bigint, at_ns bigint, kind string, seq bigint"
+    for piece in range(4):
+        spark.read.schema(schema).parquet(f"{staged}/piece={piece}").write.mode("append").parquet(source)
+        if piece != 1:  # the second piece comes together with the third
+            stream = feed_messages(spark.readStream.schema(schema).parquet(source), merged_feed.RULES)
+            start_keyed(stream, write_messages(out), checkpoint, once=True).awaitTermination()
+    return read_messages(spark, out).drop("cause")

@@ -60,3 +60,10 @@ def reliable_checkpoint(df, eager: bool = True):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=eager)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Spark's file systems."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,7 +1,17 @@
 """Structured Streaming forms of the session rules."""
 
+from feedlake.streaming.feed import feed_messages
 from feedlake.streaming.folded import fold_batches, resume_session_rules
 from feedlake.streaming.keyed import keyed_sessions
-from feedlake.streaming.sink import start_keyed, write_once
+from feedlake.streaming.sink import read_messages, start_keyed, write_messages, write_once
 
-__all__ = ["fold_batches", "keyed_sessions", "resume_session_rules", "start_keyed", "write_once"]
+__all__ = [
+    "feed_messages",
+    "fold_batches",
+    "keyed_sessions",
+    "read_messages",
+    "resume_session_rules",
+    "start_keyed",
+    "write_messages",
+    "write_once",
+]

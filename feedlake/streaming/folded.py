@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from feedlake.operators.ordering import Lane, spread_join
 from feedlake.operators.session_state import TRIGGERS, apply_session_rules
+from feedlake.session import delete_folder
 
 STATE_SCHEMA = "last_arrival bigint, is_open boolean, recovering boolean, session bigint, seq bigint"
 _RESTORED = "_restored"
@@ -99,13 +100,6 @@ def resume_session_rules(classified: DataFrame, state: DataFrame, lane: Lane = L
     return told.unionByName(late, allowMissingColumns=True), after
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder through Spark's file systems."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def fold_batches(
     spark: SparkSession, state_path: str, sink: Callable[[DataFrame, int], None], lane: Lane = Lane()
 ) -> Callable[[DataFrame, int], None]:
@@ -125,7 +119,7 @@ def fold_batches(
             after.write.mode("overwrite").parquet(f"{state_path}/epoch={batch_id}")
             sink(rows, batch_id)
             if batch_id > 1:
-                _delete(spark, f"{state_path}/epoch={batch_id - 2}")
+                delete_folder(spark, f"{state_path}/epoch={batch_id - 2}")
         finally:
             batch.unpersist()
 

@@ -1,9 +1,9 @@
 """Session rules as keyed state, with liveness timers.
 
 One state row per stream key: gate, open recovery, session, sequence, monitoring start and the time of the
-last signal. Only the narrow classified columns enter the operator. A micro-batch of one key is sorted in
-memory, so the source's rate limit (files or offsets per trigger) bounds it; for instruments too hot for
-that use :mod:`feedlake.streaming.folded`.
+last signal. Only the narrow classified columns enter the operator. The rows of a key are held as packed
+columns (some 25 bytes a row, for sorting) and taken and told in slices; the source's rate limit bounds a
+micro-batch, and for instruments too hot for one task there is :mod:`feedlake.streaming.folded`.
 
 Time is the stream's own: a key's clock moves with its rows, never with those of other keys, so a key that
 lags loses nothing. There is no watermark, hence nothing is dropped before the operator. Rows behind their
@@ -14,8 +14,9 @@ with ``live``, by processing time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -36,6 +37,33 @@ OUTPUT = (
 )
 _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 TICK = "tick"
+SLICE = 1 << 13
+
+
+def in_order(rows: Iterator[pd.DataFrame], numbers: Sequence[str]) -> Iterator[zip]:
+    """The rows of a key by arrival (those without one last, in their order), as slices of tuples (arrival, kind,
+    *numbers). Rows are packed while they come in: integers and a code for the kind; an absent number is -1."""
+    kinds: dict[str, int] = {}
+    packed: list[tuple[np.ndarray, ...]] = []
+    for chunk in rows:
+        codes, names = pd.factorize(chunk["kind"])
+        table = np.array([kinds.setdefault(n, len(kinds)) for n in names], np.int16)
+        last = np.iinfo(np.int64).max
+        arrival = chunk["arrival"].astype("Int64").fillna(last).to_numpy(np.int64)
+        packed.append((arrival, table[codes], *(chunk[c].astype("Int64").fillna(-1).to_numpy(np.int64) for c in numbers)))
+        del chunk
+    columns = []
+    for i in range(len(packed[0]) if packed else 0):
+        columns.append(np.concatenate([p[i] for p in packed]))
+    if not columns:
+        return
+    packed.clear()
+    names = list(kinds)
+    order = np.argsort(columns[0], kind="stable")
+    for low in range(0, len(order), SLICE):
+        at = order[low : low + SLICE]
+        arrival, codes, *rest = (c[at].tolist() for c in columns)
+        yield zip(arrival, [names[c] for c in codes], *rest, strict=True)
 
 
 class SessionProcessor(StatefulProcessor):
@@ -106,7 +134,12 @@ class SessionProcessor(StatefulProcessor):
             s["signal_ns"] = hit[0]
             out.append(self._apply(s, s["last_arrival"], "timeout", hit[0]))
 
-    def _finish(self, key: tuple, s: dict, now_ms: int | None, out: list) -> Iterator[pd.DataFrame]:
+    def _frame(self, key: tuple, out: list) -> pd.DataFrame:
+        frame = pd.DataFrame([(*key, *row) for row in out], columns=[*self.keys, *_COLUMNS])
+        frame["gateway_seq"] = frame["gateway_seq"].astype("Int64")
+        return frame
+
+    def _finish(self, s: dict, now_ms: int | None) -> None:
         self.state.update(tuple(s.values()))
         if self.live:
             for timer in list(self.handle.listTimers()):
@@ -114,28 +147,24 @@ class SessionProcessor(StatefulProcessor):
             check = self._monitor(s).check()
             if check is not None and now_ms is not None:
                 self.handle.registerTimer(now_ms + max(0, check - s["time_ns"]) // 1_000_000 + 1)
-        frame = pd.DataFrame([(*key, *row) for row in out], columns=[*self.keys, *_COLUMNS])
-        frame["gateway_seq"] = frame["gateway_seq"].astype("Int64")
-        yield frame
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s, out = self._load(), []
-        batch = pd.concat(list(rows)).sort_values("arrival", na_position="last", kind="stable")
-        columns = (batch[c].to_list() for c in ("arrival", "kind", "at_ns"))
-        for arrival, kind, at_ns in zip(*columns, strict=True):
-            if kind == TICK:
-                self._advance(s, at_ns, out)
-                s["time_ns"] = max(s["time_ns"], at_ns)
-                continue
-            arrival = int(arrival)
-            if arrival <= s["last_arrival"]:
-                # Arrival order is the contract of the stream; a row behind it is counted, not applied.
-                out.append((arrival, kind, "late", s["is_open"], s["is_open"], False, False, s["session"], None, at_ns))
-                continue
-            self._advance(s, at_ns, out)
-            out.append(self._apply(s, arrival, kind, at_ns))
-            s["last_arrival"], s["time_ns"] = arrival, max(s["time_ns"], at_ns)
-        yield from self._finish(key, s, timerValues.getCurrentProcessingTimeInMs() if self.live else None, out)
+        s = self._load()
+        for part in in_order(rows, ["at_ns"]):
+            out: list = []
+            for arrival, kind, at_ns in part:
+                if kind == TICK:
+                    self._advance(s, at_ns, out)
+                    s["time_ns"] = max(s["time_ns"], at_ns)
+                elif arrival <= s["last_arrival"]:
+                    # Arrival order is the contract of the stream; a row behind it is counted, not applied.
+                    out.append((arrival, kind, "late", s["is_open"], s["is_open"], False, False, s["session"], None, at_ns))
+                else:
+                    self._advance(s, at_ns, out)
+                    out.append(self._apply(s, arrival, kind, at_ns))
+                    s["last_arrival"], s["time_ns"] = arrival, max(s["time_ns"], at_ns)
+            yield self._frame(key, out)
+        self._finish(s, timerValues.getCurrentProcessingTimeInMs() if self.live else None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The key has been silent for as long as its next check was away."""
@@ -144,7 +173,8 @@ class SessionProcessor(StatefulProcessor):
         if check is not None:
             self._advance(s, check + 1, out)
             s["time_ns"] = max(s["time_ns"], check)
-        yield from self._finish(key, s, timerValues.getCurrentProcessingTimeInMs(), out)
+        self._finish(s, timerValues.getCurrentProcessingTimeInMs())
+        yield self._frame(key, out)
 
 
 def keyed_sessions(
@@ -158,7 +188,9 @@ def keyed_sessions(
     with ``keys=("venue", "instrument_id")``.
 
     With ``live`` a silence also fires when no further row of the key comes, once as much processing time
-    has passed since the key's last row as was left to its next check.
+    has passed since the key's last row as was left to its next check. These timers are part of the state: they
+    survive a restart, and fire again from the first micro-batch after it on (Spark starts one with the first
+    row of any key).
     """
     narrow = classified.select(*keys, "arrival", "kind", "at_ns")
     output = T.StructType([*narrow.select(*keys).schema.fields, *T.StructType.fromDDL(OUTPUT).fields])

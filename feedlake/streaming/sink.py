@@ -2,28 +2,88 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedlake.session import ROCKSDB
+from feedlake.operators.ordering import SALTS
+from feedlake.session import ROCKSDB, delete_folder
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def write_once(path: str, format: str = "parquet") -> Callable[[DataFrame, int], None]:
-    """Idempotent batch sink: batch N overwrites its own folder, so a repeated batch adds nothing.
+    """Idempotent batch sink: batch N overwrites its own folder, so a repeated batch adds nothing. It goes by the
+    number of the batch alone; where a lost checkpoint cuts batches anew, use :func:`write_messages`."""
 
-    Each message is identified by (instrument, session, gateway sequence) and lands in one batch.
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").format(format).save(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def _last_commit(spark: SparkSession, path: str) -> int:
+    """Number of the last finished commit, -1 before the first one."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/marks")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return -1
+    names = [status.getPath() for status in files.listStatus(folder)]
+    done = [p for p in names if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max((int(p.getName().split("=")[1]) for p in done), default=-1)
+
+
+def write_messages(path: str, keys: Sequence[str] = ("instrument_id",)) -> Callable[[DataFrame, int], None]:
+    """Batch sink by message identity: (keys, session, gateway sequence) is stored once, however batches are cut.
+
+    Messages of a key come in the order of session and sequence (a reset has sequence 0), so one mark per key, its
+    last stored message, tells what is new. A commit writes its messages and then the marks after them, which
+    make it visible; what a failed commit left behind is overwritten by the next one. A batch that comes
+    again, whole or in other pieces, under any number, adds nothing. One writer at a time.
     """
+    keys = list(keys)
+    place = F.struct("session_id", "gateway_seq")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").format(format).save(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        last = _last_commit(spark, path)
+        turn = last + 1
+        batch.persist()
+        try:
+            fresh, marks = batch, None
+            if last >= 0:
+                marks = spark.read.parquet(f"{path}/marks/commit={last}")
+                salted = marks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+                salt = F.pmod(F.col("gateway_seq"), F.lit(SALTS)).cast("int")
+                fresh = batch.withColumn("_salt", salt).join(salted, [*keys, "_salt"], "left")
+                fresh = fresh.where(F.col("_mark").isNull() | (place > F.col("_mark"))).drop("_salt", "_mark")
+            # A message that is twice in one batch is stored once.
+            fresh = fresh.dropDuplicates([*keys, "session_id", "gateway_seq"])
+            fresh.write.mode("overwrite").parquet(f"{path}/data/commit={turn}")
+            after = batch.groupBy(*keys).agg(F.max(place).alias("_mark"))
+            if marks is not None:
+                after = after.unionByName(marks).groupBy(*keys).agg(F.max("_mark").alias("_mark"))
+            after.write.mode("overwrite").parquet(f"{path}/marks/commit={turn}")
+            if last > 0:
+                delete_folder(spark, f"{path}/marks/commit={last - 1}")
+        finally:
+            batch.unpersist()
 
     return write
 
 
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    """The messages of all finished commits of :func:`write_messages`."""
+    last = _last_commit(spark, path)
+    if last < 0:
+        raise ValueError(f"no finished commit in {path}")
+    folders = [f"{path}/data/commit={n}" for n in range(last + 1)]
+    return spark.read.option("basePath", f"{path}/data").parquet(*folders).drop("commit")
+
+
 def start_keyed(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
     """Start a stateful stream on the RocksDB state store; ``once`` drains what is there and stops."""
     conf = stream.sparkSession.conf

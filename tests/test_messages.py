@@ -1,6 +1,7 @@
 """Wire goldens, control messages, traces, metrics text, instrument checks."""
 
 import base64
+import random
 import struct
 
 import pytest
@@ -117,10 +118,10 @@ def test_trace_round_trip(spark, tmp_path):
     coded = encode_messages(level_table(spark), 1, "gateway_seq")
     path = fresh_path(spark, "trace-test")
     largest = 200  # a trace line of the test messages is shorter
-    write_trace(coded.coalesce(1), path, max_file_bytes=2 * largest)
+    write_trace(coded.coalesce(1), path, max_file_bytes=largest + largest // 2)  # holds two lines, not three
     lines = [r["value"] for r in spark.read.text(path).collect()]
     assert all(line.startswith("sbe_base64=") for line in lines) and len(lines) == 3
-    assert max(map(len, lines)) <= largest
+    assert max(map(len, lines)) <= largest and sum(map(len, lines)) > largest + largest // 2
     assert spark.read.text(path).select(F.col("_metadata.file_path")).distinct().count() >= 2
     want = {bytes(r["message"]) for r in coded.collect()}
     assert {bytes(r["message"]) for r in read_trace(spark, path).collect()} == want
@@ -129,6 +130,25 @@ def test_trace_round_trip(spark, tmp_path):
     assert [bytes(r["message"]) for r in read_trace(spark, str(logged)).collect()] == [b"abc"]
 
 
+def test_traces_fill_their_files_with_mixed_line_lengths(spark):
+    rng, limit = random.Random(9), 4000
+    lengths = [rng.choice([1, 10, 60, 400, 2500, 4200]) for _ in range(300)]
+    rows = spark.createDataFrame([(i, bytes([i % 256]) * n) for i, n in enumerate(lengths)], "i int, message binary").coalesce(1)
+    path = fresh_path(spark, "trace-test")
+    write_trace(rows, path, max_file_bytes=limit)
+    read = spark.read.option("recursiveFileLookup", "true").text(path)
+    files = {}
+    for r in read.select("value", F.col("_metadata.file_path").alias("file")).collect():
+        files.setdefault(r.file, []).append(len(r.value) + 1)
+    sizes = [sum(v) for _, v in sorted(files.items())]
+    assert sum(map(len, files.values())) == 300
+    assert all(n <= limit or len(files[f]) == 1 for f, n in zip(sorted(files), sizes, strict=True))
+    # Each file is short of the limit by less than the first line of the next one.
+    heads = [v[0] for _, v in sorted(files.items())]
+    assert all(n + head > limit for n, head in zip(sizes, heads[1:], strict=False))
+    assert {bytes(r.message) for r in read_trace(spark, path).collect()} == {bytes(r.message) for r in rows.collect()}
+
+
 def test_metrics_text(spark):
     rows = [("gateway_frames_received,instanceId=a\"b,venue=L2,instrumentId=7", 5), ("bad name!", -1), ("", 3)]
     got = [r["line"] for r in to_prometheus(spark.createDataFrame(rows, "label string, value bigint"), "gateway_counter_9").collect()]

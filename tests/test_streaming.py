@@ -1,13 +1,26 @@
 """Streams against the per-row folds: several micro-batches, timers, late rows, repeated batches."""
 
 import random
+import time
 
-from folds import session_fold
+import pandas as pd
+from folds import FeedFold, session_fold
 from pyspark.sql import functions as F
 
 from feedlake.operators.ordering import Lane
+from feedlake.operators.session_feed import FeedRules
 from feedlake.session import fresh_path
-from feedlake.streaming import fold_batches, keyed_sessions, resume_session_rules, start_keyed, write_once
+from feedlake.streaming import (
+    feed_messages,
+    fold_batches,
+    keyed_sessions,
+    read_messages,
+    resume_session_rules,
+    start_keyed,
+    write_messages,
+    write_once,
+)
+from feedlake.streaming.keyed import in_order
 
 KINDS = ["snapshot", "bad_snapshot", "update", "heartbeat", "ack", "trigger", "error", "mismatch"]
 SCHEMA = "instrument_id bigint, arrival bigint, kind string, at_ns bigint, event_time timestamp"
@@ -124,3 +137,123 @@ def test_two_venues_do_not_share_a_gate(spark):
     for out in (keyed, folded):
         got = {(r.venue, r.arrival): r.disposition for r in spark.read.parquet(out).collect()}
         assert got == {(1, 1): "accepted_snapshot", (1, 2): "published", (2, 1): "pre_snapshot", (2, 2): "accepted_snapshot"}
+
+
+def test_messages_are_stored_once_however_batches_are_cut(spark):
+    messages = [(k, s, n) for k in (1, 2) for s in range(3) for n in range(4 + k)]
+    frame = lambda rows: spark.createDataFrame(rows, "instrument_id bigint, session_id bigint, gateway_seq bigint")
+    path = fresh_path(spark, "identity")
+    first = write_messages(path)
+    halves = [[m for m in messages if m[1] < 1], [m for m in messages if m[1] == 1]]
+    for n, rows in enumerate(halves):
+        first(frame([*rows, *rows[:2]]), n)
+        first(frame(rows), n)  # the same batch again
+    # Another writer starts from the beginning: other borders, batch numbers from 0.
+    second, cut = write_messages(path), 7
+    ordered = sorted(messages, key=lambda m: m[1:])
+    for n in range(0, len(ordered), cut):
+        second(frame(ordered[n : n + cut]), n // cut)
+    assert sorted(tuple(r) for r in read_messages(spark, path).collect()) == sorted(messages)
+
+
+def test_a_commit_without_marks_is_not_seen(spark):
+    path = fresh_path(spark, "identity")
+    frame = spark.createDataFrame([(1, 0, 1)], "instrument_id bigint, session_id bigint, gateway_seq bigint")
+    write_messages(path)(frame, 0)
+    frame.withColumn("gateway_seq", F.lit(9).cast("bigint")).write.parquet(f"{path}/data/commit=1")  # a writer that died
+    assert [r.gateway_seq for r in read_messages(spark, path).collect()] == [1]
+    write_messages(path)(frame.withColumn("gateway_seq", F.lit(2).cast("bigint")), 1)
+    assert sorted(r.gateway_seq for r in read_messages(spark, path).collect()) == [1, 2]
+
+
+def fired(spark, out):
+    try:
+        rows = spark.read.parquet(out).where("kind = 'timeout'").orderBy("at_ns").collect()
+    except Exception:  # nothing is written yet
+        return []
+    return [(r.instrument_id, r.attempt, r.at_ns) for r in rows]
+
+
+def test_a_silent_key_fires_by_its_timer_before_and_after_a_restart(spark):
+    """No row of the key comes after the first batch: the registered timers alone close its silence, and again while
+    ignored. After a restart they wait for the first row of any key."""
+    second = 10**9
+    path, out, checkpoint = (fresh_path(spark, n) for n in ("silent", "out", "ckpt"))
+    schema = "instrument_id bigint, arrival bigint, kind string, at_ns bigint"
+    rows = [(1, 1, "ack", 1 * second), (1, 2, "snapshot", 2 * second), (2, 1, "snapshot", 2 * second)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+
+    def start(name):
+        stream = keyed_sessions(spark.readStream.schema(schema).parquet(path), timeout_ns=2 * second, restart=True, live=True)
+        return start_keyed(stream, write_once(f"{out}/{name}"), checkpoint)
+
+    def wait(name, n):
+        until = time.time() + 90
+        while len(fired(spark, f"{out}/{name}")) < n and time.time() < until:
+            time.sleep(0.5)
+
+    query = start("first")
+    wait("first", 1)
+    query.stop()
+    before = fired(spark, f"{out}/first")
+    query = start("second")
+    spark.createDataFrame([(2, 2, "update", 3 * second)], schema).coalesce(1).write.mode("append").parquet(path)
+    wait("second", 2)
+    query.stop()
+    after = fired(spark, f"{out}/second")
+    # The clock starts at the acknowledgement (1 s); the first timeout resets and the clock starts anew, later ones are ignored.
+    assert before[0] == (1, True, 3 * second) and not any(attempt for _, attempt, _ in before[1:])
+    times = [at for _, _, at in [*before, *after]]
+    assert len(after) >= 2 and not any(attempt for _, attempt, _ in after)
+    assert times == [3 * second + i * 2 * second for i in range(len(times))]
+    assert {key for key, _, _ in [*before, *after]} == {1}
+
+
+def test_order_feed_stream_equals_the_fold(spark):
+    """Deltas wait in the state across micro-batches; documents release them."""
+    from test_session_feed import SCHEMA as FEED
+    from test_session_feed import stream
+
+    rows = stream(21, sizes=(160, 60, 9))
+    path, out = fresh_path(spark, "feed"), fresh_path(spark, "messages")
+    for low in range(0, 161, 40):
+        part = [r for r in rows if low < r[1] <= low + 40]
+        spark.createDataFrame(part, FEED).coalesce(1).write.mode("append").parquet(path)
+    # Late rows: behind their stream, nothing changes.
+    spark.createDataFrame([r for r in rows if r[1] % 10 == 0], FEED).coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(path)
+    rules = FeedRules(True, 200, True, slots=6)
+    start_keyed(feed_messages(source, rules), write_messages(out), fresh_path(spark, "ckpt"), once=True).awaitTermination()
+    got = sorted((r.instrument_id, r.session_id, r.gateway_seq, r.arrival) for r in read_messages(spark, out).collect())
+    want = []
+    for key in {r[0] for r in rows}:
+        mine = [r[1:] for r in rows if r[0] == key]
+        fold = FeedFold(6, 200).run(mine, mine[-1][2])
+        want += [(key, session, 0, pos) for pos, session, _, _, applied in fold.asked if applied]
+        want += [(key, session, number, pos) for pos, (session, _, number) in fold.labels.items() if number]
+    assert got == sorted(want)
+
+
+def test_a_million_rows_of_one_key_stay_packed():
+    """Rows come in chunks, out of order; slices are told in order and nothing else is held but packed columns."""
+    n, size = 1_000_000, 10_000
+    order = [(i * 7919) % n for i in range(n)]
+
+    def chunks():
+        for low in range(0, n, size):
+            part = order[low : low + size]
+            yield pd.DataFrame({"arrival": part, "kind": ["update" if p % 3 else "heartbeat" for p in part], "at_ns": [p * 5 for p in part]})
+
+    import tracemalloc
+
+    tracemalloc.start()
+    expected = 0
+    for part in in_order(chunks(), ["at_ns"]):
+        rows = list(part)
+        assert len(rows) <= 1 << 13
+        for arrival, kind, at_ns in rows:
+            assert (arrival, kind, at_ns) == (expected, "update" if expected % 3 else "heartbeat", expected * 5)
+            expected += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert expected == n and peak < 70_000_000
