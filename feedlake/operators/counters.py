@@ -56,12 +56,12 @@ def encode_accounting(template: Column) -> dict[str, Column]:
 def recovery_accounting() -> dict[str, Column]:
     """Recovery counters over rows of the session rules.
 
-    Every attempt executes; it completes when a later snapshot is accepted.
+    Every attempt executes; it completes when a snapshot is accepted before it is recorded as failed.
     """
     return {
         "recovery_attempts": count_if(F.col("attempt")),
         "recovery_executions": count_if(F.col("attempt")),
-        "recovery_completions": count_if((F.col("disposition") == "accepted_snapshot") & F.col("seen_before")),
+        "recovery_completions": count_if((F.col("disposition") == "accepted_snapshot") & F.col("recovering")),
         "recovery_failures": count_if(F.col("kind") == "recovery_failed"),
         "recovery_requests_ignored_in_progress": count_if(F.col("ignored")),
     }

@@ -85,7 +85,7 @@ def _gate_starts(ends: DataFrame, lane: Lane, *keep: str) -> DataFrame:
 
 
 def coalesce_recovery(gated: DataFrame, lane: Lane = LANE, failures: bool = False) -> DataFrame:
-    """Add ``is_trigger``, ``attempt`` and ``ignored``.
+    """Add ``is_trigger``, ``attempt``, ``ignored`` and ``recovering`` (a recovery is open before the row).
 
     A trigger while a recovery is open is ignored. Once the gate has closed for any reason other
     than the start of the stream, a recovery is open until the next accepted snapshot; with
@@ -111,6 +111,7 @@ def coalesce_recovery(gated: DataFrame, lane: Lane = LANE, failures: bool = Fals
     return (
         flagged.withColumn("attempt", F.col("is_trigger") & ~in_progress)
         .withColumn("ignored", F.col("is_trigger") & in_progress)
+        .withColumn("recovering", in_progress)
         .drop("_last_trigger", "_last_failure")
     )
 
@@ -251,6 +252,7 @@ def _rules_in_one_pass(placed: DataFrame, lane: Lane) -> DataFrame:
             "is_trigger": wants,
             "attempt": attempt,
             "ignored": wants & ~attempt,
+            "recovering": ~was_open & (F.col("_prev_seen") | (F.col("_start_seen") == 1)),
             "session_id": pick("_session") + F.col("_start_session"),
             "_seq": F.when(base.isNotNull(), count - base).otherwise(count + F.col("_start_seq")),
         }

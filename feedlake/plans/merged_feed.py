@@ -144,7 +144,7 @@ def feed_recovery_accounting(spark, sf_dir):
 _IMAGE = "(event_id + i * 5) % 9 as order_ref, cast(10 * i + event_id % 10 as decimal(18,2)) as qty"
 
 
-def _images(spark, sf_dir):
+def images(spark, sf_dir):
     """The orders of every document: 0 to 3 of them."""
     rows = merged_feed(spark, sf_dir).where("kind = 'snapshot' and event_id % 4 > 0")
     listed = rows.selectExpr("instrument_id", "arrival", "event_id", "explode(sequence(1L, event_id % 4)) as i")
@@ -171,4 +171,4 @@ def b2_session_orders(spark, sf_dir):
         "instrument_id", "arrival", "session_id", (F.col("event_id") % 9).alias("order_ref"), F.expr(FEED_ORDER).alias("kind"),
         (F.col("event_id") % 40 + 1).cast("decimal(18,2)").alias("qty"),
     )
-    return session_orders(named, _images(spark, sf_dir), events)
+    return session_orders(named, images(spark, sf_dir), events)

@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from feedlake.functions import ntz_nanos
 from feedlake.operators.l2 import classify_l2
+from feedlake.operators.ordering import dense_arrival
+from feedlake.operators.session_feed import feed_events, session_feed
 from feedlake.plans import merged_feed
 from feedlake.plans.books import TIMEOUT, _liveness_sql
 from feedlake.plans.oracle import L2_RULES
 from feedlake.plans.registration import Family
-from feedlake.plans.views import L2_PAYLOAD, l2_frames, spark_text, table
+from feedlake.plans.views import FEED_ORDER, L2_PAYLOAD, l2_frames, spark_text, table
 from feedlake.session import fresh_path
-from feedlake.streaming import feed_messages, fold_batches, keyed_sessions, read_messages, start_keyed, write_messages, write_once
+from feedlake.streaming import (
+    feed_messages,
+    fold_batches,
+    keyed_sessions,
+    latest_orders,
+    read_messages,
+    start_keyed,
+    stream_orders,
+    write_messages,
+    write_once,
+)
 from feedlake.venues import FEEDS
 
 FAMILY = Family()
@@ -249,3 +262,46 @@ def l3_stream_messages(spark, sf_dir):
             stream = feed_messages(spark.readStream.schema(schema).parquet(source), merged_feed.RULES)
             start_keyed(stream, write_messages(out), checkpoint, once=True).awaitTermination()
     return read_messages(spark, out).drop("cause")
+
+
+def _order_messages(spark, sf_dir):
+    """What a consumer of the merged feed sees of orders, in message order: resets, documents with their orders, deltas."""
+    feed = merged_feed.merged_feed(spark, sf_dir)
+    events = feed_events(feed, merged_feed.RULES)
+    sent = session_feed(feed, events).where("gateway_seq is not null")
+    nothing = F.lit(None).cast("bigint")
+    resets = events.where("applied").select(
+        "instrument_id", "session_id", F.lit(0).cast("bigint").alias("gateway_seq"), F.lit(0).cast("bigint").alias("entry"),
+        F.lit("reset").alias("kind"), nothing.alias("order_ref"), nothing.alias("qty"),
+    )
+    documents = sent.where("kind = 'snapshot'")
+    heads = documents.select(
+        "instrument_id", "session_id", "gateway_seq", F.lit(0).cast("bigint").alias("entry"), F.lit("document").alias("kind"),
+        nothing.alias("order_ref"), nothing.alias("qty"),
+    )
+    entry = F.row_number().over(Window.partitionBy("instrument_id", "arrival").orderBy("order_ref"))
+    images = merged_feed.images(spark, sf_dir).withColumn("entry", entry.cast("bigint"))
+    listed = documents.select("instrument_id", "arrival", "session_id", "gateway_seq").join(images, ["instrument_id", "arrival"])
+    listed = listed.select("instrument_id", "session_id", "gateway_seq", "entry", F.lit("open").alias("kind"), "order_ref", (F.col("qty") * 100).cast("bigint").alias("qty"))
+    deltas = sent.where("kind <> 'snapshot'").select(
+        "instrument_id", "session_id", "gateway_seq", F.lit(0).cast("bigint").alias("entry"), F.expr(FEED_ORDER).alias("kind"),
+        (F.col("event_id") % 9).alias("order_ref"), ((F.col("event_id") % 40 + 1) * 100).cast("bigint").alias("qty"),
+    )
+    every = resets.unionByName(heads).unionByName(listed).unionByName(deltas)
+    return dense_arrival(every, ["instrument_id"], ["session_id", "gateway_seq", "entry"])
+
+
+@register("b2_stream_orders", merged_feed.FAMILY.sql["b2_session_orders"])
+def b2_stream_orders(spark, sf_dir):
+    """Resting orders kept as keyed state over three micro-batches and restarts equal those of the batch form."""
+    staged, source = fresh_path(spark, "staged"), fresh_path(spark, "orders")
+    rows = _order_messages(spark, sf_dir)
+    rows.withColumn("piece", F.least(F.expr("arrival div 12"), F.lit(2))).write.partitionBy("piece").parquet(staged)
+    schema = "instrument_id bigint, session_id bigint, gateway_seq bigint, entry bigint, kind string, order_ref bigint, qty bigint, arrival bigint"
+    out, checkpoint = fresh_path(spark, "books"), fresh_path(spark, "checkpoint")
+    for piece in range(3):
+        spark.read.schema(schema).parquet(f"{staged}/piece={piece}").write.mode("append").parquet(source)
+        stream = stream_orders(spark.readStream.schema(schema).parquet(source))
+        start_keyed(stream, write_once(out), checkpoint, once=True).awaitTermination()
+    book = latest_orders(spark.read.parquet(out).drop("batch"), "instrument_id")
+    return book.select("instrument_id", "order_ref", "last_kind", (F.col("resting") / 100).cast("decimal(18,2)").alias("resting_qty"))

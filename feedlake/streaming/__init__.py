@@ -1,5 +1,6 @@
 """Structured Streaming forms of the session rules."""
 
+from feedlake.streaming.book import latest_orders, stream_orders
 from feedlake.streaming.feed import feed_messages
 from feedlake.streaming.folded import fold_batches, resume_session_rules
 from feedlake.streaming.keyed import keyed_sessions
@@ -9,9 +10,11 @@ __all__ = [
     "feed_messages",
     "fold_batches",
     "keyed_sessions",
+    "latest_orders",
     "read_messages",
     "resume_session_rules",
     "start_keyed",
+    "stream_orders",
     "write_messages",
     "write_once",
 ]

@@ -14,9 +14,11 @@ from feedlake.streaming import (
     feed_messages,
     fold_batches,
     keyed_sessions,
+    latest_orders,
     read_messages,
     resume_session_rules,
     start_keyed,
+    stream_orders,
     write_messages,
     write_once,
 )
@@ -257,3 +259,35 @@ def test_a_million_rows_of_one_key_stay_packed():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert expected == n and peak < 70_000_000
+
+
+def test_books_in_the_stream(spark):
+    """Orders over several micro-batches from books of a batch table; resets and documents empty them."""
+    rng, rows = random.Random(31), []
+    start = {(1, 3): ("open", 50), (1, 4): ("change", 9), (2, 3): ("open", 1)}
+    want = {k: dict(v for v in [(ref, state) for (key, ref), state in start.items() if key == k]) for k in (1, 2, 3)}
+    for pos in range(11, 211):
+        for key in (1, 2, 3):
+            kind = rng.choices(["open", "change", "done", "match", "received", "reset", "document"], [6, 2, 3, 4, 2, 0.2, 0.2])[0]
+            ref, qty = rng.randint(0, 9), rng.randint(1, 30)
+            rows.append((key, pos, kind, ref, qty))
+            book = want[key]
+            if kind in ("reset", "document"):
+                book.clear()
+            elif kind in ("open", "change"):
+                book[ref] = (kind, qty)
+            elif kind == "done":
+                book.pop(ref, None)
+            elif kind == "match" and ref in book:
+                book[ref] = (book[ref][0], book[ref][1] - qty)
+    path, out = fresh_path(spark, "orders"), fresh_path(spark, "books")
+    schema = "instrument_id bigint, arrival bigint, kind string, order_ref bigint, qty bigint"
+    for low in range(11, 211, 67):
+        spark.createDataFrame([r for r in rows if low <= r[1] < low + 67], schema).coalesce(1).write.mode("append").parquet(path)
+    initial = spark.createDataFrame([(k, ref, *state, 10) for (k, ref), state in start.items()], "instrument_id bigint, order_ref bigint, kind string, resting bigint, last_arrival bigint")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    start_keyed(stream_orders(source, initial=initial), write_once(out), fresh_path(spark, "ckpt"), once=True).awaitTermination()
+    changes = spark.read.parquet(out).drop("batch")
+    told = initial.selectExpr("instrument_id", "order_ref", "kind as last_kind", "resting", "last_arrival as version")
+    got = {(r.instrument_id, r.order_ref): (r.last_kind, r.resting) for r in latest_orders(told.unionByName(changes), "instrument_id").collect()}
+    assert got == {(k, ref): state for k, book in want.items() for ref, state in book.items()}
