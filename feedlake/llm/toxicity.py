@@ -19,6 +19,8 @@ scored each for itself; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from feedlake.llm.textblocks import U64, Block, blocks, mix
 
-WINDOW, STRIDE = 32, 24
-SAMPLE, SAMPLE_BYTES = {0: 4000, 1: 2000}, 32768
+WINDOW, STRIDE = 32, 16
+SAMPLE, SAMPLE_BYTES = {0: 6000, 1: 2500}, 32768
 VOCABULARY, LEAST_TEXTS = 20000, 12
 #: Every so many-th sample text is kept back to place the cut.
 HELD_BACK = 4
@@ -342,19 +344,25 @@ ALARM = 3.0
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | None:
-    """Fit on the bounded sample of ``labels`` (doc_id, toxic) joined with ``docs`` (doc_id, text)."""
+    """Fit on the bounded sample of ``labels`` (doc_id, toxic) joined with ``docs`` (doc_id, text).
+
+    The sample is a table of at most the rows of ``SAMPLE`` and the fit is one task on it, which runs again like
+    any other if its executor is lost. Only the network comes to the driver.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id")
-    usable = known.join(short, "doc_id", "left_semi").withColumn("_hash", F.xxhash64("doc_id"))
-    chosen = [usable.where(F.col("toxic") == label).orderBy("_hash", "doc_id").limit(SAMPLE[label]) for label in (0, 1)]
-    ids = {r["doc_id"]: r["toxic"] for part in chosen for r in part.select("doc_id", "toxic").collect()}
-    if not ids:
-        return None
     rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text")
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    one = rows.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sample = sorted((r["doc_id"], r["text"]) for r in one.collect())
-    return fit([(text, ids[doc_id]) for doc_id, text in sample])
+    usable = known.join(rows.select("doc_id"), "doc_id", "left_semi").withColumn("_hash", F.xxhash64("doc_id"))
+    chosen = [usable.where(F.col("toxic") == label).orderBy("_hash", "doc_id").limit(SAMPLE[label]) for label in (0, 1)]
+    wanted = chosen[0].union(chosen[1]).select("doc_id", "toxic")  # at most sum(SAMPLE) rows
+    one = rows.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+
+    def run(batches):
+        sample = [row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns), strict=True)]
+        net = fit([(text, toxic) for _, text, toxic in sorted(sample)]) if sample else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    fitted = one.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "net binary").collect()
+    return pickle.loads(fitted[0]["net"]) if fitted else None
 
 
 def score(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:

@@ -1,5 +1,7 @@
 """Language identification and toxicity: held-out accuracy and odd rows."""
 
+import zlib
+
 from llm.conftest import ODD_ROWS
 from pyspark.sql import functions as F
 
@@ -78,3 +80,16 @@ def test_toxicity_query_and_odd_rows(spark, odd, empty):
     none = toxicity.train(odd, spark.createDataFrame([(1, None)], "doc_id long, toxic int"))
     assert none is None
     assert toxicity.score(odd, None, ["doc_id"]).agg(F.max("score")).first()[0] == 0.0
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """A network that has not seen the held-out part tells its labels; that part is the plain form's."""
+    tables = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{tables}/labels.parquet").collect()}
+    rows = QUERIES["op7_toxicity"](spark, tables).select("doc_id", "held_out", "predicted").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    unseen = [r for r in rows if r.held_out]
+    toxic = [r.predicted for r in unseen if truth.get(r.doc_id) == 1]
+    clean = [r.predicted for r in unseen if truth.get(r.doc_id) == 0]
+    assert len(toxic) > 80 and sum(toxic) >= 0.82 * len(toxic)
+    assert len(clean) > 600 and sum(clean) <= 0.04 * len(clean)
