@@ -71,12 +71,8 @@ def aggregate(rows: DataFrame, counters: dict[str, Column], *keys: str) -> DataF
     return rows.groupBy(*keys).agg(*[c.alias(n) for n, c in counters.items()])
 
 
-def latency_stats(samples: DataFrame, lane: Lane, value: str = "latency") -> DataFrame:
-    """Minimum, maximum and last latency per key.
-
-    A stored minimum of 0 reads as "unset", so a zero sample is overwritten by the next one: the
-    minimum runs over the samples after the last zero, or is 0 when a zero came last.
-    """
+def latency_summary(samples: DataFrame, lane: Lane, value: str = "latency") -> DataFrame:
+    """Per key a struct ``latency``: whether a ``zero`` occurred, the ``low`` since the last one, ``high`` and ``last``."""
     keys, pos, lat = lane.keys, F.col(lane.pos), F.col(value)
     sweep = running(samples, lane, _zero=max_upto(F.when(lat == 0, pos)))
     # Rows after the last zero are those whose last zero so far equals the key's last zero overall,
@@ -85,12 +81,33 @@ def latency_stats(samples: DataFrame, lane: Lane, value: str = "latency") -> Dat
         F.min(F.when(lat != 0, lat)).alias("low"), F.max(lat).alias("high"), F.max(F.struct(pos, lat)).alias("tail")
     )
     return per_zero.groupBy(*keys).agg(
-        F.coalesce(F.max_by("low", F.coalesce("_zero", F.lit(-1))), F.lit(0)).alias("latency_min"),
-        F.max("high").alias("latency_max"),
-        F.max("tail")[value].alias("latency_last"),
+        F.struct(
+            F.max("_zero").isNotNull().alias("zero"),
+            F.max_by("low", F.coalesce("_zero", F.lit(-1))).alias("low"),
+            F.max("high").alias("high"),
+            F.max("tail")[value].alias("last"),
+        ).alias("latency")
     )
 
 
+def latency_columns() -> list[Column]:
+    """Minimum, maximum and last from the struct of :func:`latency_summary`."""
+    return [
+        F.coalesce("latency.low", F.lit(0)).alias("latency_min"),
+        F.col("latency.high").alias("latency_max"),
+        F.col("latency.last").alias("latency_last"),
+    ]
+
+
+def latency_stats(samples: DataFrame, lane: Lane, value: str = "latency") -> DataFrame:
+    """Minimum, maximum and last latency per key.
+
+    A stored minimum of 0 reads as "unset", so a zero sample is overwritten by the next one: the
+    minimum runs over the samples after the last zero, or is 0 when a zero came last.
+    """
+    return latency_summary(samples, lane, value).select(*lane.keys, *latency_columns())
+
+
 def connection_accounting(events: DataFrame, *keys: str) -> DataFrame:
     """Connection counters over rows with ``event`` in attempt/success/failure/reconnect."""
     event = F.col("event")
@@ -102,27 +119,44 @@ def connection_accounting(events: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def active_connections(edges: DataFrame, lane: Lane, opened: Column, closed: Column) -> DataFrame:
-    """Connections open now and at most, per key; an edge that repeats the current state does not count.
-
-    The state before a row is the newest earlier edge, so one running maximum tells real changes
-    apart; the gauge of all keys together is the sum of the results.
-    """
+def connection_summary(edges: DataFrame, lane: Lane, opened: Column, closed: Column) -> DataFrame:
+    """Per key a struct ``edges``: the ``first`` and ``last`` state (1 open), and the changes after the first edge."""
     state = F.when(opened, 1).when(closed, 0)
     traced = running(
         edges.withColumn("_state", state).where(F.col("_state").isNotNull()),
         lane,
         _last=max_before(F.struct(F.col(lane.pos), F.col("_state").alias("state"))),
     )
-    changed = F.col("_state") != F.coalesce("_last.state", F.lit(0))
-    delta = F.when(changed, F.col("_state") * 2 - 1).otherwise(0)
+    changed = F.col("_state") != F.col("_last.state")
     return traced.groupBy(*lane.keys).agg(
-        count_if(changed & (F.col("_state") == 1)).alias("opens"),
-        count_if(changed & (F.col("_state") == 0)).alias("closes"),
-        F.sum(delta).cast("bigint").alias("active_connections"),
+        F.struct(
+            F.max(F.when(F.col("_last").isNull(), F.col("_state"))).alias("first"),
+            F.max_by("_state", F.col(lane.pos)).alias("last"),
+            count_if(changed & (F.col("_state") == 1)).alias("opens"),
+            count_if(changed & (F.col("_state") == 0)).alias("closes"),
+        ).alias("edges")
     )
 
 
+def connection_columns() -> list[Column]:
+    """Counters from the struct of :func:`connection_summary`; a connection starts closed."""
+    opens = F.col("edges.opens") + F.col("edges.first")
+    return [
+        opens.alias("opens"),
+        F.col("edges.closes").alias("closes"),
+        (opens - F.col("edges.closes")).cast("bigint").alias("active_connections"),
+    ]
+
+
+def active_connections(edges: DataFrame, lane: Lane, opened: Column, closed: Column) -> DataFrame:
+    """Connections open now and at most, per key; an edge that repeats the current state does not count.
+
+    The state before a row is the newest earlier edge, so one running maximum tells real changes
+    apart; the gauge of all keys together is the sum of the results.
+    """
+    return connection_summary(edges, lane, opened, closed).select(*lane.keys, *connection_columns())
+
+
 def error_groups(errors: DataFrame, *keys: str, at: str = "ts") -> DataFrame:
     """Identical errors once: how often, first seen, last seen."""
     return errors.groupBy(*keys).agg(

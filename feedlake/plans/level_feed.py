@@ -316,7 +316,7 @@ def boundaries(spark, sf_dir):
     return counts.groupBy("boundaries").agg(F.count("*").alias("sessions"))
 
 
-_A1_SQL = """count(*) as frames_received, cast(sum(strlen(payload)) as bigint) as bytes_received,
+A1_SQL = """count(*) as frames_received, cast(sum(strlen(payload)) as bigint) as bytes_received,
   count(*) filter (where disposition in ('accepted_snapshot','published','heartbeat','ack')) as messages_decoded,
   count(*) filter (where disposition = 'accepted_snapshot') as snapshot_messages_received,
   count(*) filter (where disposition = 'published') as update_messages_received,
@@ -329,6 +329,16 @@ _A1_SQL = """count(*) as frames_received, cast(sum(strlen(payload)) as bigint) a
   count(*) filter (where disposition = 'mismatch') as product_id_mismatches,
   count(*) filter (where disposition = 'trigger') as subscription_validation_failures"""
 
+A2_SQL = """cast(sum(pub) as bigint) as encode_successes, cast(0 as bigint) as encode_failures,
+  cast(sum(case when acc_pos is not null then 2 when pub = 1 then 1 else 0 end) as bigint) as levels_encoded,
+  cast(sum(case when acc_pos is not null then 99 when pub = 1 then 79 else 0 end) as bigint) as encoded_bytes"""
+A3_SQL = """cast(sum(attempt) as bigint) as recovery_attempts, cast(sum(attempt) as bigint) as recovery_executions,
+  count(*) filter (where acc_pos is not null and pt > pa) as recovery_completions,
+  cast(0 as bigint) as recovery_failures, cast(sum(ignored) as bigint) as recovery_requests_ignored_in_progress"""
+A7_SQL = f"""with {L2_RULES} select instrument_id, disposition as error, count(*) as occurrences,
+  min(epoch_us(ts)) * 1000 as first_seen, max(epoch_us(ts)) * 1000 as last_seen
+from r where disposition in ('rejected', 'mismatch', 'trigger', 'duplicate_snapshot') group by instrument_id, disposition"""
+
 
 def _accounted(spark, sf_dir):
     frames = l2_frames(spark, sf_dir).withColumn("frame_bytes", F.octet_length("payload"))
@@ -337,17 +347,14 @@ def _accounted(spark, sf_dir):
     )
 
 
-@register("a1_frame_accounting", f"with {L2_RULES} select instrument_id, {_A1_SQL} from r group by instrument_id")
+@register("a1_frame_accounting", f"with {L2_RULES} select instrument_id, {A1_SQL} from r group by instrument_id")
 def frame_accounting(spark, sf_dir):
     return counters.aggregate(_accounted(spark, sf_dir), counters.frame_accounting(), "instrument_id")
 
 
 @register(
     "a2_encode_accounting",
-    f"""with {L2_RULES} select instrument_id, cast(sum(pub) as bigint) as encode_successes, cast(0 as bigint) as encode_failures,
-  cast(sum(case when acc_pos is not null then 2 when pub = 1 then 1 else 0 end) as bigint) as levels_encoded,
-  cast(sum(case when acc_pos is not null then 99 when pub = 1 then 79 else 0 end) as bigint) as encoded_bytes
-from r group by instrument_id""",
+    f"with {L2_RULES} select instrument_id, {A2_SQL} from r group by instrument_id",
 )
 def encode_accounting(spark, sf_dir):
     return counters.aggregate(_accounted(spark, sf_dir), counters.encode_accounting(F.lit(1)), "instrument_id")
@@ -355,11 +362,7 @@ def encode_accounting(spark, sf_dir):
 
 @register(
     "a3_recovery_accounting",
-    f"""with {L2_RULES} select instrument_id, cast(sum(attempt) as bigint) as recovery_attempts,
-  cast(sum(attempt) as bigint) as recovery_executions,
-  count(*) filter (where acc_pos is not null and pt > pa) as recovery_completions,
-  cast(0 as bigint) as recovery_failures, cast(sum(ignored) as bigint) as recovery_requests_ignored_in_progress
-from r group by instrument_id""",
+    f"with {L2_RULES} select instrument_id, {A3_SQL} from r group by instrument_id",
 )
 def recovery_accounting(spark, sf_dir):
     return counters.aggregate(ruled(spark, sf_dir), counters.recovery_accounting(), "instrument_id")
@@ -383,12 +386,7 @@ def last_seen(spark, sf_dir):
     )
 
 
-@register(
-    "a7_error_groups",
-    f"""with {L2_RULES} select instrument_id, disposition as error, count(*) as occurrences,
-  min(epoch_us(ts)) * 1000 as first_seen, max(epoch_us(ts)) * 1000 as last_seen
-from r where disposition in ('rejected', 'mismatch', 'trigger', 'duplicate_snapshot') group by instrument_id, disposition""",
-)
+@register("a7_error_groups", A7_SQL)
 def error_groups(spark, sf_dir):
     rows = ruled(spark, sf_dir, "ts").where(
         F.col("disposition").isin("rejected", "mismatch", "trigger", "duplicate_snapshot")
@@ -399,7 +397,7 @@ def error_groups(spark, sf_dir):
 
 @register(
     "s7_metric_lines",
-    f"""with {L2_RULES}, a as (select instrument_id, {_A1_SQL} from r group by instrument_id),
+    f"""with {L2_RULES}, a as (select instrument_id, {A1_SQL} from r group by instrument_id),
 u as (unpivot a on columns(* exclude (instrument_id)) into name name value value)
 select concat('gateway_', name, '{{instance_id="i-1",environment="test",venue="L2",instrument_id="', cast(instrument_id as varchar), '"}} ', cast(value as varchar)) as line from u""",
 )

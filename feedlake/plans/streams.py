@@ -6,26 +6,33 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from feedlake.functions import ntz_nanos
+from feedlake.operators import counters
 from feedlake.operators.l2 import classify_l2
 from feedlake.operators.ordering import dense_arrival
 from feedlake.operators.session_feed import feed_events, session_feed
 from feedlake.plans import merged_feed
 from feedlake.plans.books import TIMEOUT, _liveness_sql
+from feedlake.plans.level_feed import A1_SQL, A2_SQL, A3_SQL, A7_SQL
 from feedlake.plans.oracle import L2_RULES
 from feedlake.plans.registration import Family
 from feedlake.plans.views import FEED_ORDER, L2_PAYLOAD, l2_frames, spark_text, table
 from feedlake.session import fresh_path
+from feedlake.sources.metrics import counter_labels, to_prometheus
 from feedlake.streaming import (
+    accumulate,
+    each,
     feed_messages,
     fold_batches,
     keyed_sessions,
     latest_orders,
     read_messages,
+    read_totals,
     start_keyed,
     stream_orders,
     write_messages,
     write_once,
 )
+from feedlake.streaming.accounting import earliest, latest
 from feedlake.venues import FEEDS
 
 FAMILY = Family()
@@ -34,7 +41,7 @@ register = FAMILY.register
 _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def classified_stream(spark, source: str):
+def classified_stream(spark, source: str, *keep: str):
     """V1 as a stream. Event ids grow with time, so they serve as the arrival position."""
     frames = (
         spark.readStream.schema(_EVENTS)
@@ -50,17 +57,18 @@ def classified_stream(spark, source: str):
             "props",
         )
     )
-    told = classify_l2(frames)
+    told = classify_l2(frames.withColumn("frame_bytes", F.octet_length("payload")))
     is_tick = F.col("event_type") == "tick"
     return told.select(
         "instrument_id",
         "arrival",
         F.when(is_tick, F.lit("tick")).otherwise(F.col("kind")).alias("kind"),
         F.when(is_tick, F.col("props").cast("bigint")).otherwise(F.col("at_ns")).alias("at_ns"),
+        *keep,
     )
 
 
-def run_in_pieces(spark, sf_dir, start, pieces: int = 3, ticks: str | None = None):
+def run_in_pieces(spark, sf_dir, start, pieces: int = 3, ticks: str | None = None, keep: tuple[str, ...] = ()):
     """Append the events piece by piece, in order, and drain the stream after each piece.
 
     Every drain is a new query on the same checkpoint, so this also exercises restarts. ``ticks`` is a
@@ -81,7 +89,7 @@ def run_in_pieces(spark, sf_dir, start, pieces: int = 3, ticks: str | None = Non
                 F.lit(None).cast("double").alias("value"), F.col("at_ns").cast("string").alias("props"),
             )
             rows.write.mode("append").parquet(source)
-        start(classified_stream(spark, source)).awaitTermination()
+        start(classified_stream(spark, source, *keep)).awaitTermination()
 
 
 _ROWS_SQL = f"""with {L2_RULES} select instrument_id, event_id as arrival, kind, disposition, attempt = 1 as attempt, ignored = 1 as ignored,
@@ -114,6 +122,74 @@ def t5_folded_sessions(spark, sf_dir):
     return spark.read.parquet(out).select(*_ROWS)
 
 
+def _accounting(spark, sf_dir, *sinks):
+    """V1 through the bucketed folds, each micro-batch with its outcomes given to ``sinks``."""
+    step = fold_batches(spark, fresh_path(spark, "state"), each(*sinks))
+    checkpoint = fresh_path(spark, "checkpoint")
+    run_in_pieces(
+        spark, sf_dir, lambda stream: start_keyed(stream, step, checkpoint, once=True), keep=("frame_bytes", "over_cap", "entry_count")
+    )
+
+
+def _gauges() -> dict:
+    """A4: the newest message, and the newest heartbeat or acknowledgement (0 without one)."""
+    heard = F.when(F.col("kind").isin("heartbeat", "ack"), F.col("at_ns"))
+    return {
+        "last_message_received_nanos": F.max("at_ns"),
+        "last_heartbeat_received_nanos": F.coalesce(F.max(heard), F.lit(0)),
+    }
+
+
+_PREFIXES = f"""{L2_RULES}, cuts as (select min(event_id) as low, (max(event_id) - min(event_id)) // 3 + 1 as width from events),
+p as (select b.batch, r.* from r, cuts, (select cast(unnest([0, 1, 2]) as integer) as batch) b where event_id < low + (b.batch + 1) * width)"""
+
+
+@register(
+    "s7_stream_metrics",
+    f"""with {_PREFIXES}, a as (select batch, instrument_id, {A1_SQL}, {A2_SQL}, {A3_SQL},
+  max(epoch_us(ts)) * 1000 as last_message_received_nanos,
+  coalesce(max(case when kind in ('heartbeat', 'ack') then epoch_us(ts) end) * 1000, 0) as last_heartbeat_received_nanos
+  from p group by batch, instrument_id),
+u as (unpivot a on columns(* exclude (batch, instrument_id)) into name name value value)
+select batch, concat('gateway_', name, '{{instance_id="i-1",environment="test",venue="L2",instrument_id="', cast(instrument_id as varchar), '"}} ', cast(value as varchar)) as line from u""",
+)
+def s7_stream_metrics(spark, sf_dir):
+    """A1 to A4 and S7 as a stream: the metric lines after every micro-batch are those of all rows so far."""
+    lines, totals = fresh_path(spark, "lines"), fresh_path(spark, "totals")
+    write = write_once(lines)
+    columns = {
+        **counters.frame_accounting(),
+        **counters.encode_accounting(F.lit(1)),
+        **counters.recovery_accounting(),
+        **_gauges(),
+    }
+
+    def publish(wide, batch_id):
+        write(to_prometheus(counter_labels(wide, "i-1", "test", "L2")), batch_id)
+
+    def summary(rows):
+        return counters.aggregate(rows, columns, "instrument_id")
+
+    gauges = dict.fromkeys(_gauges(), latest)
+    _accounting(spark, sf_dir, accumulate(totals, ["instrument_id"], summary, gauges, publish))
+    return spark.read.parquet(lines).select("batch", "line")
+
+
+@register("a7_stream_error_groups", A7_SQL)
+def a7_stream_error_groups(spark, sf_dir):
+    """Errors grouped over three micro-batches: occurrences add up, first and last seen are kept."""
+    totals = fresh_path(spark, "errors")
+
+    def summary(rows):
+        errors = rows.where(F.col("disposition").isin("rejected", "mismatch", "trigger", "duplicate_snapshot"))
+        timed = errors.select("instrument_id", F.col("disposition").alias("error"), F.col("at_ns").alias("ts"))
+        return counters.error_groups(timed, "instrument_id", "error")
+
+    bounds = {"first_seen": earliest, "last_seen": latest}
+    _accounting(spark, sf_dir, accumulate(totals, ["instrument_id", "error"], summary, bounds))
+    return read_totals(spark, totals)
+
+
 @register(
     "t5_identity_sink",
     f"""with {L2_RULES} select instrument_id, session_id, coalesce(gateway_seq, 0) as gateway_seq, event_id as arrival, kind
@@ -212,7 +288,7 @@ def _lagging(spark, sf_dir, start):
     ]
     for part in parts:
         part.repartition(3).write.mode("append").parquet(source)
-        start(classified_stream(spark, source)).awaitTermination()
+        start(classified_stream(spark, source, *keep)).awaitTermination()
 
 
 def _outcomes(rows):

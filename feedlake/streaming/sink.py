@@ -24,10 +24,10 @@ def write_once(path: str, format: str = "parquet") -> Callable[[DataFrame, int],
     return write
 
 
-def _last_commit(spark: SparkSession, path: str) -> int:
-    """Number of the last finished commit, -1 before the first one."""
+def last_commit(spark: SparkSession, path: str) -> int:
+    """Number of the last finished folder ``commit=`` under ``path``, -1 before the first one."""
     jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/marks")
+    folder = jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(folder):
         return -1
@@ -49,7 +49,7 @@ def write_messages(path: str, keys: Sequence[str] = ("instrument_id",)) -> Calla
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        last = _last_commit(spark, path)
+        last = last_commit(spark, f"{path}/marks")
         turn = last + 1
         batch.persist()
         try:
@@ -77,7 +77,7 @@ def write_messages(path: str, keys: Sequence[str] = ("instrument_id",)) -> Calla
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """The messages of all finished commits of :func:`write_messages`."""
-    last = _last_commit(spark, path)
+    last = last_commit(spark, f"{path}/marks")
     if last < 0:
         raise ValueError(f"no finished commit in {path}")
     folders = [f"{path}/data/commit={n}" for n in range(last + 1)]
