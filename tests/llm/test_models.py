@@ -1,6 +1,8 @@
 """Language identification and toxicity: held-out accuracy and odd rows."""
 
+import math
 import zlib
+from collections import Counter
 
 from llm.conftest import ODD_ROWS
 from pyspark.sql import functions as F
@@ -93,3 +95,45 @@ def test_toxicity_of_held_out_documents(spark):
     clean = [r.predicted for r in unseen if truth.get(r.doc_id) == 0]
     assert len(toxic) > 80 and sum(toxic) >= 0.82 * len(toxic)
     assert len(clean) > 600 and sum(clean) <= 0.04 * len(clean)
+
+
+def test_language_equals_a_plain_form(spark):
+    """Held-out rows, texts without letters, languages and scores against counting in dictionaries."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    wanted = {}
+
+    def plain_grams(text):
+        codes = [ord(c) if c.isalpha() else 32 for c in text.lower()]
+        for width in (2, 3):
+            for at in range(len(codes) - width + 1):
+                if codes[at + width // 2] == 32:
+                    continue
+                key = 0
+                for code in codes[at : at + width]:
+                    key = (key * 0x100000001B3 + code) % 2**64
+                yield (key * 0x9E3779B97F4A7C15) % 2**64 >> 49
+
+    counts, sizes = {}, {}
+    for r in docs:
+        wanted[r.doc_id] = zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+        if not wanted[r.doc_id] and r.lang is not None:
+            sizes[r.lang] = sizes.get(r.lang, 0) + 1
+            counts.setdefault(r.lang, Counter()).update(plain_grams(r.text or ""))
+    totals = {lang: sum(c.values()) for lang, c in counts.items()}
+    texts = {r.doc_id: r.text for r in docs}
+    for r in QUERIES["op5_language_id"](spark, "/root/testdata/sf0.001").collect():
+        assert r.held_out == wanted[r.doc_id]
+        text = texts[r.doc_id] or ""
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        found = Counter(plain_grams(text))
+        logs = {
+            lang: math.log(sizes[lang] / sum(sizes.values()))
+            + sum(n * math.log((c[g] + 0.5) / (totals[lang] + 0.5 * 2**15)) for g, n in found.items())
+            for lang, c in sorted(counts.items())
+        }
+        best = max(logs, key=logs.get)
+        score = 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+        assert abs(r.score - score) < 0.01
+        assert r.lang_pred == best or score < 0.51
