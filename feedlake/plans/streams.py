@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from feedlake.functions import ntz_nanos
 from feedlake.operators import counters
 from feedlake.operators.l2 import classify_l2
-from feedlake.operators.ordering import dense_arrival
+from feedlake.operators.ordering import Lane, dense_arrival
 from feedlake.operators.session_feed import feed_events, session_feed
 from feedlake.plans import merged_feed
+from feedlake.plans.books import FAMILY as FAMILY_OF_BOOKS
 from feedlake.plans.books import TIMEOUT, _liveness_sql
 from feedlake.plans.level_feed import A1_SQL, A2_SQL, A3_SQL, A7_SQL
 from feedlake.plans.oracle import L2_RULES
@@ -32,7 +33,7 @@ from feedlake.streaming import (
     write_messages,
     write_once,
 )
-from feedlake.streaming.accounting import earliest, latest
+from feedlake.streaming.accounting import earliest, edges_merged, latest
 from feedlake.venues import FEEDS
 
 FAMILY = Family()
@@ -190,6 +191,24 @@ def a7_stream_error_groups(spark, sf_dir):
     return read_totals(spark, totals)
 
 
+@register("a6_stream_connections", FAMILY_OF_BOOKS.sql["a6_connections"])
+def a6_stream_connections(spark, sf_dir):
+    """Connection edges over three micro-batches: an edge that repeats the state another batch left does not count."""
+    totals, checkpoint = fresh_path(spark, "edges"), fresh_path(spark, "checkpoint")
+    kind = F.col("event_type")
+
+    def summary(rows):
+        return counters.connection_summary(rows, Lane(), kind == "signup", kind == "error")
+
+    step = accumulate(totals, ["instrument_id"], summary, {"edges": edges_merged})
+
+    def start(stream):
+        return start_keyed(stream.select("instrument_id", "arrival", "event_type"), step, checkpoint, once=True)
+
+    run_in_pieces(spark, sf_dir, start, keep=("event_type",))
+    return read_totals(spark, totals).select("instrument_id", *counters.connection_columns())
+
+
 @register(
     "t5_identity_sink",
     f"""with {L2_RULES} select instrument_id, session_id, coalesce(gateway_seq, 0) as gateway_seq, event_id as arrival, kind
