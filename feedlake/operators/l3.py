@@ -262,7 +262,9 @@ def rest_book_entries(documents: DataFrame, cap: int = MAX_ENTRIES) -> DataFrame
 def refused_documents(documents: DataFrame, *keep: str, cap: int = MAX_ENTRIES) -> DataFrame:
     """A trigger row for every refused document: it asks for recovery."""
     parsed = rest_book_entries(documents, cap)
-    return parsed.where("refused is not null").select(*keep, F.lit("trigger").alias("kind"), "refused")
+    # A filter on the column would be pushed down with a copy of the whole parse for every use of a value in it.
+    told = parsed.select(*keep, F.explode_outer(F.array("refused")).alias("refused")).where("refused is not null")
+    return told.select(*keep, F.lit("trigger").alias("kind"), "refused")
 
 
 def flatten_rest_book(documents: DataFrame, *keep: str, cap: int = MAX_ENTRIES) -> DataFrame:

@@ -188,3 +188,12 @@ def test_documents_are_read_forwards_and_refused_whole(spark, tmp_path):
     assert sorted((r.path[-1], r.seq1, r.side) for r in rows) == [("a", 5, 2), ("b", 6, 1), ("c", 7, 2)]
     refused = {(r.path[-1], r.kind, r.refused) for r in refused_documents(read, "path").collect()}
     assert refused == {("d", "trigger", "missing_sequence"), ("e", "trigger", "over_cap"), ("f", "trigger", "bad_order_id")}
+
+
+def test_refused_documents_parse_each_document_once(spark):
+    from feedlake.operators.l3 import refused_documents
+
+    documents = spark.createDataFrame([(1, '{"sequence":7,"bids":[],"asks":[]}')], "doc int, payload string")
+    plan = refused_documents(documents, "doc")._jdf.queryExecution().optimizedPlan().toString()
+    once = flatten_rest_book(documents, "doc")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= once.count("regexp_extract(")
