@@ -291,3 +291,13 @@ def test_books_in_the_stream(spark):
     told = initial.selectExpr("instrument_id", "order_ref", "kind as last_kind", "resting", "last_arrival as version")
     got = {(r.instrument_id, r.order_ref): (r.last_kind, r.resting) for r in latest_orders(told.unionByName(changes), "instrument_id").collect()}
     assert got == {(k, ref): state for k, book in want.items() for ref, state in book.items()}
+
+
+def test_the_carried_state_is_not_repeated_per_salt(spark):
+    rows = spark.createDataFrame([(1, 5, "snapshot"), (1, 2, "update")], "instrument_id bigint, arrival bigint, kind string")
+    state = spark.createDataFrame([(1, 3, False, True, 2, 4)], "instrument_id bigint, last_arrival bigint, is_open boolean, recovering boolean, session bigint, seq bigint")
+    told, after = resume_session_rules(rows, state)
+    assert {r["arrival"]: (r["disposition"], r["session_id"], r["gateway_seq"]) for r in told.collect()} == {5: ("accepted_snapshot", 2, 5), 2: ("late", 2, None)}
+    assert tuple(after.select("last_arrival", "is_open", "recovering", "session", "seq").first()) == (5, True, False, 2, 5)
+    for df in (told, after):
+        assert "_salt" not in df._jdf.queryExecution().optimizedPlan().toString()
