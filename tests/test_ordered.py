@@ -242,3 +242,27 @@ def test_a_hot_key_is_spread_over_its_buckets(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(sizes) > 1 and max(r["count"] for r in sizes) < 10_000
     assert apply_session_rules(by_key_only, lane).where("disposition <> 'pre_snapshot'").count() == 0
+
+
+def test_a_table_repeated_per_salt_is_not_broadcast_by_its_size_before(spark, tmp_path):
+    path = str(tmp_path / "small")
+    spark.range(50_000).select(F.col("id").alias("instrument_id"), (F.col("id") * 7919 % 50_021).alias("v")).coalesce(1).write.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "small").glob("*.parquet"))
+    big = spark.range(1000).select((F.col("id") % 10).alias("instrument_id"), F.col("id").alias("arrival"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(4 * size))
+    try:
+        joined = spread_join(big, spark.read.parquet(path), ["instrument_id"], "left")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and joined.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_segments_are_held_without_salts(spark):
+    from feedlake.operators.align import align_segments
+
+    deltas = spark.createDataFrame([(1, i, i) for i in range(1, 8) if i != 4], "instrument_id bigint, arrival bigint, seq bigint")
+    snapshots = spark.createDataFrame([(1, 4, 3)], "instrument_id bigint, arrival bigint, boundary bigint")
+    told = align_segments(deltas, snapshots, slots=3, lane=Lane(width=2))
+    assert {r["arrival"]: r["outcome"] for r in told.collect()} == dict.fromkeys((1, 2, 3), "overflow") | dict.fromkeys((5, 6, 7), "pending")
+    assert "_salt" not in told._jdf.queryExecution().optimizedPlan().toString()
