@@ -38,8 +38,9 @@ def _value(text: Column, key: str, body: str) -> Column:
 
 
 def _present(token: Column) -> Column:
-    # nullif evaluates its argument once; a CASE would run the regex again in its branch.
-    return F.nullif(token, F.lit(""))
+    # Evaluates its argument once. A CASE would run the regex again in its branch, and so does nullif inside a lambda
+    # function or a branch, where the optimizer cannot name the value: nested lookups then double at every level.
+    return F.get(F.array_remove(F.array(token), F.lit("")), F.lit(0))
 
 
 def _unquote(token: Column) -> Column:
@@ -124,8 +125,12 @@ def quoted_groups(array_text: Column, size: int, build: Callable[..., Column]) -
 
 def first_object_named(array_text: Column, name: str) -> Column:
     """First object of an array text whose ``name`` field equals ``name``; NULL when absent."""
-    flat = F.regexp_extract_all(array_text, F.lit(f"({_OBJECT})"), F.lit(1))
-    # With fewer opening brackets than the pattern has levels it cannot be too shallow.
-    shallow = F.length(array_text) - F.length(F.replace(array_text, F.lit("{"), F.lit(""))) <= _NESTING
-    objects = F.when(shallow, flat).otherwise(balanced_pieces(array_text, "{", "}"))
-    return F.get(F.filter(objects, lambda o: json_string(o, "name") == F.lit(name)), F.lit(0))
+
+    def found(text: Column) -> Column:
+        flat = F.regexp_extract_all(text, F.lit(f"({_OBJECT})"), F.lit(1))
+        # With fewer opening brackets than the pattern has levels it cannot be too shallow.
+        shallow = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))) <= _NESTING
+        objects = F.when(shallow, flat).otherwise(balanced_pieces(text, "{", "}"))
+        return F.get(F.filter(objects, lambda o: json_string(o, "name") == F.lit(name)), F.lit(0))
+
+    return let(array_text, found)

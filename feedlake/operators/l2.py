@@ -89,12 +89,12 @@ def update_levels(payload: Column) -> Column:
 
 def ack_valid(payload: Column, symbol: Column, channels=ACK_CHANNELS) -> Column:
     """The first channel object of each required name must list the symbol."""
-    text = json_array(payload, "channels")
-    listed = [
-        F.array_contains(quoted_strings(json_array(first_object_named(text, channel), "product_ids")), symbol)
-        for channel in channels
-    ]
-    return F.coalesce(reduce(and_, listed), F.lit(False))
+
+    def listed(text: Column) -> Column:
+        products = [quoted_strings(json_array(first_object_named(text, channel), "product_ids")) for channel in channels]
+        return reduce(and_, [F.array_contains(names, symbol) for names in products])
+
+    return F.coalesce(let(json_array(payload, "channels"), listed), F.lit(False))
 
 
 def classify_l2(frames: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:

@@ -119,3 +119,16 @@ def test_arrays_nested_without_limit(spark):
     for depth, r in enumerate(got.collect(), 1):
         assert r.array == r.want
         assert r.hit == '{"name":"hit","v":' + '{"a":' * depth + "1" + "}" * depth + "}"
+
+
+def test_a_lookup_inside_a_lambda_runs_its_pattern_once(spark):
+    from pyspark.sql import functions as F
+
+    from feedlake.functions.binding import let
+    from feedlake.functions.jsontext import json_raw, json_string
+
+    df = spark.createDataFrame([('{"a":"x","b":""}',)], "t string").select(F.col("t"))
+    found = df.select(let(F.col("t"), lambda t: json_string(t, "a")).alias("a"), json_raw("t", "c").alias("c"))
+    assert tuple(found.first()) == ("x", None)
+    lookup = df.select(let(F.col("t"), lambda t: json_string(t, "a")).alias("a"))
+    assert lookup._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
