@@ -11,6 +11,7 @@ from feedlake.operators.session_state import apply_session_rules
 from feedlake.plans.oracle import L2_KINDS, L2_RULES, PRIOR
 from feedlake.plans.registration import Family
 from feedlake.plans.views import duck_text, spark_text, table
+from feedlake.session import stored
 
 FAMILY = Family()
 register = FAMILY.register
@@ -76,6 +77,8 @@ def hard_frames(spark, sf_dir):
     heads = orders.join(counted, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
         "o_orderkey", "o_orderdate", "cast(o_custkey % 40 as bigint) as instrument_id", f"{_TYPE} as type", f"{_FAULT} as fault", "lines"
     )
+    # Numbered while they are narrow: the ranges are sampled first, which would make every text twice.
+    heads = dense_arrival(heads, ["instrument_id"], ["o_orderdate", "o_orderkey"])
     written = [e.strip() for e in spark_text(_WRITTEN).replace(" as price,", " as price;").replace(" as size,", " as size;").split(";")]
     lines = lineitem.selectExpr("*", f"{_LN} as ln")
     levels = heads.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("o_orderkey", "ln", *written)
@@ -87,10 +90,10 @@ def hard_frames(spark, sf_dir):
         "array_join(transform(all, x -> x.triple), ',') as changes",
     )
     frames = heads.join(texts, "o_orderkey").selectExpr(
-        "instrument_id", "o_orderkey", "o_orderdate", "concat('H', cast(instrument_id as string)) as symbol", f"{_FAILED} as failed",
+        "instrument_id", "o_orderkey", "arrival", "concat('H', cast(instrument_id as string)) as symbol", f"{_FAILED} as failed",
         f"{spark_text(_FRAME)} as payload",
     )
-    return dense_arrival(frames, ["instrument_id"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+    return stored(frames, "hard-frames")
 
 
 def _classified(spark, sf_dir):
@@ -132,8 +135,9 @@ select instrument_id, arrival, cast(entry_pos as integer) as entry_pos, case whe
 )
 def hard_levels(spark, sf_dir):
     """P5, P6: up to five levels per frame at the scales in which they are written; a snapshot may have negative sizes."""
-    good = _classified(spark, sf_dir).where("kind in ('snapshot', 'update')")
-    return flatten_levels(good, "instrument_id", "arrival")
+    # As a value, since a filter on the kind would repeat the parse below it.
+    levels = F.when(F.col("kind").isin("snapshot", "update"), F.col("levels"))
+    return flatten_levels(_classified(spark, sf_dir).withColumn("levels", levels), "instrument_id", "arrival")
 
 
 @register(
