@@ -11,7 +11,7 @@ control rows set the state whatever it was. The result is that of running each k
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Protocol
 
 import pyarrow as pa
@@ -52,10 +52,11 @@ class Machine(Protocol):
         """Take a row; return its events (position, session of this run, *event fields)."""
 
 
-def fold_buckets(rows: DataFrame, machine: Machine, lane: Lane, guess: DataFrame | None = None) -> DataFrame:
+def fold_buckets(rows: DataFrame, machine: Machine, lane: Lane, guess: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Events ``(keys, pos, session_id, *machine.event)`` of ``machine`` over the rows of every key.
 
-    ``guess`` (keys, bucket, entry) may give better first entries than the initial state, as JSON.
+    ``guess`` may give better first entries than the initial state, as JSON: from the stored rows with their buckets
+    to (keys, bucket, entry).
     """
     spark = rows.sparkSession
     folder = fresh_path(spark, "bucketfold")
@@ -71,7 +72,7 @@ def fold_buckets(rows: DataFrame, machine: Machine, lane: Lane, guess: DataFrame
         entries = every.withColumn("entry", start)
     else:
         first = F.row_number().over(lane.across()) == 1
-        told = every.withColumn("_first", first).join(guess.select(*lane.part, F.col("entry").alias("_entry")), lane.part, "left")
+        told = every.withColumn("_first", first).join(guess(data).select(*lane.part, F.col("entry").alias("_entry")), lane.part, "left")
         entries = told.select(*lane.part, F.when(F.col("_first"), start).otherwise(F.coalesce("_entry", start)).alias("entry"))
     runs, marked = None, None
     turn = 0

@@ -187,13 +187,15 @@ def feed_events(frames: DataFrame, rules: FeedRules, lane: Lane = LANE, horizon_
     the end of a key counts up to there.
     """
     seq = F.col("seq") if "seq" in frames.columns else F.lit(None)
-    rows = frames.select(*lane.keys, lane.pos, "kind", F.col("at_ns").cast("bigint").alias("at_ns"), seq.cast("bigint").alias("seq"))
+    # A filter on the generator's output stays above it; one on the column would repeat the parse that made it.
+    kind = F.explode_outer(F.array("kind")).alias("kind")
+    rows = frames.select(*lane.keys, lane.pos, kind, F.col("at_ns").cast("bigint").alias("at_ns"), seq.cast("bigint").alias("seq"))
     used = rows.where(F.col("kind").isNotNull())
     if horizon_ns is not None:
         end = F.lit("end").alias("kind")
-        last = rows.groupBy(*lane.keys).agg((F.max(lane.pos) + 1).alias(lane.pos))
+        last = frames.groupBy(*lane.keys).agg((F.max(lane.pos) + 1).alias(lane.pos))
         used = used.unionByName(last.select(*lane.keys, lane.pos, end, F.lit(horizon_ns).cast("bigint").alias("at_ns"), F.lit(None).cast("bigint").alias("seq")))
-    return fold_buckets(used, rules, lane, _guesses(used, rules, lane) if rules.timeout is not None else None)
+    return fold_buckets(used, rules, lane, (lambda placed: _guesses(placed, rules, lane)) if rules.timeout is not None else None)
 
 
 def trigger_table(events: DataFrame, *keep: str) -> DataFrame:

@@ -149,3 +149,22 @@ def test_segments_of_several_snapshots(spark, width):
     snapshots = spark.createDataFrame(pending, "instrument_id bigint, arrival bigint, boundary bigint")
     got = align_segments(deltas, snapshots, slots=16, lane=Lane(width=width)).collect()
     assert {(r.instrument_id, r.arrival): (r.outcome, r.snapshot_at) for r in got} == want and len(got) == len(rows)
+
+
+def test_the_kinds_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from feedlake.operators.session_feed import FeedRules, feed_events
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def kind(name):
+        made.add(1)
+        return name
+
+    rows = [(1, i, k, i * 10) for i, k in enumerate(["ack", "heartbeat", "snapshot", "update", None, "trigger"], 1)]
+    frames = spark.createDataFrame(rows, "instrument_id bigint, arrival bigint, k string, at_ns bigint").withColumn("kind", kind("k")).drop("k")
+    events = feed_events(frames, FeedRules(buffered=False, timeout=100), horizon_ns=1000)
+    assert {(r["arrival"], r["event"]) for r in events.collect()} >= {(3, "snapshot"), (6, "trigger")}
+    assert made.value == len(rows)
