@@ -17,7 +17,7 @@ from feedlake.plans.level_feed import A1_SQL, A2_SQL, A3_SQL, A7_SQL
 from feedlake.plans.oracle import L2_RULES
 from feedlake.plans.registration import Family
 from feedlake.plans.views import FEED_ORDER, L2_PAYLOAD, l2_frames, spark_text, table
-from feedlake.session import fresh_path
+from feedlake.session import fresh_path, stored
 from feedlake.sources.metrics import counter_labels, to_prometheus
 from feedlake.streaming import (
     accumulate,
@@ -361,9 +361,9 @@ def l3_stream_messages(spark, sf_dir):
 
 def _order_messages(spark, sf_dir):
     """What a consumer of the merged feed sees of orders, in message order: resets, documents with their orders, deltas."""
-    feed = merged_feed.merged_feed(spark, sf_dir)
+    feed = stored(merged_feed.merged_feed(spark, sf_dir), "merged")
     events = feed_events(feed, merged_feed.RULES)
-    sent = session_feed(feed, events).where("gateway_seq is not null")
+    sent = stored(session_feed(feed, events).where("gateway_seq is not null"), "sent")
     nothing = F.lit(None).cast("bigint")
     resets = events.where("applied").select(
         "instrument_id", "session_id", F.lit(0).cast("bigint").alias("gateway_seq"), F.lit(0).cast("bigint").alias("entry"),
@@ -383,7 +383,7 @@ def _order_messages(spark, sf_dir):
         (F.col("event_id") % 9).alias("order_ref"), ((F.col("event_id") % 40 + 1) * 100).cast("bigint").alias("qty"),
     )
     every = resets.unionByName(heads).unionByName(listed).unionByName(deltas)
-    return dense_arrival(every, ["instrument_id"], ["session_id", "gateway_seq", "entry"])
+    return dense_arrival(stored(every, "order-messages"), ["instrument_id"], ["session_id", "gateway_seq", "entry"])
 
 
 @register("b2_stream_orders", merged_feed.FAMILY.sql["b2_session_orders"])
